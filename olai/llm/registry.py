@@ -1,10 +1,11 @@
 """The queries of this subpackage by name, and their DuckDB SQL where SQL can express them."""
 
-from olai.llm import op1_url_filter, op2_mixing, op7_secrets
+from olai.llm import op1_url_filter, op2_mixing, op5_simhash, op7_secrets
 
 QUERIES = {
     "op1_url_filter": op1_url_filter.op1_url_filter,
     "op2_mixing": op2_mixing.op2_mixing,
+    "op5_simhash": op5_simhash.op5_simhash,
     "op7_secrets": op7_secrets.op7_secrets,
 }
 ORACLE_SQL = {

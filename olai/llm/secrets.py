@@ -21,7 +21,7 @@ WEAK = {
 #: Which part each kind plays.
 PART = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "endpoint": "endpoint"}
 #: What a weak part needs nearby.
-COMPLEMENT = {"weak_id": ("secret",), "weak_secret": ("id", "endpoint"), "endpoint": ("secret", "id")}
+COMPLEMENT = {"weak_id": ("secret",), "weak_secret": ("id", "endpoint"), "endpoint": ("secret",)}
 
 
 def _spans(text: Column, pattern: str, kind: str) -> Column:
