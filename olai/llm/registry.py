@@ -1,13 +1,16 @@
 """The queries of this subpackage by name, and their DuckDB SQL where SQL can express them."""
 
-from olai.llm import op1_url_filter, op2_mixing, op5_simhash, op7_secrets
+from olai.llm import op1_url_filter, op2_mixing, op3_toxicity, op5_simhash, op7_secrets, op9_topk
 
 QUERIES = {
     "op1_url_filter": op1_url_filter.op1_url_filter,
     "op2_mixing": op2_mixing.op2_mixing,
+    "op3_toxicity": op3_toxicity.op3_toxicity,
     "op5_simhash": op5_simhash.op5_simhash,
     "op7_secrets": op7_secrets.op7_secrets,
+    "op9_topk": op9_topk.op9_topk,
 }
 ORACLE_SQL = {
     "op2_mixing": op2_mixing.SQL,
+    "op9_topk": op9_topk.SQL,
 }
