@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and their DuckDB SQL where SQL can express them."""
 
-from olai.llm import op1_url_filter, op2_mixing, op3_toxicity, op5_simhash, op7_secrets, op9_topk
+from olai.llm import op1_url_filter, op2_mixing, op3_toxicity, op5_simhash, op7_secrets, op8_line_dedup, op9_topk, op10_decontamination
 
 QUERIES = {
     "op1_url_filter": op1_url_filter.op1_url_filter,
@@ -8,9 +8,12 @@ QUERIES = {
     "op3_toxicity": op3_toxicity.op3_toxicity,
     "op5_simhash": op5_simhash.op5_simhash,
     "op7_secrets": op7_secrets.op7_secrets,
+    "op8_line_dedup": op8_line_dedup.op8_line_dedup,
     "op9_topk": op9_topk.op9_topk,
+    "op10_decontamination": op10_decontamination.op10_decontamination,
 }
 ORACLE_SQL = {
     "op2_mixing": op2_mixing.SQL,
     "op9_topk": op9_topk.SQL,
+    "op10_decontamination": op10_decontamination.SQL,
 }
