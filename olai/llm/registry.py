@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, and their DuckDB SQL where SQL can express them."""
 
+import corpus_pipeline
 from olai.llm import op1_url_filter, op2_mixing, op3_toxicity, op5_simhash, op7_secrets, op8_line_dedup, op9_topk, op10_decontamination
 
 QUERIES = {
@@ -11,6 +12,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup.op8_line_dedup,
     "op9_topk": op9_topk.op9_topk,
     "op10_decontamination": op10_decontamination.op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op2_mixing": op2_mixing.SQL,

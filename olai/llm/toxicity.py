@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, STRIDE, HIDDEN = 32, 16, 8
@@ -255,6 +254,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return train(rows["_text"].tolist(), rows["_label"].astype(int).tolist())
 
 
+def toxicity(docs: DataFrame, network: Network, text_col: str = "text") -> Column:
+    """A column for ``docs``: a struct of ``score, n_windows, worst``, see :func:`score_toxicity`."""
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        net, found = shared.value, []
+        for at in range(0, len(texts), 256):
+            part = texts.iloc[at : at + 256]
+            if net.constant is not None:
+                found += [(net.constant, 1, 0)] * len(part)
+                continue
+            scores = net.score([t if isinstance(t, str) else None for t in part])
+            found += [(float(_sigmoid(np.float64(s.max()) - net.shift)), len(s), int(np.argmax(s)) * STRIDE) for s in scores]
+        return pd.DataFrame(found, columns=["score", "n_windows", "worst"])
+
+    return F.pandas_udf(run, "score double, n_windows long, worst long").asNondeterministic()(F.col(text_col))
+
+
 def score_toxicity(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, score, n_windows, worst``.
 
@@ -264,20 +281,5 @@ def score_toxicity(docs: DataFrame, network: Network, id_col: str = "doc_id", te
     rows score alike; an empty table gives an empty result; other columns are
     ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(network)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = shared.value
-        for rows in batches:
-            for at in range(0, len(rows), 256):
-                part = rows.iloc[at : at + 256]
-                if net.constant is not None:
-                    found = [(net.constant, 1, 0)] * len(part)
-                else:
-                    scores = net.score([t if isinstance(t, str) else None for t in part["text"]])
-                    found = [(float(_sigmoid(np.float64(s.max()) - net.shift)), len(s), int(np.argmax(s)) * STRIDE) for s in scores]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), **{c: [f[i] for f in found] for i, c in enumerate(("score", "n_windows", "worst"))}})
-
-    return rows.mapInPandas(run, f"doc_id {kind}, score double, n_windows long, worst long")
+    found = docs.select(F.col(id_col).alias("doc_id"), toxicity(docs, network, text_col).alias("t"))
+    return found.select("doc_id", "t.score", "t.n_windows", "t.worst")
