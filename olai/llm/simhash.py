@@ -54,12 +54,16 @@ def simhash(h: np.ndarray, words: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
-    """``doc_id, fp`` (an array of ``words`` longs) of every row's whole text; null and empty texts have zeros."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, repeats: bool = True) -> DataFrame:
+    """``doc_id, fp`` (an array of ``words`` longs) of every row's whole text; null and empty texts have zeros.
+
+    ``repeats`` says whether a shingle counts as often as it occurs, or once.
+    """
+    of = (lambda t: shingle_hashes(t, shingle)) if repeats else (lambda t: np.unique(shingle_hashes(t, shingle)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "fp": [simhash(shingle_hashes(t, shingle), words) for t in rows["text"]]})
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "fp": [simhash(of(t), words) for t in rows["text"]]})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -250,6 +254,7 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = 3,
     words: int = 1,
+    repeats: bool = True,
     tables: Sequence[tuple[int, int, int]] = ((0, 0, 64),),
     budget: int = 3,
     max_bits: int | None = None,
@@ -263,7 +268,7 @@ def near_duplicates(
     has an id. Repeated rows are separate rows with the same result; an empty
     table gives an empty result; other columns are ignored.
     """
-    found = fingerprints(docs, id_col, text_col, shingle, words)
+    found = fingerprints(docs, id_col, text_col, shingle, words, repeats)
     found = materialise(found.withColumn("node", F.col("fp")[0] if words == 1 else F.xxhash64("fp")), "fingerprints")
     nodes = materialise(found.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "fingerprint-nodes")
     roots = connected_components(trie_links(nodes, tables, budget, max_bits))
