@@ -1,12 +1,13 @@
 """The queries of this subpackage by name, and their DuckDB SQL where SQL can express them."""
 
 import corpus_pipeline
-from olai.llm import op1_url_filter, op2_mixing, op3_toxicity, op5_simhash, op6_suffix_dedup, op7_secrets, op8_line_dedup, op9_topk, op10_decontamination
+from olai.llm import op1_url_filter, op2_mixing, op3_toxicity, op4_licenses, op5_simhash, op6_suffix_dedup, op7_secrets, op8_line_dedup, op9_topk, op10_decontamination
 
 QUERIES = {
     "op1_url_filter": op1_url_filter.op1_url_filter,
     "op2_mixing": op2_mixing.op2_mixing,
     "op3_toxicity": op3_toxicity.op3_toxicity,
+    "op4_licenses": op4_licenses.op4_licenses,
     "op5_simhash": op5_simhash.op5_simhash,
     "op6_suffix_dedup": op6_suffix_dedup.op6_suffix_dedup,
     "op7_secrets": op7_secrets.op7_secrets,
