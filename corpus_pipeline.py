@@ -46,7 +46,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     worded = F.regexp_count("text", F.lit(WORD)) > 0
     found = near_duplicates(docs.where(worded), **NEAR)
     gone = found.where("doc_id <> component_id").select("doc_id")
-    kept = docs.join(materialise(gone.distinct(), "near-copies"), "doc_id", "left_anti")
+    kept = docs.join(materialise(gone.distinct(), "near-copies").hint("merge"), "doc_id", "left_anti")
     return kept.select(COLUMNS)
 
 

@@ -100,6 +100,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     gone = narrow.join(sure, ["h1", "h2"]).where(place != F.col("first")).groupBy("id", "th").agg(F.array_sort(F.collect_set("ord")).alias("gone"))
     gone = materialise(gone, "removed-chunks").select(F.col("id").alias("_dedup_id"), F.col("th").alias("_dedup_th"), F.col("gone").alias("_dedup_gone"))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_dedup_id")) & (F.xxhash64(F.col(text_col)) == F.col("_dedup_th")), "left")
+    # Always by a shuffle of the texts, as a small table of removed chunks here would be a large one elsewhere.
+    joined = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_dedup_id")) & (F.xxhash64(F.col(text_col)) == F.col("_dedup_th")), "left")
     out = joined.withColumn("_dedup_out", _without(F.col(text_col), F.col("_dedup_gone")))
     return out.withColumn("kept", F.col("_dedup_out.kept")).withColumn("n_removed", F.coalesce(F.col("_dedup_out.n_removed"), F.lit(0)).cast("long")).drop("_dedup_id", "_dedup_th", "_dedup_gone", "_dedup_out")
