@@ -14,9 +14,9 @@ HEX = r"[0-9a-f]{24,}"
 BASE = ("assign", "access", "hex")
 #: Weak candidates by the part they can play.
 WEAK = {
-    "weak_id": r"""(?i)\b(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""",
-    "weak_secret": r"""(?i)\b(?:pass|pwd|private_?key|credential|auth)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""",
-    "endpoint": r"""(?i)\b(?:https?|ftp|jdbc:[a-z]+|redis|amqp|mongodb|postgres(?:ql)?|mysql)://[^\x20\x09-\x0D"'<>]+""",
+    "weak_id": r"""(?i)(?<![A-Za-z0-9_])(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""",
+    "weak_secret": r"""(?i)(?<![A-Za-z0-9_])(?:pass|pwd|private_?key|credential|auth)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""",
+    "endpoint": r"""(?i)(?<![A-Za-z0-9_])(?:https?|ftp|jdbc:[a-z]+|redis|amqp|mongodb|postgres(?:ql)?|mysql)://[^\x20\x09-\x0D"'<>]+""",
 }
 #: Which part each kind plays.
 PART = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "endpoint": "endpoint"}

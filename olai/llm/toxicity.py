@@ -198,7 +198,8 @@ def train(texts: list[str], labels: list[int], steps: int = 500, batch: int = 96
     trained on come from the other half of the texts.
     """
     y = np.array(labels, np.int64)
-    docs = [tokens(t) for t in texts]
+    same: dict[bytes, bytes] = {}
+    docs = [[same.setdefault(w, w) for w in tokens(t)] for t in texts]
     if len(set(labels)) < 2:
         return Network({}, {}, constant=float(y[0]) if len(y) else 0.0)
     r = np.random.default_rng(seed)
@@ -266,7 +267,7 @@ def toxicity(docs: DataFrame, network: Network, text_col: str = "text") -> Colum
                 found += [(net.constant, 1, 0)] * len(part)
                 continue
             scores = net.score([t if isinstance(t, str) else None for t in part])
-            found += [(float(_sigmoid(np.float64(s.max()) - net.shift)), len(s), int(np.argmax(s)) * STRIDE) for s in scores]
+            found += [(round(float(_sigmoid(np.float64(s.max()) - net.shift)), 6), len(s), int(np.argmax(s)) * STRIDE) for s in scores]
         return pd.DataFrame(found, columns=["score", "n_windows", "worst"])
 
     return F.pandas_udf(run, "score double, n_windows long, worst long").asNondeterministic()(F.col(text_col))
