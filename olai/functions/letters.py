@@ -157,6 +157,23 @@ def joined_subwords(raw: Column) -> Column:
     return F.aggregate(parts, start, lambda acc, part: F.flatten(F.transform(acc, lambda p: join_variants(p, part))))
 
 
-def tokens(text: Column) -> Column:
-    """Words of a text as letters, in order: runs without ASCII characters other than letters; those without a letter are skipped."""
-    return F.filter(F.transform(F.split(text, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), encode), lambda w: w != "")
+BRACKETS = "()[]{}"
+
+
+def tokens(text: Column, brackets: bool = False) -> Column:
+    """Words of a text as letters, in order: runs without ASCII characters other than letters; those without a letter are skipped.
+
+    With ``brackets``, these are kept in their places. A text without Tamil
+    script is translated as a whole before it is cut; only others are encoded
+    word by word.
+    """
+    some = lambda words: F.filter(words, lambda w: w != "")
+    flat = F.translate(F.regexp_replace(text, r"[^\x00-\x7F]+", ""), LATIN + LATIN.upper(), LATIN_CODES * 2)
+    if brackets:
+        latin = F.regexp_extract_all(flat, F.lit(r"[A-Za-z]+|[(){}\[\]]"), F.lit(0))
+        parts = F.regexp_extract_all(text, F.lit(r"[A-Za-z\u0080-\x{10FFFF}]+|[(){}\[\]]"), F.lit(0))
+        tamil = some(F.transform(parts, lambda w: F.when(w.isin(*BRACKETS), w).otherwise(encode(w))))
+    else:
+        latin = some(F.split(flat, "[^A-Za-z]+"))
+        tamil = some(F.transform(F.split(text, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), encode))
+    return F.when(F.rlike(text, F.lit("[ஂ-ௗ]")), tamil).otherwise(latin)

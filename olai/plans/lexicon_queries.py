@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from olai.functions import letters as L
+from olai.functions import presentation
 from olai.functions.patterns import END, START, Pattern, after, before, latin, one_of
-from olai.operators import counts, references, search, suggest
+from olai.operators import counts, present, references, search, suggest
 from olai.sources import lexicon
+from olai.sources.shared import spread
 
 _AZ, _CODES = L.LATIN, L.LATIN_CODES
 #: Set of Latin vowels, as codes.
@@ -24,7 +26,7 @@ def _code(word: str) -> str:
 
 def _tables(spark, sf_dir):
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return lexicon.from_tables(read("part"), read("documents"))
+    return lexicon.from_tables(read("part"), spread(read("documents").select("doc_id", "text")))
 
 
 def _flat(result):
@@ -111,7 +113,7 @@ def tokenize_postings(spark, sf_dir):
 
 
 def encode_lstr(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.select("doc_id", L.encode(F.col("text")).alias("word")).select("doc_id", F.length("word").alias("letters"), F.md5("word").alias("word_md5"))
 
 
@@ -193,6 +195,27 @@ def segment_runs(spark, sf_dir):
     return counts.script_runs(turns.select("conv_id", text.alias("text")), "conv_id", "text")
 
 
+def shown_results(spark, sf_dir):
+    _, heads, defs = _tables(spark, sf_dir)
+    return present.shown(search.rank(search.search(heads.union(defs), latin("ring")))).select("entry", "tier", "expanded", "hidden")
+
+
+def query_escape(spark, sf_dir):
+    urls = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    url = F.col("url")
+    return urls.select("page_id", presentation.escape_query(url).alias("escaped"), presentation.looks_english(url).alias("english"), presentation.html_escape(url).alias("html"), presentation.entry_link(url).alias("link"))
+
+
+def definition_numbers(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("t"))
+    starts = presentation.definition_starts(F.transform("t", lambda x: x["n"]))
+    return turns.select("conv_id", F.explode(F.arrays_zip(F.transform("t", lambda x: x["turn"]).alias("turn"), starts.alias("start"))).alias("z")).select("conv_id", "z.turn", "z.start")
+
+
+def suggest_json(spark, sf_dir):
+    return present.as_json(suggest_topk(spark, sf_dir).select("word", "entry", "tier"))
+
+
 _RANKED = """
 , counts AS (SELECT count(*) FILTER (precedence = 0) AS a, count(*) FILTER (precedence = 1) AS b, count(*) FILTER (precedence = 2) AS c, count(*) FILTER (precedence = 3) AS d FROM r),
 seen AS (SELECT *, CASE WHEN a > 5000 OR (b > 10 AND a > 1000) THEN TRUE ELSE FALSE END AS hide_b,
@@ -229,6 +252,10 @@ QUERIES = {
     "classify_precedence": _search(latin("in"), "both"),
     "rank_tiers": rank_tiers,
     "suggest_topk": suggest_topk,
+    "suggest_json": suggest_json,
+    "shown_results": shown_results,
+    "query_escape": query_escape,
+    "definition_numbers": definition_numbers,
     "ref_lookup": ref_lookup,
     "entries_by_id": entries_by_id,
     "group_refs": group_refs,
@@ -238,6 +265,9 @@ QUERIES = {
 }
 
 _V, _NV = f"[{_VOWELS}]", f"[^{_VOWELS}]"
+_SUGGEST = f"""{_BASE}, words AS (SELECT word, min(entry) AS entry FROM heads WHERE starts_with(word, '{_code('s')}') GROUP BY word),
+        tiers AS (SELECT w.word, w.entry, CASE WHEN EXISTS (SELECT 1 FROM words v WHERE length(v.word) > 1 AND v.word <> w.word AND starts_with(w.word, v.word)) THEN 'branch' ELSE 'leaf' END AS tier FROM words w)
+        SELECT word, entry, tier FROM tiers ORDER BY tier DESC, regexp_replace(word, '(.)', '\\1/', 'g') LIMIT 20"""
 ORACLE_SQL = {
     "scan_entries": f"""{_BASE} SELECT entry AS id, row_number() OVER (ORDER BY regexp_replace(word, '(.)', '\\1/', 'g'), sub NULLS FIRST, entry) - 1 AS index,
         p_name AS word, sub, kind_set::INTEGER AS kind_set, regexp_replace(word, '(.)', '\\1/', 'g') AS sort_key FROM heads""",
@@ -271,9 +301,16 @@ ORACLE_SQL = {
         SELECT {_OUT}, FALSE AS is_fallback FROM r UNION ALL SELECT {_OUT}, TRUE FROM d WHERE NOT EXISTS (SELECT 1 FROM r)""",
     "classify_precedence": _search_sql(_code("in"), _BOTH),
     "rank_tiers": f"{_BASE}, {_found('r', _BOTH, _code('ring'))}{_RANKED}",
-    "suggest_topk": f"""{_BASE}, words AS (SELECT word, min(entry) AS entry FROM heads WHERE starts_with(word, '{_code('s')}') GROUP BY word),
-        tiers AS (SELECT w.word, w.entry, CASE WHEN EXISTS (SELECT 1 FROM words v WHERE length(v.word) > 1 AND v.word <> w.word AND starts_with(w.word, v.word)) THEN 'branch' ELSE 'leaf' END AS tier FROM words w)
-        SELECT word, entry, tier FROM tiers ORDER BY tier DESC, regexp_replace(word, '(.)', '\\1/', 'g') LIMIT 20""",
+    "suggest_topk": _SUGGEST,
+    "suggest_json": f"""SELECT '{{"word":"' || word || '","entry":' || entry || ',"tier":"' || tier || '"}}' AS json FROM ({_SUGGEST}) s""",
+    "shown_results": f"""SELECT entry, tier, CASE WHEN tier IN ('exact', 'best') THEN nb WHEN tier = 'related' THEN nb + nr ELSE nb + nr + no END <= 250 AS expanded, tier = 'other' AND no > 5 AS hidden
+        FROM (SELECT *, count(*) FILTER (tier IN ('exact', 'best')) OVER () AS nb, count(*) FILTER (tier = 'related') OVER () AS nr, count(*) FILTER (tier = 'other') OVER () AS no
+              FROM ({_BASE}, {_found('r', _BOTH, _code('ring'))}{_RANKED}) ranked)""",
+    "query_escape": r"""SELECT page_id, trim(regexp_replace(url, '[^A-Za-z]+', '-', 'g'), '-') AS escaped,
+        regexp_matches(url, '^[td]r|[kgcspbw][lrwsy]|[td][lwsy]|s[ckmnpsty]|[fqx]|[kghcjstdpb]$|ng$|[aeiou].e$') AS english,
+        replace(replace(replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;'), '/', '&#x2F;'), '`', '&#96;') AS html,
+        '/search?q=' || trim(regexp_replace(url, '[^A-Za-z]+', '-', 'g'), '-') AS link FROM pages""",
+    "definition_numbers": """SELECT conv_id, turn, (1 + coalesce(sum(length(text) - 1) OVER (PARTITION BY conv_id ORDER BY turn, length(text) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS start FROM conversations""",
     "ref_lookup": f"""{_BASE}, known AS (SELECT word, sub, min(entry) AS entry FROM heads GROUP BY word, sub)
         SELECT h.entry AS from_entry, h.word, h.sub + 1 AS sub, k.entry FROM heads h LEFT JOIN known k ON k.word = h.word AND k.sub = h.sub + 1""",
     "entries_by_id": f"{_BASE} SELECT entry AS index, p_name AS word, kind_set::INTEGER AS kind_set FROM heads WHERE entry IN (7, 3, 99999999, 150, -1) ORDER BY entry",

@@ -107,13 +107,13 @@ def definition_postings(entries: DataFrame, id_col: str = "index", text_col: str
     plain = rows.where(~bracketed).select(F.posexplode(L.tokens(F.col("text"))).alias("word_idx", "word"), "entry")
     plain = plain.select("word", "entry", "word_idx", F.lit(False).alias("in_paren"))
 
-    parts = rows.where(bracketed).select("entry", F.posexplode(F.regexp_extract_all("text", F.lit(r"[A-Za-z\u0080-\x{10FFFF}]+|[(){}\[\]]"), F.lit(0))).alias("at", "part"))
+    parts = rows.where(bracketed).select("entry", F.posexplode(L.tokens(F.col("text"), brackets=True)).alias("at", "part"))
     opens, closes = F.col("part").isin(*OPENERS), F.col("part").isin(*CLOSERS)
-    parts = parts.withColumn("step", F.when(opens, 1).when(closes, -1).otherwise(0)).withColumn("word", F.when(F.col("step") == 0, L.encode(F.col("part"))))
+    parts = parts.withColumn("step", F.when(opens, 1).when(closes, -1).otherwise(0)).withColumn("word", F.when(F.col("step") == 0, F.col("part")))
     along = Window.partitionBy("entry").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     parts = parts.withColumn("total", F.sum("step").over(along))
     parts = parts.withColumn("depth", F.col("total") - F.least(F.lit(0), F.min("total").over(along)))
-    spoken = F.col("word").isNotNull() & (F.col("word") != "")
+    spoken = F.col("word").isNotNull()
     parts = parts.withColumn("outside", F.max(F.when(spoken & (F.col("depth") == 0), 1).otherwise(0)).over(along))
     # The bracket that opened the outermost level.
     parts = parts.withColumn("outermost", F.last(F.when(opens & (F.col("depth") == 1), F.col("part")), ignorenulls=True).over(along))
