@@ -5,7 +5,7 @@ from olai.llm.decontamination import find_contamination
 
 
 def op10_decontamination(spark, sf_dir):
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
 SQL = r"""

@@ -7,4 +7,4 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 
 
 def op1_url_filter(spark, sf_dir):
-    return filter_urls(table(spark, sf_dir, "pages"), RULES)
+    return filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), RULES)

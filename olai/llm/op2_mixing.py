@@ -5,7 +5,7 @@ from olai.llm.mixing import mix_sources
 
 
 def op2_mixing(spark, sf_dir):
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mix_sources(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 SQL = r"""

@@ -11,7 +11,7 @@ FILE_CHARS = 200
 
 def op4_licenses(spark, sf_dir):
     """Documents laid out as files: source, language and hundred of ids are directories."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
     short = F.length("text") <= FILE_CHARS
     name = F.concat(F.when(short & F.rlike("text", F.lit("(?i)licen[sc]e")), "LICENSE-").otherwise(""), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt"))
     path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), name)

@@ -7,5 +7,5 @@ from olai.llm.suffix_dedup import remove_repeats
 
 
 def op6_suffix_dedup(spark, sf_dir):
-    found = remove_repeats(table(spark, sf_dir, "documents"))
+    found = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -11,6 +11,6 @@ def _joined(spans):
 
 
 def op7_secrets(spark, sf_dir):
-    found = scan_secrets(table(spark, sf_dir, "documents"))
+    found = scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(merge_spans(F.col("base"), F.col("linked"))).alias("spans"))
