@@ -72,13 +72,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _rotations(value: Column, bits: int, fixed: int, blocks: int) -> list[Column]:
     """Left-aligned values of ``bits`` bits whose bits past ``fixed`` are rotated so that each of ``blocks`` blocks leads."""
-    width = (bits - fixed) // blocks
     low = (1 << (bits - fixed)) - 1
     out = []
     for b in range(blocks):
         right = F.shiftrightunsigned(value, 64 - bits)
         rest = right.bitwiseAND(F.lit(low - (1 << 64) if low >= 1 << 63 else low))
-        turn, size = b * width, bits - fixed
+        size = bits - fixed
+        turn = b * size // blocks
         turned = rest if not turn else F.shiftleft(rest, turn).bitwiseOR(F.shiftrightunsigned(rest, size - turn)).bitwiseAND(F.lit(low - (1 << 64) if low >= 1 << 63 else low))
         head = right.bitwiseXOR(rest)
         out.append(F.shiftleft(head.bitwiseOR(turned), 64 - bits))
@@ -203,7 +203,7 @@ def trie_links(nodes: DataFrame, tables: Sequence[tuple[int, int, int]], budget:
         level = level.withColumn("head", F.shiftrightunsigned("value", 64 - fixed))
         more = bits - fixed
         hot = None
-        if more % blocks == 0 and more > blocks:
+        if more >= blocks:
             hot = materialise(level.groupBy("trie", "head").count().where(F.col("count") > GROUP_ROWS).select("trie", "head"), "hot-subtries")
             if hot.isEmpty():
                 hot = None

@@ -76,7 +76,7 @@ def near_texts(n, seed):
     return out
 
 
-@pytest.mark.parametrize("most_rows", [4096, 2])
+@pytest.mark.parametrize("most_rows", [4096, 3])
 def test_simhash_components(spark, monkeypatch, most_rows):
     monkeypatch.setattr(simhash, "GROUP_ROWS", most_rows)
     rows = near_texts(300, 3) + [(900, None), (901, ""), (902, "Ä  B\tc")]
