@@ -21,7 +21,7 @@ from olai.llm.common import materialise
 
 GRAM = 36
 #: Bytes of text that are hashed at once, and that one index covers (but for the last group in it).
-CHUNK, INDEX = 1 << 21, 1 << 20
+CHUNK, INDEX = 1 << 21, 1 << 19
 #: Stretches of one minimiser that go to one index; above it, strings are grouped one by one.
 HOT = 8192
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
@@ -98,19 +98,23 @@ def merge_ranges(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """The suffix array of a sequence in which every suffix is distinct, by prefix doubling."""
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    step = 1
+    """The suffix array of a sequence that ends in a symbol of its own, by prefix doubling from as many symbols as fit in a key."""
+    bits = max(1, int(symbols.max()).bit_length())
+    step = max(1, 62 // bits)
+    key = np.zeros(len(symbols), np.int64)
+    for k in range(step):
+        key <<= bits
+        key[: len(key) - k] |= symbols[k:]
     while True:
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[:-step] = rank[step:] + 1
-        key = rank * (len(rank) + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        rank = np.empty(len(key), np.int64)
-        rank[order] = new
+        order = np.argsort(key)
+        ordered = key[order]
+        new = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
         if new[-1] == len(key) - 1:
             return order
+        rank = np.empty(len(key), np.int64)
+        rank[order] = new
+        key = rank * (len(rank) + 1)
+        key[:-step] += rank[step:] + 1
         step *= 2
 
 
@@ -228,27 +232,37 @@ def _scan(length: int):
     return run
 
 
-def _by_group(batches: Iterator[pd.DataFrame], column: str, least: int) -> Iterator[pd.DataFrame]:
-    """Batches of a partition sorted by ``column``, joined and cut so that no value is in two of them, of ``least`` rows or more."""
-    held, size = [], 0
+def _by_group(batches: Iterator[pd.DataFrame], column: str, most: int) -> Iterator[pd.DataFrame]:
+    """The rows of a partition sorted by ``column``, in parts of about ``most`` rows that don't part a value."""
+    held: list[pd.DataFrame] = []
     for rows in batches:
         if not len(rows):
             continue
-        tail = (rows[column] == rows[column].iloc[-1]).to_numpy()
-        if size + (~tail).sum() >= least and not tail.all():
-            held.append(rows[~tail])
-            yield pd.concat(held, ignore_index=True)
-            held, rows = [], rows[tail]
-            size = 0
         held.append(rows)
-        size += len(rows)
+        if held[0][column].iloc[0] == rows[column].iloc[-1] or sum(map(len, held)) < most:
+            continue
+        whole = pd.concat(held, ignore_index=True)
+        value = whole[column].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+        done = 0
+        for at in starts[1:]:
+            if at - done >= most or at == starts[-1]:
+                yield whole.iloc[done:at]
+                done = at
+        held = [whole.iloc[done:]]
     if held:
-        yield pd.concat(held, ignore_index=True)
+        whole = pd.concat(held, ignore_index=True)
+        value = whole[column].to_numpy()
+        starts, done = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))), 0
+        for at in [*starts[1:], len(whole)]:
+            if at - done >= most or at == len(whole):
+                yield whole.iloc[done:at]
+                done = at
 
 
 def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Stretches by minimiser: repeats of an equal one are known; of those that remain, all of a minimiser that has several are open."""
-    for rows in _by_group(batches, "g", 1):
+    for rows in _by_group(batches, "g", 10_000):
         g, c, known = rows["g"].to_numpy(), rows["c"].to_numpy(), rows["known"].to_numpy()
         order = np.lexsort((rows["at"].to_numpy(), rows["th"].to_numpy(), rows["id"].to_numpy(), c, known, g))
         same = np.zeros(len(g), bool)
