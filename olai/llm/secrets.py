@@ -87,8 +87,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = (F.col("first_start") <= F.col("e") + step) & (F.col("last_end") >= F.col("s") - step)
     linked = asking.join(held, ["key", "role", "bucket"]).where(near).select("key", F.struct(F.col("s").alias("start"), F.col("e").alias("end"), "kind").alias("span")).distinct()
     linked = linked.groupBy("key").agg(F.collect_list("span").alias("linked"))
-    out = scanned.join(linked, "key", "left")
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    # Most rows have no weak part; they stay out of the join, in which they would share one key.
+    out = scanned.where("key IS NOT NULL").join(linked, "key", "left").select("doc_id", "base", "linked")
+    out = out.union(scanned.where("key IS NULL").select("doc_id", "base", none.alias("linked")))
     return out.select("doc_id", _by_start(F.col("base")).alias("base"), _by_start(F.coalesce("linked", none)).alias("linked"))
 
 
