@@ -240,6 +240,9 @@ def annotate(texts: DataFrame, stems: DataFrame, id_col: str, text_col: str, exc
     start = F.when(F.col("part") == 0, 0).otherwise(F.expr("path[part - 1].end"))
     cut = cut.select("word", "part", original_offset(F.col("sizes"), start).alias("s"), original_offset(F.col("sizes"), F.col("step.end")).alias("e"), "step.entries")
     cut = cut.select("word", "part", F.expr("substring(word, s + 1, e - s)").alias("segment"), "entries")
-    out = runs.join(cut, "word", "left")
+    # Other script has no word; it stays out of the join, in which it would share one key.
+    out = runs.where("word IS NOT NULL").join(cut, "word", "left").select("id", "at", "is_tamil", "run", "part", "segment", "entries")
+    other = runs.where("word IS NULL").select("id", "at", "is_tamil", "run", F.lit(None).cast("int").alias("part"), F.lit(None).cast("string").alias("segment"), F.lit(None).cast("array<long>").alias("entries"))
+    out = out.union(other)
     text = F.when(F.col("segment").isNull(), F.col("run")).otherwise(L.display(F.col("segment")))
     return out.select("id", "at", F.coalesce("part", F.lit(0)).alias("part"), "is_tamil", text.alias("text"), F.when(F.col("is_tamil"), F.col("entries")).alias("entries"))
