@@ -33,12 +33,19 @@ def chunk_bounds(lines: list[str]) -> list[tuple[int, int]]:
     return list(zip(bounds, bounds[1:]))
 
 
+#: The position of a whole text among its chunks.
+WHOLE = -1
+
+
 def _chunks(text: str | None, with_text: bool) -> list[dict]:
-    """The chunks of two lines or more."""
+    """The chunks of two lines or more, and the whole text if it has several."""
     if not text:
         return []
     lines, out = text.split("\n"), []
-    for k, (a, b) in enumerate(chunk_bounds(lines)):
+    bounds = [(k, a, b) for k, (a, b) in enumerate(chunk_bounds(lines))]
+    if len(bounds) > 1:
+        bounds.append((WHOLE, 0, len(lines)))
+    for k, a, b in bounds:
         if b - a > 1:
             own = "\n".join(lines[a:b])
             digest = xxhash.xxh3_128_digest(own.encode("utf-8", "surrogatepass"))
@@ -64,7 +71,7 @@ def _without(text: Column, removed: Column) -> Column:
                 out.append((text if isinstance(text, str) else None, 0))
                 continue
             lines, drop = text.split("\n"), {int(x) for x in ords}
-            kept = [x for k, (a, b) in enumerate(chunk_bounds(lines)) if k not in drop for x in lines[a:b]]
+            kept = [] if WHOLE in drop else [x for k, (a, b) in enumerate(chunk_bounds(lines)) if k not in drop for x in lines[a:b]]
             out.append(("\n".join(kept), len(lines) - len(kept)))
         return pd.DataFrame(out, columns=["kept", "n_removed"])
 
@@ -77,7 +84,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are cut at newlines into lines and these into content-defined
     chunks. A chunk of two lines or more that occurs more than once in the
     corpus stays where it occurs first, by id (null first), hash of the text
-    and position, and goes elsewhere. Chunks are found by 128-bit hashes and
+    and position, and goes elsewhere. A whole text of several chunks counts as
+    a chunk too, so of equal texts the first stays and nothing of the others,
+    whatever single lines they have. Chunks are found by 128-bit hashes and
     removed only after the bytes of all occurrences compared equal.
 
     Null and empty texts are left as they are; rows with equal id and text
