@@ -63,23 +63,25 @@ def _chunked(text: Column, with_text: bool) -> Column:
     return F.pandas_udf(run, kind)(text)
 
 
-def _without(text: Column, removed: Column) -> Column:
-    def run(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+def _without(text: Column, removed: Column, copied: Column) -> Column:
+    def run(texts: pd.Series, gone: pd.Series, others: pd.Series) -> pd.DataFrame:
         out = []
-        for text, ords in zip(texts, gone):
+        for text, ords, elsewhere in zip(texts, gone, others):
             if not isinstance(text, str) or ords is None or not len(ords):
-                out.append((text if isinstance(text, str) else None, 0))
+                out.append((text if isinstance(text, str) else None, 0, 0))
                 continue
-            lines, drop = text.split("\n"), {int(x) for x in ords}
-            kept = [] if WHOLE in drop else [x for k, (a, b) in enumerate(chunk_bounds(lines)) if k not in drop for x in lines[a:b]]
-            out.append(("\n".join(kept), len(lines) - len(kept)))
-        return pd.DataFrame(out, columns=["kept", "n_removed"])
+            lines, drop, away = text.split("\n"), {int(x) for x in ords}, {int(x) for x in elsewhere}
+            bounds = [(k, lines[a:b]) for k, (a, b) in enumerate(chunk_bounds(lines))]
+            kept = [] if WHOLE in drop else [x for k, own in bounds if k not in drop for x in own]
+            words = sum(len(x.split()) for k, own in bounds if k in away or WHOLE in away for x in own)
+            out.append(("\n".join(kept), len(lines) - len(kept), words))
+        return pd.DataFrame(out, columns=["kept", "n_removed", "n_copied"])
 
-    return F.pandas_udf(run, "kept string, n_removed int").asNondeterministic()(text, removed)
+    return F.pandas_udf(run, "kept string, n_removed int, n_copied int").asNondeterministic()(text, removed, copied)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, and ``kept`` (what is left of the text) and ``n_removed`` (lines that went).
+    """``docs`` with all its columns, and ``kept`` (what is left of the text), ``n_removed`` (lines that went) and ``n_copied`` (words that stay in earlier documents).
 
     Texts are cut at newlines into lines and these into content-defined
     chunks. A chunk of two lines or more that occurs more than once in the
@@ -91,7 +93,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null and empty texts are left as they are; rows with equal id and text
     count as one document and are treated alike; an empty table gives an
-    empty result. Columns named ``kept`` or ``n_removed`` are replaced.
+    empty result. Columns named ``kept``, ``n_removed`` or
+    ``n_copied`` are replaced.
     """
     order = [F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th")]
     place = F.struct("id", "th", "ord")
@@ -107,9 +110,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     compared = found.join(keys, ["h1", "h2"]).groupBy("h1", "h2").agg((F.min("chunk") == F.max("chunk")).alias("same")).where("same")
     sure = materialise(repeated.join(compared.select("h1", "h2"), ["h1", "h2"]), "compared-chunks")
 
-    gone = narrow.join(sure, ["h1", "h2"]).where(place != F.col("first")).groupBy("id", "th").agg(F.array_sort(F.collect_set("ord")).alias("gone"))
-    gone = materialise(gone, "removed-chunks").select(F.col("id").alias("_dedup_id"), F.col("th").alias("_dedup_th"), F.col("gone").alias("_dedup_gone"))
+    gone = narrow.join(sure, ["h1", "h2"]).where(place != F.col("first"))
+    elsewhere = ~(F.col("first.id").eqNullSafe(F.col("id")) & F.col("first.th").eqNullSafe(F.col("th")))
+    gone = gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("ord")).alias("gone"), F.array_sort(F.collect_set(F.when(elsewhere, F.col("ord")))).alias("copied"))
+    gone = materialise(gone, "removed-chunks").select(F.col("id").alias("_dedup_id"), F.col("th").alias("_dedup_th"), F.col("gone").alias("_dedup_gone"), F.col("copied").alias("_dedup_copied"))
     # Always by a shuffle of the texts, as a small table of removed chunks here would be a large one elsewhere.
     joined = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_dedup_id")) & (F.xxhash64(F.col(text_col)) == F.col("_dedup_th")), "left")
-    out = joined.withColumn("_dedup_out", _without(F.col(text_col), F.col("_dedup_gone")))
-    return out.withColumn("kept", F.col("_dedup_out.kept")).withColumn("n_removed", F.coalesce(F.col("_dedup_out.n_removed"), F.lit(0)).cast("long")).drop("_dedup_id", "_dedup_th", "_dedup_gone", "_dedup_out")
+    out = joined.withColumn("_dedup_out", _without(F.col(text_col), F.col("_dedup_gone"), F.col("_dedup_copied")))
+    count = lambda c: F.coalesce(F.col(f"_dedup_out.{c}"), F.lit(0)).cast("long")
+    out = out.withColumn("kept", F.col("_dedup_out.kept")).withColumn("n_removed", count("n_removed")).withColumn("n_copied", count("n_copied"))
+    return out.drop("_dedup_id", "_dedup_th", "_dedup_gone", "_dedup_copied", "_dedup_out")
