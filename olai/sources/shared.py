@@ -32,10 +32,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out anew where it has far fewer partitions than there are cores.
+    """Deal the rows of a scan out anew where it has far fewer files than there are cores.
 
-    A table in one small file is one task otherwise. Large tables are left as
-    they are; select the columns first, as they are what is shuffled.
+    A table in one small file is one task otherwise. Tables of many files are
+    left as they are; select the columns first, as they are what is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    return df.repartition(cores) if len(df.inputFiles()) * 2 <= cores else df
