@@ -109,10 +109,11 @@ def _read(word: Column, mark: Column) -> Column:
 def display(word: Column) -> Column:
     """The word in Tamil script (Latin letters in lower case)."""
     out = F.regexp_replace(word, f"([{CONSONANT_CODES}])(?![{VOWEL_CODES}])", "$1!")
-    out = F.regexp_replace(out, f"(?<=[{CONSONANT_CODES}]){VOWEL_CODES[0]}", "")
+    # The vowel within a consonant leaves a mark for now, so that a vowel after it isn't taken for a sign.
+    out = F.regexp_replace(out, f"(?<=[{CONSONANT_CODES}]){VOWEL_CODES[0]}", "#")
     for vowel, mark in zip(VOWEL_CODES[1:], _MARKS):
         out = F.regexp_replace(out, f"(?<=[{CONSONANT_CODES}]){vowel}", mark)
-    return F.translate(out, VOWEL_CODES + CODES[12] + CONSONANT_CODES + LATIN_CODES + _MARKS[:12], VOWELS + AAYDHAM + CONSONANTS + LATIN + SIGNS + PULLI)
+    return F.translate(out, VOWEL_CODES + CODES[12] + CONSONANT_CODES + LATIN_CODES + _MARKS[:12] + "#", VOWELS + AAYDHAM + CONSONANTS + LATIN + SIGNS + PULLI)
 
 
 def sort_key(word: Column) -> Column:
