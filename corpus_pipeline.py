@@ -19,9 +19,10 @@ from olai.llm.simhash import near_duplicates
 from olai.llm.toxicity import fit_toxicity, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near-duplicates: 256-bit fingerprints of five-word shingles, joined on eight slices of 32 bits. Words of similarity
-#: 0.8 differ in 39 of 256 bits on average, give or take 6; two of these more are let through.
-NEAR = {"shingle": 5, "words": 4, "repeats": False, "tables": tuple((w, first, 32) for w in range(4) for first in (0, 32)), "budget": 3, "max_bits": 50}
+#: Near-duplicates: five-word shingles of exact similarity 0.8 or more. Candidates are found by 512-bit fingerprints, joined
+#: on sixteen slices of 32 bits. Words of similarity 0.8 differ in 39 of the first 256 bits on average, give or take 6;
+#: candidates may differ in 60.
+NEAR = {"shingle": 5, "words": 8, "repeats": False, "tables": tuple((w, first, 32) for w in range(8) for first in (0, 32)), "budget": 3, "max_bits": 60, "gate": 4, "similarity": 0.8}
 #: A document that loses more than this share of its words to earlier documents is a copy, and goes.
 COPY_SHARE = 0.5
 

@@ -17,6 +17,10 @@ from olai.llm.components import connected_components
 GROUP_ROWS = 4096
 #: Node pairs that one step of the traversal may hold.
 FRONTIER = 1 << 20
+#: Texts of one side that a task compares exactly at once, and texts of a large candidate group that are compared with all of it first.
+BLOCK, PIVOTS = 256, 8
+#: Candidate texts (of 16 bytes) that are broadcast; beyond it, the join shuffles.
+BROADCAST_NODES = 2_000_000
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -54,20 +58,29 @@ def simhash(h: np.ndarray, words: int = 1) -> list[int]:
     return out
 
 
+def _set_hash(h: np.ndarray) -> int:
+    """A signed 64-bit hash of a set of shingle hashes, given in order."""
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 42)).astype(np.int64))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, repeats: bool = True) -> DataFrame:
     """``doc_id, fp`` (an array of ``words`` longs) of every row's whole text; null and empty texts have zeros.
 
-    ``repeats`` says whether a shingle counts as often as it occurs, or once.
+    ``repeats`` says whether a shingle counts as often as it occurs, or once;
+    if once, there is a column ``shingles`` too, the hash of their set.
     """
-    of = (lambda t: shingle_hashes(t, shingle)) if repeats else (lambda t: np.unique(shingle_hashes(t, shingle)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "fp": [simhash(of(t), words) for t in rows["text"]]})
+            if repeats:
+                yield pd.DataFrame({"doc_id": rows["doc_id"], "fp": [simhash(shingle_hashes(t, shingle), words) for t in rows["text"]]})
+            else:
+                sets = [np.unique(shingle_hashes(t, shingle)) for t in rows["text"]]
+                yield pd.DataFrame({"doc_id": rows["doc_id"], "fp": [simhash(h, words) for h in sets], "shingles": [_set_hash(h) for h in sets]})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, fp array<bigint>")
+    return rows.mapInPandas(run, f"doc_id {kind}, fp array<bigint>" + ("" if repeats else ", shingles bigint"))
 
 
 def _rotations(value: Column, bits: int, fixed: int, blocks: int) -> list[Column]:
@@ -176,12 +189,13 @@ def _descend(value: np.ndarray, fp: np.ndarray, starts: np.ndarray, ends: np.nda
     return forest.label
 
 
-def trie_links(nodes: DataFrame, tables: Sequence[tuple[int, int, int]], budget: int = 3, max_bits: int | None = None) -> DataFrame:
+def trie_links(nodes: DataFrame, tables: Sequence[tuple[int, int, int]], budget: int = 3, max_bits: int | None = None, gate: int | None = None) -> DataFrame:
     """Links ``(a, b)`` between rows of ``nodes(node, fp)`` with distinct fingerprints; enough of them to give every component.
 
     ``tables`` are the bit slices ``(word, first bit, bits)`` to join on: a pair
     links if it differs in at most ``budget`` bits of one slice, and, where
-    ``max_bits`` is given, in at most so many of the whole fingerprint. Each
+    ``max_bits`` is given, in at most so many of the whole fingerprint, or of
+    its first ``gate`` words. Each
     slice makes ``budget + 1`` tries, with another block of bits leading: a
     pair within the budget agrees on one leading block, so the rows that
     share it are a task's own subtrie and the traversal starts below it.
@@ -197,7 +211,8 @@ def trie_links(nodes: DataFrame, tables: Sequence[tuple[int, int, int]], budget:
     carried = ["fp"] if max_bits is not None else []
     bits = tables[0][2]
     fixed = bits // blocks
-    level = nodes.select("node", *carried, F.explode(F.array(*rows)).alias("r")).select("node", *carried, "r.trie", "r.value")
+    whole = [F.slice("fp", 1, gate).alias("fp") if gate else F.col("fp")] if carried else []
+    level = nodes.select("node", *whole, F.explode(F.array(*rows)).alias("r")).select("node", *carried, "r.trie", "r.value")
     links = None
     while True:
         level = level.withColumn("head", F.shiftrightunsigned("value", 64 - fixed))
@@ -248,6 +263,112 @@ def _join_level(level: DataFrame, carried: list[str], fixed: int, bits: int, bud
     return dealt.mapInPandas(run, "a long, b long")
 
 
+def _similar(h: list[np.ndarray], left: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that give every component of the pairs of Jaccard similarity ``similarity`` between the rows of ``left`` and all rows."""
+    size = np.array([len(x) for x in h], np.int64)
+    row = np.repeat(np.arange(len(left)), size[left])
+    flat = np.concatenate([h[k] for k in left])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    forest = _Forest(len(h))
+    for k, own in enumerate(h):
+        if (forest.label[left] == forest.label[k]).all():
+            continue
+        lo, n = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        n -= lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(row[at], minlength=len(left))
+        near = left[(shared >= similarity * (size[left] + size[k] - shared) - 1e-9) & (shared > 0) & (left != k)]
+        forest.join(near, np.full(len(near), k))
+    tied = np.flatnonzero(forest.label != np.arange(len(h)))
+    return tied, forest.label[tied]
+
+
+def _grouped_links(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """Verified links within each group of ``rows(*keys, node, h, is_left)``, rows that ``is_left`` against all."""
+
+    def flush(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+        on_left = rows.groupby("node")["is_left"].any()
+        node, left = on_left.index.to_numpy(), np.flatnonzero(on_left.to_numpy())
+        if not len(left) or len(node) < 2:
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        sets = rows.drop_duplicates("node").set_index("node")["h"].loc[node]
+        i, j = _similar([np.asarray(x, np.int64) for x in sets], left, similarity)
+        return pd.DataFrame({"a": node[i], "b": node[j]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for rows in batches:
+            new = (rows[keys].to_numpy()[1:] != rows[keys].to_numpy()[:-1]).any(axis=1) if len(rows) else []
+            bounds = [0, *(np.flatnonzero(new) + 1).tolist(), len(rows)]
+            for lo, hi in zip(bounds, bounds[1:]):
+                if hi == lo:
+                    continue
+                if held and (held[-1][keys].iloc[-1] != rows[keys].iloc[lo]).any():
+                    yield flush(held)
+                    held = []
+                held.append(rows.iloc[lo:hi])
+        if held:
+            yield flush(held)
+
+    dealt = rows.select(*keys, "node", "h", "is_left").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInPandas(run, "a long, b long")
+
+
+def verified_links(members: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` that give every component of the pairs of Jaccard similarity ``similarity`` within a group.
+
+    ``members(node, root, h)`` are the candidate groups and the distinct
+    shingle hashes of each text. All pairs of a group are compared exactly,
+    by blocks of rows against blocks as Spark tasks. Groups of over ``BLOCK``
+    rows are first compared with ``PIVOTS`` of their rows: the rows that link
+    to the best of these are one component already, so that only pairs with
+    another row are left.
+    """
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    large = materialise(sizes.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "large-groups")
+    small = members.join(F.broadcast(large.select("root")), "root", "left_anti")
+    links = _grouped_links(small.withColumn("is_left", F.lit(True)), ["root"], similarity)
+    if large.isEmpty():
+        return links
+    # The number of groups of over BLOCK texts is a small part of that of texts.
+    big = members.join(F.broadcast(large), "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    big = materialise(big, "large-members")
+    # Pivots: the rows of least hash, which combine before the shuffle.
+    ranked = big.select("root", F.pmod(F.xxhash64("node", F.lit(9)), F.lit(PIVOTS)).cast("int").alias("slot"), F.struct(F.xxhash64("node", F.lit(11)).alias("x"), "node").alias("r"))
+    pivots = materialise(ranked.groupBy("root", "slot").agg(F.min("r.node").alias("node")), "pivots").select("root", "node")
+    held = big.join(F.broadcast(pivots.withColumn("is_left", F.lit(True))), ["root", "node"], "left").withColumn("is_left", F.coalesce("is_left", F.lit(False)))
+    spread_pivots = held.where("is_left").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["root", "block", "node", "h", "is_left"]
+    first = materialise(_grouped_links(held.where("NOT is_left").select(columns).union(spread_pivots.select(columns)), ["root", "block"], similarity), "pivot-links")
+    part = connected_components(first)
+    rooted = materialise(big.select("root", "node").join(part.withColumnRenamed("root", "part"), "node", "left"), "pivot-parts")
+    best = rooted.where("part IS NOT NULL").groupBy("root", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("part", "n").alias("best"))
+    loose = rooted.join(F.broadcast(best), "root", "left").where(~F.coalesce(F.col("part") == F.col("best"), F.lit(False))).select("root", "node")
+    counts = loose.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("lefts"))
+    rest = big.join(loose.withColumn("loose", F.lit(True)), ["root", "node"], "left").join(F.broadcast(counts), "root")
+    lefts = rest.where("loose").withColumn("lb", F.pmod(F.xxhash64("node", F.lit(13)), F.col("lefts")).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("is_left", F.lit(True))
+    rights = rest.withColumn("rb", F.col("block")).withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("is_left", F.lit(False))
+    columns = ["root", "lb", "rb", "node", "h", "is_left"]
+    return links.union(first).union(_grouped_links(lefts.select(columns).union(rights.select(columns)), ["root", "lb", "rb"], similarity))
+
+
+def _verified(docs: DataFrame, text_col: str, shingle: int, candidates: DataFrame, similarity: float) -> DataFrame:
+    """The exact links within each component of ``candidates(a, b)``, of which nodes are hashes of sets of shingles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in rows["text"]]
+            yield pd.DataFrame({"node": [_set_hash(h) for h in sets], "h": [h.view(np.int64) for h in sets]})
+
+    groups = materialise(connected_components(candidates), "candidate-groups")
+    sets = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "node long, h array<bigint>")
+    keys = F.broadcast(groups) if groups.count() <= BROADCAST_NODES else groups
+    members = sets.join(keys, "node").groupBy("node").agg(F.first("root").alias("root"), F.first("h").alias("h"))
+    return verified_links(materialise(members, "candidate-shingles"), similarity)
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -258,9 +379,15 @@ def near_duplicates(
     tables: Sequence[tuple[int, int, int]] = ((0, 0, 64),),
     budget: int = 3,
     max_bits: int | None = None,
+    gate: int | None = None,
+    similarity: float | None = None,
 ) -> DataFrame:
     """One row per input row: ``doc_id, fp, component_id``, the least id that links lead to.
 
+    With ``similarity``, links of fingerprints are only candidates: rows link
+    when the exact Jaccard similarity of their sets of shingles (by 64-bit
+    hashes) is ``similarity`` or more; ``repeats`` must be off.
+
     Rows link when their fingerprints do (see :func:`trie_links`), equal ones
     always. Fingerprints are aggregated first, so copies cost one node. Null,
     empty and blank texts have the fingerprint zero and link like any other.
@@ -269,9 +396,10 @@ def near_duplicates(
     table gives an empty result; other columns are ignored.
     """
     found = fingerprints(docs, id_col, text_col, shingle, words, repeats)
-    found = materialise(found.withColumn("node", F.col("fp")[0] if words == 1 else F.xxhash64("fp")), "fingerprints")
+    found = materialise(found.withColumn("node", F.col("shingles") if similarity else F.col("fp")[0] if words == 1 else F.xxhash64("fp")), "fingerprints")
     nodes = materialise(found.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "fingerprint-nodes")
-    roots = connected_components(trie_links(nodes, tables, budget, max_bits))
+    links = trie_links(nodes, tables, budget, max_bits, gate)
+    roots = connected_components(_verified(docs, text_col, shingle, links, similarity) if similarity else links)
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rooted = materialise(rooted, "fingerprint-roots")
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
