@@ -35,7 +35,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go; so do documents that had more than half their words from earlier ones."""
-    found = dedup_lines(docs.select(COLUMNS))
+    found = dedup_lines(docs.select(COLUMNS), runs=True)
     copy = F.col("n_copied") > F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) * COPY_SHARE
     kept = found.where(~copy).select("doc_id", F.col("kept").alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
     return kept.select(COLUMNS)

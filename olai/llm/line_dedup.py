@@ -14,7 +14,7 @@ from olai.llm.common import materialise
 ROLL, SPACING = 2, 4
 #: Repeated chunks (of 16 bytes) that are broadcast; beyond it, the join shuffles.
 BROADCAST_CHUNKS = 2_000_000
-CHUNK = "ord:int,h1:bigint,h2:bigint,lines:int"
+CHUNK = "ord:int,h1:bigint,h2:bigint,lines:int,at:int"
 
 
 def chunk_bounds(lines: list[str]) -> list[tuple[int, int]]:
@@ -33,36 +33,46 @@ def chunk_bounds(lines: list[str]) -> list[tuple[int, int]]:
     return list(zip(bounds, bounds[1:]))
 
 
-#: The position of a whole text among its chunks.
-WHOLE = -1
+#: The position of a whole text among its chunks; pairs of adjacent lines have those from PAIR down.
+WHOLE, PAIR = -1, -2
 
 
-def _chunks(text: str | None, with_text: bool) -> list[dict]:
-    """The chunks of two lines or more, and the whole text if it has several."""
+def _chunks(text: str | None, with_text: bool, runs: bool) -> list[dict]:
+    """The chunks of two lines or more, the whole text if it has several, and with ``runs`` every two adjacent lines; each with its first line."""
     if not text:
         return []
     lines, out = text.split("\n"), []
     bounds = [(k, a, b) for k, (a, b) in enumerate(chunk_bounds(lines))]
     if len(bounds) > 1:
         bounds.append((WHOLE, 0, len(lines)))
+    if runs:
+        bounds += [(PAIR - a, a, a + 2) for a in range(len(lines) - 1)]
     for k, a, b in bounds:
         if b - a > 1:
             own = "\n".join(lines[a:b])
             digest = xxhash.xxh3_128_digest(own.encode("utf-8", "surrogatepass"))
             h1, h2 = np.frombuffer(digest, ">i8").tolist()
-            out.append({"ord": k, "h1": h1, "h2": h2, "lines": b - a} | ({"chunk": own} if with_text else {}))
+            out.append({"ord": k, "h1": h1, "h2": h2, "lines": b - a, "at": a} | ({"chunk": own} if with_text else {}))
     return out
 
 
-def _chunked(text: Column, with_text: bool) -> Column:
+def _chunked(text: Column, with_text: bool, runs: bool) -> Column:
     kind = f"array<struct<{CHUNK}{',chunk:string' if with_text else ''}>>"
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([_chunks(t, with_text) for t in texts], dtype=object)
+        return pd.Series([_chunks(t, with_text, runs) for t in texts], dtype=object)
 
     return F.pandas_udf(run, kind)(text)
 
 
+def _covered(lines: list[str], ords: set[int]) -> set[int]:
+    """The lines of the chunks and pairs at these positions."""
+    if WHOLE in ords:
+        return set(range(len(lines)))
+    of_pairs = {x for k in ords if k <= PAIR for x in (PAIR - k, PAIR - k + 1)}
+    return of_pairs | {x for k, (a, b) in enumerate(chunk_bounds(lines)) if k in ords for x in range(a, b)}
+
+
 def _without(text: Column, removed: Column, copied: Column) -> Column:
     def run(texts: pd.Series, gone: pd.Series, others: pd.Series) -> pd.DataFrame:
         out = []
@@ -70,17 +80,16 @@ def _without(text: Column, removed: Column, copied: Column) -> Column:
             if not isinstance(text, str) or ords is None or not len(ords):
                 out.append((text if isinstance(text, str) else None, 0, 0))
                 continue
-            lines, drop, away = text.split("\n"), {int(x) for x in ords}, {int(x) for x in elsewhere}
-            bounds = [(k, lines[a:b]) for k, (a, b) in enumerate(chunk_bounds(lines))]
-            kept = [] if WHOLE in drop else [x for k, own in bounds if k not in drop for x in own]
-            words = sum(len(x.split()) for k, own in bounds if k in away or WHOLE in away for x in own)
-            out.append(("\n".join(kept), len(lines) - len(kept), words))
+            lines = text.split("\n")
+            drop, away = (_covered(lines, {int(x) for x in own}) for own in (ords, elsewhere))
+            kept = [x for k, x in enumerate(lines) if k not in drop]
+            out.append(("\n".join(kept), len(lines) - len(kept), sum(len(lines[k].split()) for k in away)))
         return pd.DataFrame(out, columns=["kept", "n_removed", "n_copied"])
 
     return F.pandas_udf(run, "kept string, n_removed int, n_copied int").asNondeterministic()(text, removed, copied)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
     """``docs`` with all its columns, and ``kept`` (what is left of the text), ``n_removed`` (lines that went) and ``n_copied`` (words that stay in earlier documents).
 
     Texts are cut at newlines into lines and these into content-defined
@@ -91,27 +100,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whatever single lines they have. Chunks are found by 128-bit hashes and
     removed only after the bytes of all occurrences compared equal.
 
+    With ``runs``, every two adjacent lines are looked up like chunks, which
+    grows repeated chunks to both sides: each line of a run of two lines or
+    more that occurs earlier goes, wherever chunks are cut. Two lines that
+    overlap their own first occurrence stay.
+
     Null and empty texts are left as they are; rows with equal id and text
     count as one document and are treated alike; an empty table gives an
     empty result. Columns named ``kept``, ``n_removed`` or
     ``n_copied`` are replaced.
     """
     order = [F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th")]
-    place = F.struct("id", "th", "ord")
-    narrow = docs.select(*order, F.explode(_chunked(F.col(text_col), False)).alias("c")).select("id", "th", "c.ord", "c.h1", "c.h2")
+    place = F.struct("id", "th", "at")
+    narrow = docs.select(*order, F.explode(_chunked(F.col(text_col), False, runs)).alias("c")).select("id", "th", "c.ord", "c.at", "c.lines", "c.h1", "c.h2")
     narrow = materialise(narrow, "line-chunks")
     repeated = narrow.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
     repeated = materialise(repeated, "repeated-chunks")
 
     # The bytes of all occurrences of a hash are compared by their least and greatest, which combine before the shuffle.
-    found = docs.select(F.explode(_chunked(F.col(text_col), True)).alias("c")).select("c.h1", "c.h2", "c.chunk")
+    found = docs.select(F.explode(_chunked(F.col(text_col), True, runs)).alias("c")).select("c.h1", "c.h2", "c.chunk")
     keys = repeated.select("h1", "h2")
     keys = F.broadcast(keys) if repeated.count() <= BROADCAST_CHUNKS else keys
     compared = found.join(keys, ["h1", "h2"]).groupBy("h1", "h2").agg((F.min("chunk") == F.max("chunk")).alias("same")).where("same")
     sure = materialise(repeated.join(compared.select("h1", "h2"), ["h1", "h2"]), "compared-chunks")
 
-    gone = narrow.join(sure, ["h1", "h2"]).where(place != F.col("first"))
     elsewhere = ~(F.col("first.id").eqNullSafe(F.col("id")) & F.col("first.th").eqNullSafe(F.col("th")))
+    gone = narrow.join(sure, ["h1", "h2"]).where((place != F.col("first")) & (elsewhere | (F.col("at") >= F.col("first.at") + F.col("lines"))))
     gone = gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("ord")).alias("gone"), F.array_sort(F.collect_set(F.when(elsewhere, F.col("ord")))).alias("copied"))
     gone = materialise(gone, "removed-chunks").select(F.col("id").alias("_dedup_id"), F.col("th").alias("_dedup_th"), F.col("gone").alias("_dedup_gone"), F.col("copied").alias("_dedup_copied"))
     # Always by a shuffle of the texts, as a small table of removed chunks here would be a large one elsewhere.

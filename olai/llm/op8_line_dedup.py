@@ -7,5 +7,5 @@ from olai.llm.line_dedup import dedup_lines
 
 
 def op8_line_dedup(spark, sf_dir):
-    found = dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"), runs=True)
     return found.select("doc_id", "n_removed", F.length(F.coalesce("kept", F.lit(""))).alias("n_kept_chars"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
