@@ -10,26 +10,35 @@ from pyspark.sql import functions as F
 
 from olai.llm.common import materialise
 
-#: Lines that the rolling hash covers, and one in how many positions ends a chunk.
-ROLL, SPACING = 2, 4
+#: Lines that the rolling hash covers, and the least run of equal lines that is cut in pairs.
+ROLL, EQUAL = 2, 4
 #: Repeated chunks (of 16 bytes) that are broadcast; beyond it, the join shuffles.
 BROADCAST_CHUNKS = 2_000_000
 CHUNK = "ord:int,h1:bigint,h2:bigint,lines:int,at:int"
 
 
 def chunk_bounds(lines: list[str]) -> list[tuple[int, int]]:
-    """First and end line of each chunk.
+    """First and end line of each chunk, of two lines or more unless the text has one.
 
     A chunk ends after a line where the rolling hash of the last ``ROLL`` line
-    hashes falls on 0 modulo ``SPACING``; so the same run of lines is cut the
-    same way wherever it stands, but for its first and last chunk.
+    hashes is less than at the lines before and after; so the same run of
+    lines is cut the same way wherever it stands, but for its first and last
+    chunk. A run of ``EQUAL`` equal lines or more is cut in pairs.
     """
+    n = len(lines)
     hashes = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], np.uint64)
-    rolled = np.zeros(len(hashes), np.uint64)
+    rolled = np.zeros(n, np.uint64)
     for k in range(ROLL):
-        rolled[k:] += hashes[: len(hashes) - k] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
-    ends = np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(SPACING) == 0) + 1
-    bounds = sorted({0, *ends.tolist(), len(lines)})
+        rolled[k:] += hashes[: n - k] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
+    rolled >>= np.uint64(8)
+    edges = np.concatenate(([0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1, [n]))
+    pairs = [range(x, y + 1, 2) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()) if y - x >= EQUAL]
+    fixed = sorted({p for run in pairs for p in run if 2 <= p <= n - 2})
+    fixed = [p for k, p in enumerate(fixed) if not k or p - fixed[k - 1] > 1]
+    taken = {q for p in fixed for q in (p - 1, p, p + 1)}
+    ends = np.flatnonzero((rolled[1:-1] < rolled[:-2]) & (rolled[1:-1] < rolled[2:])) + 2
+    free = [p for p in ends.tolist() if 2 <= p <= n - 2 and p not in taken]
+    bounds = sorted({0, *fixed, *free, n})
     return list(zip(bounds, bounds[1:]))
 
 

@@ -34,3 +34,13 @@ def test_every_repeated_run_goes(spark):
     rows += [(200, rows[3][1]), (201, "one"), (202, "one\ntwo"), (203, "x\none\ntwo\ny")]
     got = {x.doc_id: x.kept for x in line_dedup.dedup_lines(docs(spark, rows), runs=True).collect()}
     assert got == removed_by_hand(rows) and got[203] == "x\ny" and got[200] == ""
+
+
+def test_chunks_have_two_lines_and_runs_of_equal_lines_are_cut_in_pairs():
+    r = random.Random(8)
+    for _ in range(300):
+        own = [f"line {r.randrange(30)}" for _ in range(r.randrange(2, 30))] + ["same"] * r.randrange(20) + [f"end {k}" for k in range(r.randrange(3))]
+        bounds = line_dedup.chunk_bounds(own)
+        assert bounds[0][0] == 0 and bounds[-1][1] == len(own) and all(b - a > 1 for a, b in bounds) and all(x[1] == y[0] for x, y in zip(bounds, bounds[1:]))
+    assert line_dedup.chunk_bounds(["one"]) == [(0, 1)]
+    assert line_dedup.chunk_bounds(["same"] * 12) == [(k, k + 2) for k in range(0, 12, 2)]
