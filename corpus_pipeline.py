@@ -23,8 +23,6 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: on sixteen slices of 32 bits. Words of similarity 0.8 differ in 39 of the first 256 bits on average, give or take 6;
 #: candidates may differ in 60.
 NEAR = {"shingle": 5, "words": 8, "repeats": False, "tables": tuple((w, first, 32) for w in range(8) for first in (0, 32)), "budget": 3, "max_bits": 60, "gate": 4, "similarity": 0.8}
-#: A document that loses more than this share of its words to earlier documents is a copy, and goes.
-COPY_SHARE = 0.5
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +32,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; so do documents that had more than half their words from earlier ones."""
+    """Repeated runs of lines go; so do documents of which nothing is left but blanks."""
     found = dedup_lines(docs.select(COLUMNS), runs=True)
-    copy = F.col("n_copied") > F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) * COPY_SHARE
-    kept = found.where(~copy).select("doc_id", F.col("kept").alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    left = (F.col("n_removed") == 0) | (F.regexp_count("kept", F.lit(WORD)) > 0)
+    kept = found.where(left).select("doc_id", F.col("kept").alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
     return kept.select(COLUMNS)
 
 

@@ -82,24 +82,23 @@ def _covered(lines: list[str], ords: set[int]) -> set[int]:
     return of_pairs | {x for k, (a, b) in enumerate(chunk_bounds(lines)) if k in ords for x in range(a, b)}
 
 
-def _without(text: Column, removed: Column, copied: Column) -> Column:
-    def run(texts: pd.Series, gone: pd.Series, others: pd.Series) -> pd.DataFrame:
+def _without(text: Column, removed: Column) -> Column:
+    def run(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
         out = []
-        for text, ords, elsewhere in zip(texts, gone, others):
+        for text, ords in zip(texts, gone):
             if not isinstance(text, str) or ords is None or not len(ords):
-                out.append((text if isinstance(text, str) else None, 0, 0))
+                out.append((text if isinstance(text, str) else None, 0))
                 continue
             lines = text.split("\n")
-            drop, away = (_covered(lines, {int(x) for x in own}) for own in (ords, elsewhere))
-            kept = [x for k, x in enumerate(lines) if k not in drop]
-            out.append(("\n".join(kept), len(lines) - len(kept), sum(len(lines[k].split()) for k in away)))
-        return pd.DataFrame(out, columns=["kept", "n_removed", "n_copied"])
+            drop = _covered(lines, {int(x) for x in ords})
+            out.append(("\n".join(x for k, x in enumerate(lines) if k not in drop), len(drop)))
+        return pd.DataFrame(out, columns=["kept", "n_removed"])
 
-    return F.pandas_udf(run, "kept string, n_removed int, n_copied int").asNondeterministic()(text, removed, copied)
+    return F.pandas_udf(run, "kept string, n_removed int").asNondeterministic()(text, removed)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
-    """``docs`` with all its columns, and ``kept`` (what is left of the text), ``n_removed`` (lines that went) and ``n_copied`` (words that stay in earlier documents).
+    """``docs`` with all its columns, and ``kept`` (what is left of the text) and ``n_removed`` (lines that went).
 
     Texts are cut at newlines into lines and these into content-defined
     chunks. A chunk of two lines or more that occurs more than once in the
@@ -116,8 +115,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts are left as they are; rows with equal id and text
     count as one document and are treated alike; an empty table gives an
-    empty result. Columns named ``kept``, ``n_removed`` or
-    ``n_copied`` are replaced.
+    empty result. Columns named ``kept`` or ``n_removed`` are
+    replaced.
     """
     order = [F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th")]
     place = F.struct("id", "th", "at")
@@ -135,11 +134,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     elsewhere = ~(F.col("first.id").eqNullSafe(F.col("id")) & F.col("first.th").eqNullSafe(F.col("th")))
     gone = narrow.join(sure, ["h1", "h2"]).where((place != F.col("first")) & (elsewhere | (F.col("at") >= F.col("first.at") + F.col("lines"))))
-    gone = gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("ord")).alias("gone"), F.array_sort(F.collect_set(F.when(elsewhere, F.col("ord")))).alias("copied"))
-    gone = materialise(gone, "removed-chunks").select(F.col("id").alias("_dedup_id"), F.col("th").alias("_dedup_th"), F.col("gone").alias("_dedup_gone"), F.col("copied").alias("_dedup_copied"))
+    gone = gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("ord")).alias("gone"))
+    gone = materialise(gone, "removed-chunks").select(F.col("id").alias("_dedup_id"), F.col("th").alias("_dedup_th"), F.col("gone").alias("_dedup_gone"))
     # Always by a shuffle of the texts, as a small table of removed chunks here would be a large one elsewhere.
     joined = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_dedup_id")) & (F.xxhash64(F.col(text_col)) == F.col("_dedup_th")), "left")
-    out = joined.withColumn("_dedup_out", _without(F.col(text_col), F.col("_dedup_gone"), F.col("_dedup_copied")))
-    count = lambda c: F.coalesce(F.col(f"_dedup_out.{c}"), F.lit(0)).cast("long")
-    out = out.withColumn("kept", F.col("_dedup_out.kept")).withColumn("n_removed", count("n_removed")).withColumn("n_copied", count("n_copied"))
-    return out.drop("_dedup_id", "_dedup_th", "_dedup_gone", "_dedup_copied", "_dedup_out")
+    out = joined.withColumn("_dedup_out", _without(F.col(text_col), F.col("_dedup_gone")))
+    out = out.withColumn("kept", F.col("_dedup_out.kept")).withColumn("n_removed", F.coalesce(F.col("_dedup_out.n_removed"), F.lit(0)).cast("long"))
+    return out.drop("_dedup_id", "_dedup_th", "_dedup_gone", "_dedup_out")

@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline as pipeline
 from olai.llm import line_dedup
 from tests.llm.helpers import docs
 
@@ -44,3 +45,10 @@ def test_chunks_have_two_lines_and_runs_of_equal_lines_are_cut_in_pairs():
         assert bounds[0][0] == 0 and bounds[-1][1] == len(own) and all(b - a > 1 for a, b in bounds) and all(x[1] == y[0] for x, y in zip(bounds, bounds[1:]))
     assert line_dedup.chunk_bounds(["one"]) == [(0, 1)]
     assert line_dedup.chunk_bounds(["same"] * 12) == [(k, k + 2) for k in range(0, 12, 2)]
+
+
+def test_what_is_left_of_a_document_stays(spark):
+    passage = "\n".join(f"shared line number {k} that some documents hold" for k in range(30))
+    rows = [(1, passage), (2, passage + "\nan end of its own"), (3, passage + "\n \n"), (4, passage), (5, " \n"), (6, None)]
+    got = {x.doc_id: x.text for x in pipeline.lines(spark, docs(spark, rows), "").collect()}
+    assert got == {1: passage, 2: "an end of its own", 5: " \n", 6: None}
