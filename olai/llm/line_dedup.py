@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -15,6 +17,8 @@ ROLL, EQUAL = 2, 4
 #: Repeated chunks (of 16 bytes) that are broadcast; beyond it, the join shuffles.
 BROADCAST_CHUNKS = 2_000_000
 CHUNK = "ord:int,h1:bigint,h2:bigint,lines:int,at:int"
+#: Texts of which the chunks are held at once.
+TEXTS = 256
 
 
 def chunk_bounds(lines: list[str]) -> list[tuple[int, int]]:
@@ -65,13 +69,23 @@ def _chunks(text: str | None, with_text: bool, runs: bool) -> list[dict]:
     return out
 
 
-def _chunked(text: Column, with_text: bool, runs: bool) -> Column:
-    kind = f"array<struct<{CHUNK}{',chunk:string' if with_text else ''}>>"
-
+def _placed(text: Column, runs: bool) -> Column:
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([_chunks(t, with_text, runs) for t in texts], dtype=object)
+        return pd.Series([_chunks(t, False, runs) for t in texts], dtype=object)
+
+    return F.pandas_udf(run, f"array<struct<{CHUNK}>>")(text)
+
+
+def _worded(text: DataFrame, runs: bool) -> DataFrame:
+    """Hashes and texts of the chunks of ``text(text)``, a few texts at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), TEXTS):
+                found = [(c["h1"], c["h2"], c["chunk"]) for t in batch["text"].iloc[lo : lo + TEXTS] for c in _chunks(t, True, runs)]
+                yield pd.DataFrame(found, columns=["h1", "h2", "chunk"])
 
-    return F.pandas_udf(run, kind)(text)
+    return text.mapInPandas(run, "h1 bigint, h2 bigint, chunk string")
 
 
 def _covered(lines: list[str], ords: set[int]) -> set[int]:
@@ -120,13 +134,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     order = [F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th")]
     place = F.struct("id", "th", "at")
-    narrow = docs.select(*order, F.explode(_chunked(F.col(text_col), False, runs)).alias("c")).select("id", "th", "c.ord", "c.at", "c.lines", "c.h1", "c.h2")
+    narrow = docs.select(*order, F.explode(_placed(F.col(text_col), runs)).alias("c")).select("id", "th", "c.ord", "c.at", "c.lines", "c.h1", "c.h2")
     narrow = materialise(narrow, "line-chunks")
     repeated = narrow.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
     repeated = materialise(repeated, "repeated-chunks")
 
     # The bytes of all occurrences of a hash are compared by their least and greatest, which combine before the shuffle.
-    found = docs.select(F.explode(_chunked(F.col(text_col), True, runs)).alias("c")).select("c.h1", "c.h2", "c.chunk")
+    found = _worded(docs.select(F.col(text_col).alias("text")), runs)
     keys = repeated.select("h1", "h2")
     keys = F.broadcast(keys) if repeated.count() <= BROADCAST_CHUNKS else keys
     compared = found.join(keys, ["h1", "h2"]).groupBy("h1", "h2").agg((F.min("chunk") == F.max("chunk")).alias("same")).where("same")
