@@ -49,6 +49,6 @@ def test_chunks_have_two_lines_and_runs_of_equal_lines_are_cut_in_pairs():
 
 def test_what_is_left_of_a_document_stays(spark):
     passage = "\n".join(f"shared line number {k} that some documents hold" for k in range(30))
-    rows = [(1, passage), (2, passage + "\nan end of its own"), (3, passage + "\n \n"), (4, passage), (5, " \n"), (6, None)]
+    rows = [(1, passage), (2, passage + "\nan end of its own"), (3, passage + "\n \n"), (4, passage), (5, "\t\n"), (6, None)]
     got = {x.doc_id: x.text for x in pipeline.lines(spark, docs(spark, rows), "").collect()}
-    assert got == {1: passage, 2: "an end of its own", 5: " \n", 6: None}
+    assert got == {1: passage, 2: "an end of its own", 5: "\t\n", 6: None}
