@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from olai.llm import licenses, line_dedup, registry, secrets, simhash, suffix_dedup, toxicity, url_filter
+from olai.llm import licenses, line_dedup, registry, secrets, simhash, suffix_dedup, url_filter
 from olai.llm.components import connected_components
 from olai.llm.op1_url_filter import RULES
 from olai.llm.op7_secrets import op7_secrets
@@ -293,51 +293,3 @@ def test_line_chunks_resist_shifts():
 
 
 @needs_tables
-def test_toxicity_of_held_out_documents():
-    at = "/root/testdata/sf0.1"
-    if not os.path.isdir(at):
-        pytest.skip("larger tables are absent")
-    rows = duckdb.sql(f"SELECT doc_id, text, toxic FROM '{at}/documents.parquet' JOIN '{at}/labels.parquet' USING (doc_id) ORDER BY md5(doc_id::VARCHAR)").fetchall()
-    import zlib
-
-    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 0
-    fit, rest = [r for r in rows if not held(r[0])][:3500], [r for r in rows if held(r[0])]
-    net = toxicity.train([t for _, t, _ in fit], [y for *_, y in fit])
-    scores = np.array([s.max() - net.shift for s in net.score([t for _, t, _ in rest])])
-    y = np.array([y for *_, y in rest])
-    assert ((scores >= 0) == (y == 1)).mean() > 0.96 and y[scores >= 0].mean() > 0.9
-    # Whole texts: toxic words at the far end of a long text are found.
-    clean = next(t for _, t, label in rest if not label and len(t) > 5000)
-    assert net.score([clean])[0].max() < net.shift < net.score([clean + " you stupid worthless moron what trash"])[0].max()
-
-
-def test_toxicity_gradients():
-    net = toxicity.Network.fresh({b"bad": 1.0}, seed=1)
-    r = np.random.default_rng(0)
-    for k, v in net.weights.items():
-        net.weights[k] = v.astype(np.float64) + 0.05 * r.standard_normal(v.shape)
-    words = [[b"a", b"bad", b"c"], [b"d", b"e"] * 8, []]
-    y = np.array([1.0, 0.0, 1.0])
-    loss = lambda: Decimal(0) + Decimal(str(float(np.mean([-(t * np.log(p) + (1 - t) * np.log(1 - p)) for t, p in zip(y, probability(net, words))]))))
-    before = {k: v.copy() for k, v in net.weights.items()}
-    net.step([(w, net.odds) for w in words], y.astype(np.float32), 0.0)
-    grads = {k: m1 / 0.1 for k, (m1, _) in ((k, v) for k, v in net._adam.items() if k != "n")}
-    for name in ("A", "v", "u", "Wf", "Ub", "cf"):
-        flat = int(np.argmax(np.abs(grads[name])))
-        at = np.unravel_index(flat, grads[name].shape)
-        step = 1e-2
-        net.weights = {k: v.copy() for k, v in before.items()}
-        net.weights[name][at] += step
-        up = loss()
-        net.weights[name][at] -= 2 * step
-        slope = float(up - loss()) / (2 * step)
-        assert abs(slope - grads[name][at]) < 0.03 * max(0.01, abs(slope)) + 2e-4, name
-
-
-def probability(net, words):
-    number = {w: i for i, w in enumerate(dict.fromkeys(x for own in words for x in own))}
-    x = net.project(net.inputs(list(number))[0])
-    ids = np.full((len(words), toxicity.WINDOW), -1)
-    for k, own in enumerate(words):
-        ids[k, : len(own)] = [number[w] for w in own]
-    return 1 / (1 + np.exp(-net.logits(x, ids).astype(np.float64)))
