@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -12,146 +12,150 @@ from pyspark.sql import functions as F
 
 from olai.llm.common import materialise
 
-#: Lines that the rolling hash covers, and the least run of equal lines that is cut in pairs.
-ROLL, EQUAL = 2, 4
-#: Repeated chunks (of 16 bytes) that are broadcast; beyond it, the join shuffles.
-BROADCAST_CHUNKS = 2_000_000
-CHUNK = "ord:int,h1:bigint,h2:bigint,lines:int,at:int"
-#: Texts of which the chunks are held at once.
-TEXTS = 256
+CHUNKS = "at array<int>, lines array<int>, h1 array<bigint>, h2 array<bigint>"
+PLACES = "array<struct<h1:bigint,h2:bigint,first:boolean,at:int,end:int,body:string,above:array<string>,below:array<string>>>"
+
+
+def cuts(lines: list[str]) -> list[int]:
+    """Where chunks begin and end: the bounds of the text, and after every line of which a rolling hash says so.
+
+    The hash rolls over the hashes of two lines, of which half the values cut,
+    as do two equal lines. So a cut depends on nothing but the two lines above
+    it, and a passage is cut alike wherever it stands.
+    """
+    h = np.array([int.from_bytes(hashlib.md5(x.encode("utf-8", "surrogatepass")).digest()[:4]) for x in lines], np.int64)
+    rolled = (h[:-1] * 31 + h[1:]) % (1 << 32)
+    after = np.flatnonzero(((rolled >> 16) % 2 == 0) | (h[:-1] == h[1:])) + 2
+    return [0, *(p for p in after.tolist() if p < len(lines)), len(lines)]
 
 
 def chunk_bounds(lines: list[str]) -> list[tuple[int, int]]:
-    """First and end line of each chunk, of two lines or more unless the text has one.
+    """A chunk for every cut: to the next one that is two lines or more below."""
+    at = cuts(lines)
+    ends = np.searchsorted(at, np.array(at) + 2)
+    return [(p, at[k]) for p, k in zip(at, ends.tolist()) if k < len(at)]
+
+
+def _hashed(text: Column) -> Column:
+    """First line, number of lines and 128-bit hash of the chunks of a text."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            lines = text.split("\n") if isinstance(text, str) and "\n" in text else []
+            bounds = chunk_bounds(lines) if lines else []
+            digests = b"".join(xxhash.xxh3_128_digest("\n".join(lines[a:b]).encode("utf-8", "surrogatepass")) for a, b in bounds)
+            h = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)
+            at = np.array(bounds, np.int32).reshape(-1, 2)
+            out.append((at[:, 0], at[:, 1] - at[:, 0], h[:, 0], h[:, 1]))
+        return pd.DataFrame(out, columns=["at", "lines", "h1", "h2"])
+
+    return F.pandas_udf(run, CHUNKS)(text)
+
 
-    A chunk ends after a line where the rolling hash of the last ``ROLL`` line
-    hashes is less than at the lines before and after; so the same run of
-    lines is cut the same way wherever it stands, but for its first and last
-    chunk. A run of ``EQUAL`` equal lines or more is cut in pairs.
+def _placed(text: Column, own: Column) -> Column:
+    """The bytes of a text's repeated chunks, with the lines above (nearest first) and below up to the second cut.
+
+    Of chunks that are not the first of their kind, only those at the edge of
+    a run of such chunks have the lines beside them.
     """
-    n = len(lines)
-    hashes = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], np.uint64)
-    rolled = np.zeros(n, np.uint64)
-    for k in range(ROLL):
-        rolled[k:] += hashes[: n - k] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
-    rolled >>= np.uint64(8)
-    edges = np.concatenate(([0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1, [n]))
-    pairs = [range(x, y + 1, 2) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()) if y - x >= EQUAL]
-    fixed = sorted({p for run in pairs for p in run if 2 <= p <= n - 2})
-    fixed = [p for k, p in enumerate(fixed) if not k or p - fixed[k - 1] > 1]
-    taken = {q for p in fixed for q in (p - 1, p, p + 1)}
-    ends = np.flatnonzero((rolled[1:-1] < rolled[:-2]) & (rolled[1:-1] < rolled[2:])) + 2
-    free = [p for p in ends.tolist() if 2 <= p <= n - 2 and p not in taken]
-    bounds = sorted({0, *fixed, *free, n})
-    return list(zip(bounds, bounds[1:]))
-
-
-#: The position of a whole text among its chunks; pairs of adjacent lines have those from PAIR down.
-WHOLE, PAIR = -1, -2
-
-
-def _chunks(text: str | None, with_text: bool, runs: bool) -> list[dict]:
-    """The chunks of two lines or more, the whole text if it has several, and with ``runs`` every two adjacent lines; each with its first line."""
-    if not text:
-        return []
-    lines, out = text.split("\n"), []
-    bounds = [(k, a, b) for k, (a, b) in enumerate(chunk_bounds(lines))]
-    if len(bounds) > 1:
-        bounds.append((WHOLE, 0, len(lines)))
-    if runs:
-        bounds += [(PAIR - a, a, a + 2) for a in range(len(lines) - 1)]
-    for k, a, b in bounds:
-        if b - a > 1:
-            own = "\n".join(lines[a:b])
-            digest = xxhash.xxh3_128_digest(own.encode("utf-8", "surrogatepass"))
-            h1, h2 = np.frombuffer(digest, ">i8").tolist()
-            out.append({"ord": k, "h1": h1, "h2": h2, "lines": b - a, "at": a} | ({"chunk": own} if with_text else {}))
-    return out
-
-
-def _placed(text: Column, runs: bool) -> Column:
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([_chunks(t, False, runs) for t in texts], dtype=object)
-
-    return F.pandas_udf(run, f"array<struct<{CHUNK}>>")(text)
-
-
-def _worded(text: DataFrame, runs: bool) -> DataFrame:
-    """Hashes and texts of the chunks of ``text(text)``, a few texts at a time."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), TEXTS):
-                found = [(c["h1"], c["h2"], c["chunk"]) for t in batch["text"].iloc[lo : lo + TEXTS] for c in _chunks(t, True, runs)]
-                yield pd.DataFrame(found, columns=["h1", "h2", "chunk"])
-
-    return text.mapInPandas(run, "h1 bigint, h2 bigint, chunk string")
-
-
-def _covered(lines: list[str], ords: set[int]) -> set[int]:
-    """The lines of the chunks and pairs at these positions."""
-    if WHOLE in ords:
-        return set(range(len(lines)))
-    of_pairs = {x for k in ords if k <= PAIR for x in (PAIR - k, PAIR - k + 1)}
-    return of_pairs | {x for k, (a, b) in enumerate(chunk_bounds(lines)) if k in ords for x in range(a, b)}
+
+    def run(texts: pd.Series, owns: pd.Series) -> pd.Series:
+        out = []
+        for text, own in zip(texts, owns):
+            lines = text.split("\n")
+            at = cuts(lines)
+            number = {p: k for k, p in enumerate(at)}
+            again = {c["at"] for c in own if not c["first"]}
+            found = []
+            for c in own:
+                a, b = c["at"], c["at"] + c["lines"]
+                i, j = number[a], number[b]
+                upper = c["first"] or i == 0 or at[i - 1] not in again
+                lower = c["first"] or at[i + 1] not in again
+                above = lines[at[max(i - 2, 0)] : a][::-1] if upper else []
+                below = lines[b : at[min(j + 2, len(at) - 1)]] if lower else []
+                found.append({"h1": c["h1"], "h2": c["h2"], "first": c["first"], "at": a, "end": b, "body": "\n".join(lines[a:b]), "above": above, "below": below})
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, PLACES).asNondeterministic()(text, own)
 
 
 def _without(text: Column, removed: Column) -> Column:
     def run(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
         out = []
-        for text, ords in zip(texts, gone):
-            if not isinstance(text, str) or ords is None or not len(ords):
+        for text, ranges in zip(texts, gone):
+            if not isinstance(text, str) or ranges is None or not len(ranges):
                 out.append((text if isinstance(text, str) else None, 0))
                 continue
             lines = text.split("\n")
-            drop = _covered(lines, {int(x) for x in ords})
-            out.append(("\n".join(x for k, x in enumerate(lines) if k not in drop), len(drop)))
+            drop = np.zeros(len(lines), bool)
+            for r in ranges:
+                drop[r["at"] : r["end"]] = True
+            out.append(("\n".join(x for x, d in zip(lines, drop) if not d), int(drop.sum())))
         return pd.DataFrame(out, columns=["kept", "n_removed"])
 
     return F.pandas_udf(run, "kept string, n_removed int").asNondeterministic()(text, removed)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
+def _alike(a: str, b: str) -> Column:
+    """How many elements two arrays of strings have in common from their starts."""
+    n = F.least(F.size(a), F.size(b))
+    same = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y)
+    apart = F.array_position(same, F.lit(False))
+    return F.when(apart > 0, apart - 1).otherwise(n).cast("int")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, and ``kept`` (what is left of the text) and ``n_removed`` (lines that went).
 
-    Texts are cut at newlines into lines and these into content-defined
-    chunks. A chunk of two lines or more that occurs more than once in the
-    corpus stays where it occurs first, by id (null first), hash of the text
-    and position, and goes elsewhere. A whole text of several chunks counts as
-    a chunk too, so of equal texts the first stays and nothing of the others,
-    whatever single lines they have. Chunks are found by 128-bit hashes and
-    removed only after the bytes of all occurrences compared equal.
-
-    With ``runs``, every two adjacent lines are looked up like chunks, which
-    grows repeated chunks to both sides: each line of a run of two lines or
-    more that occurs earlier goes, wherever chunks are cut. Two lines that
-    overlap their own first occurrence stay.
-
-    Null and empty texts are left as they are; rows with equal id and text
-    count as one document and are treated alike; an empty table gives an
-    empty result. Columns named ``kept`` or ``n_removed`` are
-    replaced.
+    Texts are cut at newlines into lines and these into content-defined chunks
+    of two lines or more (see :func:`chunk_bounds`). A chunk that occurs more
+    than once in the corpus stays where it occurs first, by id (null first),
+    hash of the text and position, and goes elsewhere, with the equal lines
+    beside it: a repeat grows line by line to both sides, up to the second
+    cut, as long as it is what stands beside the first occurrence. Candidates
+    are found by 128-bit hashes; what goes has been compared byte by byte with
+    the first occurrence, which it never overlaps. So an exact copy of a text
+    of two lines or more goes whole, if the first text has all of its chunks
+    first.
+
+    Null and empty texts, and those of one line, are left as they are; rows
+    with equal id and text count as one document and are treated alike; an
+    empty table gives an empty result. Columns named ``kept`` or ``n_removed``
+    are replaced.
     """
     order = [F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th")]
     place = F.struct("id", "th", "at")
-    narrow = docs.select(*order, F.explode(_placed(F.col(text_col), runs)).alias("c")).select("id", "th", "c.ord", "c.at", "c.lines", "c.h1", "c.h2")
+    several = F.contains(F.col(text_col), F.lit("\n"))
+    narrow = docs.where(several).select(*order, _hashed(F.col(text_col)).alias("c")).select("id", "th", F.explode(F.arrays_zip("c.at", "c.lines", "c.h1", "c.h2")).alias("c")).select("id", "th", "c.*")
     narrow = materialise(narrow, "line-chunks")
     repeated = narrow.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
     repeated = materialise(repeated, "repeated-chunks")
 
-    # The bytes of all occurrences of a hash are compared by their least and greatest, which combine before the shuffle.
-    found = _worded(docs.select(F.col(text_col).alias("text")), runs)
-    keys = repeated.select("h1", "h2")
-    keys = F.broadcast(keys) if repeated.count() <= BROADCAST_CHUNKS else keys
-    compared = found.join(keys, ["h1", "h2"]).groupBy("h1", "h2").agg((F.min("chunk") == F.max("chunk")).alias("same")).where("same")
-    sure = materialise(repeated.join(compared.select("h1", "h2"), ["h1", "h2"]), "compared-chunks")
-
-    elsewhere = ~(F.col("first.id").eqNullSafe(F.col("id")) & F.col("first.th").eqNullSafe(F.col("th")))
-    gone = narrow.join(sure, ["h1", "h2"]).where((place != F.col("first")) & (elsewhere | (F.col("at") >= F.col("first.at") + F.col("lines"))))
-    gone = gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("ord")).alias("gone"))
-    gone = materialise(gone, "removed-chunks").select(F.col("id").alias("_dedup_id"), F.col("th").alias("_dedup_th"), F.col("gone").alias("_dedup_gone"))
-    # Always by a shuffle of the texts, as a small table of removed chunks here would be a large one elsewhere.
+    own = narrow.join(repeated, ["h1", "h2"]).select("id", "th", F.struct("at", "lines", "h1", "h2", (place == F.col("first")).alias("first")).alias("c"))
+    own = _keyed(materialise(own.groupBy("id", "th").agg(F.collect_set("c").alias("own")), "repeated-places"), "own")
+    # The texts meet their chunks by a shuffle at every size, as few repeats here would be many elsewhere.
+    texts = docs.where(several).select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    found = texts.join(own.hint("merge"), F.col("id").eqNullSafe(F.col("_dedup_id")) & (F.col("th") == F.col("_dedup_th")))
+    found = materialise(found.select("id", "th", F.explode(_placed(F.col("text"), F.col("_dedup_own"))).alias("c")).select("id", "th", "c.*"), "chunk-bytes")
+
+    firsts = found.where("first").groupBy("h1", "h2").agg(F.first(F.struct("id", "th", "at", "end", "body", "above", "below")).alias("f"))
+    firsts = materialise(firsts.select("h1", "h2", *[F.col(f"f.{c}").alias(f"f_{c}") for c in ("id", "th", "at", "end", "body", "above", "below")]), "first-chunks")
+    same_text = F.col("id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th"))
+    pairs = found.where("NOT first").join(firsts, ["h1", "h2"]).where((F.col("body") == F.col("f_body")) & (~same_text | (F.col("at") >= F.col("f_end"))))
+    up, down = _alike("above", "f_above"), _alike("below", "f_below")
+    pairs = pairs.withColumn("up", F.when(same_text, F.least(up, F.col("at") - F.col("f_end"))).otherwise(up))
+    pairs = pairs.withColumn("down", F.when(same_text, F.least(down, F.col("at") - F.col("up") - F.col("f_end"))).otherwise(down))
+    gone = pairs.groupBy("id", "th").agg(F.collect_set(F.struct((F.col("at") - F.col("up")).alias("at"), (F.col("end") + F.col("down")).alias("end"))).alias("gone"))
+    gone = _keyed(materialise(gone, "removed-lines"), "gone")
+
     joined = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_dedup_id")) & (F.xxhash64(F.col(text_col)) == F.col("_dedup_th")), "left")
     out = joined.withColumn("_dedup_out", _without(F.col(text_col), F.col("_dedup_gone")))
     out = out.withColumn("kept", F.col("_dedup_out.kept")).withColumn("n_removed", F.coalesce(F.col("_dedup_out.n_removed"), F.lit(0)).cast("long"))
     return out.drop("_dedup_id", "_dedup_th", "_dedup_gone", "_dedup_out")
+
+
+def _keyed(rows: DataFrame, column: str) -> DataFrame:
+    return rows.select(F.col("id").alias("_dedup_id"), F.col("th").alias("_dedup_th"), F.col(column).alias(f"_dedup_{column}"))

@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_mixing": op2_mixing.SQL,
+    "op8_line_dedup": op8_line_dedup.SQL,
     "op9_topk": op9_topk.SQL,
     "op10_decontamination": op10_decontamination.SQL,
 }

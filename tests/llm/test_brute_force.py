@@ -6,7 +6,6 @@ import os
 import random
 import re
 from collections import Counter
-from decimal import Decimal
 
 import duckdb
 import numpy as np
@@ -263,33 +262,7 @@ def test_licences_against_plain_cosine(spark):
             assert best[1] == got[k].licence and abs(best[0] - got[k].cosine) < 1e-5
 
 
-def test_line_chunks(spark):
-    r = random.Random(9)
-    lines = [f"line {k}" for k in range(40)]
-    rows = [(k, "\n".join(lines[s : s + r.randrange(1, 25)] if r.random() < 0.7 else [r.choice(lines) for _ in range(r.randrange(8))])) for k in range(80) for s in [r.randrange(20)]]
-    rows += [(90, rows[3][1]), (91, rows[10][1]), (92, "one\ntwo"), (93, "zero\none\ntwo")]
-    first, want = {}, {}
-    cut = {k: [(n, t.split("\n")[a:b]) for n, (a, b) in enumerate(line_dedup.chunk_bounds(t.split("\n")))] if t else [] for k, t in rows}
-    for k, text in rows:
-        whole = [(-1, text.split("\n"))] if len(cut[k]) > 1 else []
-        for n, own in cut[k] + whole:
-            if len(own) > 1:
-                key = "\n".join(own)
-                first[key] = min(first.get(key, (k, n)), (k, n))
-    for k, text in rows:
-        stays = lambda n, own: len(own) < 2 or first["\n".join(own)] == (k, n)
-        if not text or (len(cut[k]) > 1 and not stays(-1, text.split("\n"))):
-            want[k] = text and ""
-        else:
-            want[k] = "\n".join(x for n, own in cut[k] if stays(n, own) for x in own)
-    got = {x.doc_id: x.kept for x in line_dedup.dedup_lines(docs(spark, rows)).collect()}
-    assert got == want and any(t and want[k] == "" for k, t in rows)
-
-
 def test_line_chunks_resist_shifts():
     lines = [f"some line {k * 7919 % 101}" for k in range(60)]
     cut = lambda own: {"\n".join(own[a:b]) for a, b in line_dedup.chunk_bounds(own)}
     assert len(cut(lines) & cut(["new", *lines])) >= len(cut(lines)) - 2
-
-
-@needs_tables
