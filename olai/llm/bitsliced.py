@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from olai.llm.common import materialise
 
-#: Rows of the index that one task's bitmaps cover, and queries that meet them at once.
-INDEX_BLOCK, QUERY_BLOCK = 16384, 512
+#: Rows of the index that one task's bitmaps cover, and queries that meet them there.
+INDEX_BLOCK, QUERY_BLOCK = 16384, 4096
+#: Components are held within these bounds, so that those of a block can be shifted in 64 bits.
+MOST = 1 << 61
 
 
 class Slices:
@@ -96,8 +98,16 @@ class Slices:
         return np.flatnonzero(flags)
 
 
-def _nearest(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+def _nearest(ids: np.ndarray, scores: list[int], k: int) -> list[int]:
+    return sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
+
+
+def _products(rows: np.ndarray, query: np.ndarray) -> list[int]:
+    """Exact inner products, in Python's integers where 64 bits might not hold them."""
+    size = [int(np.abs(x).max(initial=0)) for x in (rows, query)]
+    if size[0] * size[1] * max(1, len(query)) < 1 << 62:
+        return (rows @ query).tolist()
+    return (rows.astype(object) @ query.astype(object)).tolist()
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -112,7 +122,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_
     Returns ``query_id, rank, vec_id, score``. Vectors that are null or empty
     or hold a null, NaN or infinite component take no part, as queries or as
     rows; nor do rows with a null id. A shorter vector counts as padded with
-    zeros. A row with the query's own id isn't returned; repeated ids are
+    zeros. Components beyond 2**61 after scaling count as 2**61, and scores
+    that a long can't hold are given as its limits. A row with the query's own id isn't returned; repeated ids are
     ranked as separate rows, repeated queries once. An empty table, or fewer
     than ``k`` rows, give what there is; other columns are ignored.
     """
@@ -121,7 +132,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_
     def quantised(df: DataFrame) -> DataFrame:
         own = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("_v"))
         own = own.where(F.col("id").isNotNull() & F.col("_v").isNotNull() & (F.size("_v") > 0) & sound)
-        return own.select("id", F.transform("_v", lambda x: F.floor(x * scale).cast("int")).alias("v"))
+        return own.select("id", F.transform("_v", lambda x: F.floor(F.greatest(F.lit(-float(MOST)), F.least(F.lit(float(MOST)), x * scale)))).alias("v"))
 
     index = materialise(quantised(rows), "vectors")
     asked = materialise(quantised(queries).distinct(), "queries")
@@ -139,9 +150,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_
 
             def out() -> pd.DataFrame:
                 own = pd.concat(held, ignore_index=True)
-                flat = np.zeros((len(own), dims), np.int32)
+                flat = np.zeros((len(own), dims), np.int64)
                 for i, v in enumerate(own["v"]):
                     flat[i, : len(v)] = v
+                if np.abs(flat).max(initial=0) < 1 << 31:
+                    flat = flat.astype(np.int32)
                 return pd.DataFrame({name: [int(own["block"].iloc[0])], f"{name}_ids": [own["id"].to_numpy(np.int64).tobytes()], f"{name}_v": [flat.tobytes()]})
 
             for part in parts:
@@ -156,23 +169,30 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_
         dealt = df.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
         return dealt.repartition(blocks, "block").sortWithinPartitions("block").mapInPandas(pack, f"{name} int, {name}_ids binary, {name}_v binary")
 
-    row_blocks, query_blocks = -(-n // INDEX_BLOCK), -(-m // QUERY_BLOCK)
+    # Of few blocks the queries are dealt out further, that all cores have work.
+    row_blocks = -(-n // INDEX_BLOCK)
+    query_blocks = max(-(-m // QUERY_BLOCK), min(-(-m // 512), -(-2 * rows.sparkSession.sparkContext.defaultParallelism // row_blocks)))
     blocks = packed(index, row_blocks, "rows").withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     grid = blocks.join(packed(asked, query_blocks, "queries"), "queries").repartition(row_blocks * query_blocks, "rows", "queries")
 
+    def unpacked(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(ids, np.int64)
+        kind = np.int32 if len(vectors) == 4 * dims * len(ids) else np.int64
+        return ids, np.frombuffer(vectors, kind).reshape(-1, dims).astype(np.int64)
+
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples():
-                ids, vectors = np.frombuffer(row.rows_ids, np.int64), np.frombuffer(row.rows_v, np.int32).reshape(-1, dims).astype(np.int64)
-                q_ids, q_vectors = np.frombuffer(row.queries_ids, np.int64), np.frombuffer(row.queries_v, np.int32).reshape(-1, dims).astype(np.int64)
+                ids, vectors = unpacked(row.rows_ids, row.rows_v)
+                q_ids, q_vectors = unpacked(row.queries_ids, row.queries_v)
                 slices, found = Slices(vectors), []
                 repeats = int(np.unique(ids, return_counts=True)[1].max())
                 for q, query in zip(q_ids, q_vectors):
                     near = slices.best(query, k + repeats)
                     near = near[ids[near] != q]
-                    scores = vectors[near] @ query
+                    scores = _products(vectors[near], query)
                     best = _nearest(ids[near], scores, k)
-                    found.append(pd.DataFrame({"query_id": q, "vec_id": ids[near][best], "score": scores[best]}))
+                    found.append(pd.DataFrame({"query_id": q, "vec_id": ids[near][best], "score": np.array([min(max(scores[i], -(1 << 63)), (1 << 63) - 1) for i in best], np.int64)}))
                 yield pd.concat(found, ignore_index=True)
 
     near = grid.mapInPandas(search, "query_id long, vec_id long, score long")

@@ -80,6 +80,9 @@ def test_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     out = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in bitsliced.top_k(df, df.where("vec_id % 20 = 0"), 20).collect())
     assert out == [(0, 1, 20, 4096), (0, 2, 7, 2048), (0, 3, 8, 2048), (0, 4, 8, 2048), (20, 1, 0, 4096), (20, 2, 7, 2048), (20, 3, 8, 2048), (20, 4, 8, 2048)]
+    huge = spark.createDataFrame([(0, [1e10, 0.5]), (1, [-1e10, 0.5]), (2, [1e10, -0.5]), (3, [3e38, 0.0]), (4, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    out = sorted((r["rank"], r.vec_id, r.score) for r in bitsliced.top_k(huge, huge.where("vec_id = 0"), 4).collect())
+    assert out == [(1, 2, (1 << 63) - 1), (2, 3, (1 << 63) - 1), (3, 4, 640_000_000_000 * 128 + 32 * 64), (4, 1, -(1 << 63))]
     assert bitsliced.top_k(df.limit(0), df).collect() == [] and bitsliced.top_k(df, df.limit(0)).collect() == []
 
 
