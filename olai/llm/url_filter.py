@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from olai.llm.common import ascii_lower, materialise
 
-FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "has_fragment", "is_https", "suffix_log_count", "suffix_length", "suffix_depth", "suffix_digits")
+FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "has_fragment", "is_https", "host_entropy", "path_entropy", "longest_digits", "lead_length", "lead_log_count", "suffix_length", "suffix_depth", "suffix_digits")
 
 
 def url_host(url: Column) -> Column:
@@ -52,7 +52,13 @@ def _entropy(text: Column) -> Column:
 
 
 def lexical_features(urls: DataFrame) -> DataFrame:
-    """Adds ``host, path`` and the features to rows with a column ``url``; those of suffixes come from all rows."""
+    """Adds ``host, path`` and the features to rows with a column ``url``.
+
+    Statistics of suffixes (the host's last label) and of leads (the path's
+    first segment) come from all rows, and from no label. Those of a suffix
+    enter as what the URL has beyond its mean: the means themselves would name
+    the suffix, and the trees would learn the rules' own hosts.
+    """
     url = F.coalesce(F.col("url"), F.lit(""))
     host, path = F.col("host"), F.col("path")
     parts = urls.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
@@ -60,6 +66,10 @@ def lexical_features(urls: DataFrame) -> DataFrame:
     n = F.length(url)
     parts = parts.withColumns({
         "suffix": F.substring_index(host, ".", -1),
+        "lead": F.regexp_extract(path, "^/([^/]*)", 1),
+        "host_entropy": F.when(host == "", 0.0).otherwise(_entropy(host)),
+        "path_entropy": F.when(path == "", 0.0).otherwise(_entropy(path)),
+        "longest_digits": F.array_max(F.concat(F.array(F.lit(0)), F.transform(F.regexp_extract_all(url, F.lit("[0-9]+"), F.lit(0)), F.length))).cast("double"),
         "url_length": n.cast("double"),
         "host_length": F.length(host).cast("double"),
         "path_length": F.length(path).cast("double"),
@@ -73,12 +83,32 @@ def lexical_features(urls: DataFrame) -> DataFrame:
         "is_https": F.startswith(url, F.lit("https:")).cast("double"),
     })
     stats = parts.groupBy("suffix").agg(
-        F.log1p(F.count(F.lit(1))).alias("suffix_log_count"),
-        F.avg("url_length").alias("suffix_length"),
-        F.avg("depth").alias("suffix_depth"),
-        F.avg("digit_ratio").alias("suffix_digits"),
+        F.avg("url_length").alias("mean_length"),
+        F.avg("depth").alias("mean_depth"),
+        F.avg("digit_ratio").alias("mean_digits"),
     )
-    return parts.join(stats, "suffix", "left")
+    # A lead shared by many pages, and a suffix even more so: rows meet small tables of counts, of which Spark splits the skew.
+    leads = materialise(parts.groupBy("lead").agg(F.log1p(F.count(F.lit(1))).alias("lead_log_count"), F.length("lead").cast("double").alias("lead_length")), "url-leads")
+    parts = parts.join(materialise(stats, "url-suffixes"), "suffix", "left").join(leads, "lead", "left")
+    return parts.withColumns({
+        "suffix_length": F.col("url_length") - F.col("mean_length"),
+        "suffix_depth": F.col("depth") - F.col("mean_depth"),
+        "suffix_digits": F.col("digit_ratio") - F.col("mean_digits"),
+    })
+
+
+def fit_trees(sample: DataFrame, trees: int = 12, depth: int = 4):
+    """Gradient-boosted trees on rows with ``label`` (0 or 1) and the features; both labels weigh the same in total."""
+    total = sample.groupBy().agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).first()
+    weight = F.when(F.col("label") == 1, total["n"] / (2 * total["ones"])).otherwise(total["n"] / (2 * (total["n"] - total["ones"])))
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample.withColumn("weight", weight))
+    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, weightCol="weight").fit(rows)
+
+
+def score_trees(model, rows: DataFrame) -> DataFrame:
+    """Adds ``score``, the probability of label 1."""
+    found = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows))
+    return found.withColumn("score", vector_to_array("probability")[1])
 
 
 def filter_urls(
@@ -94,7 +124,8 @@ def filter_urls(
 
     The URLs that a rule decides are the labelled ones. The trees learn from at
     most ``fit_rows`` of them (the bound of the fit: the first by md5 of the
-    URL) on lexical features and on statistics of the host's last label over
+    URL), allowed and blocked ones weighing the same, on lexical features and
+    on statistics of the host's last label and the path's first segment over
     all pages, and score every URL.
 
     Returns one row per input row: ``page_id, host, path, rule, score, verdict``;
@@ -114,9 +145,7 @@ def filter_urls(
     sample = materialise(sample.drop("_by").coalesce(1), "url-sample")
     classes = {r["label"] for r in sample.select("label").distinct().take(2)}
     if len(classes) == 2:
-        assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7).fit(assemble.transform(sample))
-        scored = model.transform(assemble.transform(rows)).withColumn("score", vector_to_array("probability")[1])
+        scored = score_trees(fit_trees(sample, trees, depth), rows)
     else:
         scored = rows.withColumn("score", F.lit(1.0 if classes == {1.0} else 0.0))
     verdict = F.coalesce(F.col("ruled"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
