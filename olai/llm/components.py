@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large and small stars in turn hang every node on its least neighbour; the
     edges are stars on their roots once a round changes nothing, after about
-    log(nodes) rounds. Minima are pre-aggregated and joined back, so a hub's
-    edges never meet in one group. Each round is written to the shared folder.
+    log(nodes) rounds. Minima are pre-aggregated and joined back to edges that
+    were written, so a hub's edges never meet in one group, nor in one task of
+    the join where Spark splits skewed joins. Each round is written to the shared folder.
     Roots themselves are in the result; nodes without an edge are not. Loops
     and repeated edges don't matter; rows with a null are ignored.
     """
@@ -26,9 +27,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Written, so that both sides of the join are scans and Spark can split a hub's edges.
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = materialise(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         # The smaller neighbours of u hang on the least of them, and so does u.
         down = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialise(down.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")

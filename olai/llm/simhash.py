@@ -400,7 +400,10 @@ def near_duplicates(
     nodes = materialise(found.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "fingerprint-nodes")
     links = trie_links(nodes, tables, budget, max_bits, gate)
     roots = connected_components(_verified(docs, text_col, shingle, links, similarity) if similarity else links)
-    rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    rooted = materialise(rooted, "fingerprint-roots")
-    component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return found.join(rooted.join(component, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
+    rooted = materialise(nodes.join(roots, "node", "left").select("node", "least", "root"), "fingerprint-roots")
+    # Only linked fingerprints meet on their root; all tables here are written, so Spark can split the rows of a large component.
+    linked = rooted.where("root IS NOT NULL")
+    component = materialise(linked.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    alone = rooted.where("root IS NULL").select("node", F.col("least").alias("component_id"))
+    named = materialise(linked.join(component, "root").select("node", "component_id").union(alone), "fingerprint-components")
+    return found.join(named, "node").select("doc_id", "fp", "component_id")
