@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, or a temporary one if all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="olai-shared-")
+        local = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+        found = "file://" + tempfile.mkdtemp(prefix="olai-shared-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_olai-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
