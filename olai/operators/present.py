@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from olai.functions.presentation import OPEN, SHOWN
+from olai.sources.shared import materialise
 
 
 def shown(ranked: DataFrame) -> DataFrame:
     """Adds ``expanded`` and ``hidden`` to a result with tiers.
 
     A tier is shown in full while it and the better ones have no more than 250
-    results; the others are hidden if they are more than five.
+    results; the others are hidden if they are more than five. The result is
+    written first, so that it is made once.
     """
+    ranked = materialise(ranked, "ranked-result")
     counts = ranked.agg(
         F.count(F.when(F.col("tier").isin("exact", "best"), 1)).alias("_best"), F.count(F.when(F.col("tier") == "related", 1)).alias("_related"), F.count(F.when(F.col("tier") == "other", 1)).alias("_other")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from olai.functions.patterns import Pattern, consuming, matches
+from olai.sources.shared import materialise
 
 #: Classes of matches, best first.
 A, B, C, BOTTOM = range(4)
@@ -89,8 +90,10 @@ def rank(result: DataFrame) -> DataFrame:
     """Assign tiers: adds ``tier`` (exact, best, related or other) and drops classes that are hidden.
 
     Which class is best depends on which classes there are; a class is hidden
-    behind too many results of better ones. Counts are one row.
+    behind too many results of better ones. Counts are one row. The result is
+    written first, so that the search runs once.
     """
+    result = materialise(result, "search-result")
     counts = result.agg(*[F.count(F.when(F.col("precedence") == k, 1)).alias(f"_{k}") for k in (A, B, C, BOTTOM)])
     a, b, c, bottom = (F.col(f"_{k}") for k in (A, B, C, BOTTOM))
     none = F.lit(None).cast("int")

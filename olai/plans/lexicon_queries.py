@@ -190,9 +190,9 @@ def word_count_topn(spark, sf_dir):
 
 
 def segment_runs(spark, sf_dir):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     text = F.concat(F.lit("தமிழ் "), F.col("role"), F.lit(" கடல்கரை, "), F.col("text"))
-    return counts.script_runs(turns.select("conv_id", text.alias("text")), "conv_id", "text")
+    return counts.script_runs(turns.select(F.concat_ws(":", "conv_id", "turn").alias("key"), text.alias("text")), "key", "text")
 
 
 def shown_results(spark, sf_dir):
@@ -322,6 +322,6 @@ ORACLE_SQL = {
     "word_count_topn": f"""{_BASE} SELECT word, count(*) AS count FROM defs WHERE word NOT IN ('{_code('the')}', '{_code('of')}', '{_code('and')}')
         GROUP BY word HAVING count(*) >= 2 ORDER BY count DESC, regexp_replace(word, '(.)', '\\1/', 'g') LIMIT 25""",
     "segment_runs": r"""
-        WITH t AS (SELECT conv_id AS id, regexp_extract_all('தமிழ் ' || role || ' கடல்கரை, ' || text, '[\x{0B83}-\x{0BD7}\x{200B}-\x{200D}]+|[^\x{0B83}-\x{0BD7}\x{200B}-\x{200D}]+') AS runs FROM conversations WHERE turn = 0)
+        WITH t AS (SELECT conv_id || ':' || turn AS id, regexp_extract_all('தமிழ் ' || role || ' கடல்கரை, ' || text, '[\x{0B83}-\x{0BD7}\x{200B}-\x{200D}]+|[^\x{0B83}-\x{0BD7}\x{200B}-\x{200D}]+') AS runs FROM conversations)
         SELECT id, (generate_subscripts(runs, 1) - 1)::INTEGER AS at, regexp_matches(unnest(runs), '^[\x{0B83}-\x{0BD7}\x{200B}-\x{200D}]') AS is_tamil, unnest(runs) AS run FROM t""",
 }

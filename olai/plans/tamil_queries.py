@@ -84,19 +84,22 @@ def pronounce_goldens(spark, sf_dir):
     return known.select("word", L.display(linguistics.pronunciation(L.encode(F.col("word")), F.array(F.lit("v")))).alias("spoken"))
 
 
+def turns(spark, sf_dir):
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return said.select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.concat_ws(" ", F.lit(TEXT), "text").alias("text"))
+
+
 def annotate_text(spark, sf_dir):
-    """The text above, said in every conversation's first turn."""
+    """Every turn of every conversation, whose own text follows the text above (the tables hold no Tamil)."""
     entries, known = small_lexicon(spark)
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0").select("conv_id", F.lit(TEXT).alias("text"))
-    found = annotate.annotate(turns, known, "conv_id", "text").where("is_tamil")
+    found = annotate.annotate(turns(spark, sf_dir), known, "key", "text").where("is_tamil")
     heads = found.select("id", "at", "part", "text", F.explode_outer("entries").alias("entry")).join(entries.select(F.col("index").alias("entry"), "word"), "entry", "left")
     return heads.groupBy("id", "at", "part", "text").agg(F.array_join(F.array_sort(F.collect_set("word")), " ").alias("words"))
 
 
 def annotated_word_counts(spark, sf_dir):
     entries, known = small_lexicon(spark)
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0").select("conv_id", F.lit(TEXT).alias("text"))
-    counted = counts.countable(annotate.annotate(turns, known, "conv_id", "text"), entries)
+    counted = counts.countable(annotate.annotate(turns(spark, sf_dir), known, "key", "text"), entries)
     return counts.top_words(counted, 10).select(L.display(F.col("word")).alias("word"), "count")
 
 
@@ -125,9 +128,9 @@ ORACLE_SQL = {
     "translit_goldens": f"SELECT query, word FROM {_V} UNION ALL SELECT 'kadai', 'கதை'",
     "normalize_goldens": f"SELECT * FROM (VALUES {_values(NORMAL)}) AS t(word, norm)",
     "pronounce_goldens": f"SELECT * FROM (VALUES {_values(SPOKEN)}) AS t(word, spoken)",
-    "annotate_text": f"""SELECT conv_id AS id, t.* FROM conversations, (VALUES {_S}) AS t("at", part, text, words) WHERE turn = 0""",
+    "annotate_text": f"""SELECT conv_id || ':' || turn AS id, t.* FROM conversations, (VALUES {_S}) AS t("at", part, text, words)""",
     "annotated_word_counts": f"""SELECT words AS word, count(*) AS count FROM conversations, (VALUES {_S}) AS t("at", part, text, words)
-        WHERE turn = 0 AND words NOT IN ('', 'அவன்') GROUP BY words HAVING count(*) >= 2""",
+        WHERE words NOT IN ('', 'அவன்') GROUP BY words HAVING count(*) >= 2""",
     "stream_word_counts": f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, translate(lower(w), '{L.LATIN}', '{L.LATIN_CODES}') AS word, count(*) AS count
         FROM (SELECT ts, unnest(regexp_extract_all(event_type, '[A-Za-z]+')) AS w FROM events) GROUP BY ALL""",
 }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,8 +100,9 @@ def definition_postings(entries: DataFrame, id_col: str = "index", text_col: str
 
     A word is in parentheses if a bracket is open before it, but not in a
     leading round group. A closer closes whatever is open, if anything is.
-    Texts without brackets are only split; others number brackets and words
-    together, and the depth is the running sum less its least so far.
+    Texts without brackets are only split; in others the depth is the running
+    sum of brackets less its least so far, taken within the row, so that no
+    word is shuffled before a search has seen it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = entries.select(F.col(id_col).alias("entry"), text.alias("text"))
@@ -107,20 +110,31 @@ def definition_postings(entries: DataFrame, id_col: str = "index", text_col: str
     plain = rows.where(~bracketed).select(F.posexplode(L.tokens(F.col("text"))).alias("word_idx", "word"), "entry")
     plain = plain.select("word", "entry", "word_idx", F.lit(False).alias("in_paren"))
 
-    parts = rows.where(bracketed).select("entry", F.posexplode(L.tokens(F.col("text"), brackets=True)).alias("at", "part"))
-    opens, closes = F.col("part").isin(*OPENERS), F.col("part").isin(*CLOSERS)
-    parts = parts.withColumn("step", F.when(opens, 1).when(closes, -1).otherwise(0)).withColumn("word", F.when(F.col("step") == 0, F.col("part")))
-    along = Window.partitionBy("entry").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    parts = parts.withColumn("total", F.sum("step").over(along))
-    parts = parts.withColumn("depth", F.col("total") - F.least(F.lit(0), F.min("total").over(along)))
-    spoken = F.col("word").isNotNull()
-    parts = parts.withColumn("outside", F.max(F.when(spoken & (F.col("depth") == 0), 1).otherwise(0)).over(along))
-    # The bracket that opened the outermost level.
-    parts = parts.withColumn("outermost", F.last(F.when(opens & (F.col("depth") == 1), F.col("part")), ignorenulls=True).over(along))
-    leading = (F.col("outside") == 0) & (F.col("depth") == 1) & (F.col("outermost") == "(")
-    number = F.row_number().over(Window.partitionBy("entry").orderBy("at")) - 1
-    words = parts.where(spoken).select("word", "entry", number.alias("word_idx"), ((F.col("depth") > 0) & ~leading).alias("in_paren"))
-    return plain.union(words)
+    words = rows.where(bracketed).select("entry", _bracket_depths(L.tokens(F.col("text"), brackets=True)).alias("d"))
+    words = words.select("entry", F.posexplode(F.arrays_zip(F.col("d.word").alias("word"), F.col("d.in_paren").alias("in_paren"))).alias("word_idx", "w"))
+    return plain.union(words.select("w.word", "entry", "word_idx", "w.in_paren"))
+
+
+def _bracket_depths(parts: Column) -> Column:
+    """The words among words and brackets, and whether each is in parentheses."""
+
+    sign = dict.fromkeys(OPENERS, 1) | dict.fromkeys(CLOSERS, -1)
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for own in texts:
+            step = np.array([sign.get(x, 0) for x in own], np.int64)
+            total = np.cumsum(step)
+            depth = total - np.minimum(0, np.minimum.accumulate(total)) if len(own) else total
+            word = step == 0
+            outside = np.logical_or.accumulate(word & (depth == 0))
+            # The bracket that opened the outermost level.
+            opened = np.maximum.accumulate(np.where((step > 0) & (depth == 1), np.arange(len(own)), -1)) if len(own) else total
+            leading = ~outside & (depth == 1) & np.array([k >= 0 and own[k] == "(" for k in opened], bool)
+            out.append((own[word], ((depth > 0) & ~leading)[word]))
+        return pd.DataFrame(out, columns=["word", "in_paren"])
+
+    return F.pandas_udf(run, "word array<string>, in_paren array<boolean>")(parts)
 
 
 def entries_by_id(entries: DataFrame, ids: str, id_col: str = "index") -> DataFrame:
