@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from olai.llm import op3_toxicity as query
 from olai.llm import toxicity
 from olai.llm.op3_toxicity import op3_toxicity
 from olai.llm.toxicity import CHAR_DIM, HIDDEN, WINDOW, WORD_DIM, Network
@@ -82,7 +83,9 @@ def test_gradients():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
-def test_query_on_held_out_documents(spark):
+def test_query_on_held_out_documents(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(query, "fit_toxicity", lambda *a: fitted.append(toxicity.fit_toxicity(*a)) or fitted[0])
     out = {r.doc_id: r for r in op3_toxicity(spark, SF).collect()}
     con = duckdb.connect()
     assert len(out) == con.execute(f"SELECT count(*) FROM '{SF}/documents.parquet'").fetchone()[0]
@@ -91,13 +94,20 @@ def test_query_on_held_out_documents(spark):
     right = sum(out[i].predicted == y for i, y in labels) / len(labels)
     caught = [out[i].predicted for i, y in labels if y]
     assert right >= 0.96 and sum(caught) / len(caught) >= 0.85
+    # Whole texts: toxic words at the far end of a long text are found.
+    net = fitted[0]
+    clean = con.execute(f"SELECT text FROM '{SF}/documents.parquet' JOIN '{SF}/labels.parquet' USING (doc_id) WHERE toxic = 0 AND length(text) > 5000 ORDER BY doc_id").fetchall()
+    clean = next(t for (t,) in clean if net.score([t])[0].max() < net.shift)
+    assert net.score([clean + " you stupid worthless moron what trash"])[0].max() > net.shift
 
 
 def test_whole_texts_and_defined_scores():
-    toxic = [(f"what an awful {w} you are number {i}", 1) for i in range(40) for w in ("moron", "idiot")]
-    clean = [(f"what a lovely {w} you are number {i}", 0) for i in range(40) for w in ("person", "friend")]
+    # Labels of texts of several windows, of which one is toxic.
+    friend = "what a lovely friend you are "
+    toxic = [(friend * (i % 9) + f"what an awful {w} you are number {i} " + friend * (i % 7), 1) for i in range(60) for w in ("moron", "idiot")]
+    clean = [(friend * (i % 9) + f"what a lovely {w} you are number {i} " + friend * (i % 7), 0) for i in range(60) for w in ("person", "sister")]
     net = toxicity.train(*map(list, zip(*(toxic + clean))), steps=200)
-    far = net.score(["what a lovely friend you are " * 2000 + "what an awful moron you are", "what a lovely friend you are " * 2000])
+    far = net.score([friend * 2000 + "what an awful moron you are", friend * 2000])
     assert far[0].max() > net.shift > far[1].max() and int(np.argmax(far[0])) >= len(far[0]) - 2
     assert toxicity.train([], []).constant == 0.0 and toxicity.train(["a", "b"], [1, 1]).constant == 1.0
     again = toxicity.train(*map(list, zip(*(toxic + clean))), steps=200)
