@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,10 +13,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from olai.llm.common import WORD
+from olai.llm.common import WORD, ascii_lower, materialise
 
-#: Words of test items that are broadcast at once; more items go in further blocks.
-BLOCK_WORDS = 2_000_000
+#: Words of test items up to which their index is built in the driver and broadcast; more items meet documents by shuffles.
+BROADCAST_WORDS = 500_000
+#: Parts that a common shingle, or a group of copies, is dealt to in those shuffles.
+SALTS = 8
 FOUND = "array<struct<item_id:{kind},shared:int,shingles:int>>"
 
 
@@ -108,27 +112,15 @@ def hash_rows(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def contained_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> Column:
-    """A column for ``docs``: which items each whole text holds, as ``array<struct<item_id, shared, shingles>>``.
+def _small(items: DataFrame) -> bool:
+    return (items.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0) <= BROADCAST_WORDS
 
-    An item is held if at least ``threshold`` of its distinct shingles of
-    ``shingle`` words (of all its words, if it has fewer) occur in the text.
-    Words are runs of non-blanks, A-Z lower-cased. Items without words are
-    never held, texts without words hold none; a null id is a name like any
-    other; repeated items are found each. Items are broadcast in blocks of
-    about ``BLOCK_WORDS`` words, so their number is not bounded.
-    """
-    items = items.select(F.col(item_id_col).alias("id"), F.col(item_text_col).alias("text"))
+
+def _held(items: DataFrame, shingle: int, threshold: float) -> Callable[[str], Column]:
+    """A column of the items that a text holds, searched in a broadcast index."""
     kind = items.schema["id"].dataType.simpleString()
-    total = items.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_WORDS))
-    context = docs.sparkSession.sparkContext
-    columns = []
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        shared = context.broadcast(ItemIndex.build([(r["id"], r["text"]) for r in own], shingle, threshold))
-        columns.append(F.pandas_udf(_searching(shared), FOUND.format(kind=kind)).asNondeterministic()(F.col(text_col)))
-    return F.concat(*columns) if blocks > 1 else columns[0]
+    index = ItemIndex.build([(r["id"], r["text"]) for r in items.collect()], shingle, threshold)
+    return F.pandas_udf(_searching(items.sparkSession.sparkContext.broadcast(index)), FOUND.format(kind=kind)).asNondeterministic()
 
 
 def _searching(shared):
@@ -139,19 +131,83 @@ def _searching(shared):
     return search
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
+
+
+def _shingles(words: str, n: int) -> Column:
+    """Runs of ``n`` words, repeats included."""
+    count = F.greatest(F.size(words) - n + 1, F.lit(0))
+    side_by_side = F.arrays_zip(*[F.slice(words, F.lit(k + 1), count).alias(f"w{k}") for k in range(n)])
+    return F.transform(side_by_side, lambda x: F.concat_ws(" ", *[x[f"w{k}"] for k in range(n)]))
+
+
+def _shuffled_pairs(rows: DataFrame, items: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Pairs ``row, id, shared, shingles`` of ``rows`` (``row, text``) and ``items`` (``id, text``), of any number.
+
+    Sketches and documents meet by a shuffle on shingle hashes, a document
+    only those items whose size fits in it; candidates are verified on the
+    words themselves. Items of the same words are searched once. Sketches and
+    items are laid out ``SALTS`` times, and rows dealt to one layout each, so
+    that neither a common shingle nor a popular item is one task.
+    """
+    named = materialise(items.select("id", F.array_join(_words("text"), " ").alias("words")).where("words <> ''"), "test-items")
+    alike = materialise(named.select("words").distinct().select(F.monotonically_increasing_id().alias("item"), "words", F.split("words", " ").alias("own")), "distinct-items")
+    alike = alike.withColumn("n", F.least(F.size("own"), F.lit(shingle)))
+    sizes = range(1, shingle + 1)
+    of_size = lambda words: F.coalesce(*[F.when(F.col("n") == n, F.array_distinct(_shingles(words, n))) for n in sizes])
+    sized = alike.withColumn("parts", of_size("own")).withColumn("shingles", F.size("parts"))
+    sized = sized.withColumn("need", F.greatest(F.lit(1), F.ceil(threshold * F.col("shingles") - 1e-9).cast("int")))
+    sized = materialise(sized.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "sized-items")
+    hashes = F.sort_array(F.array_distinct(F.transform("parts", lambda x: F.xxhash64(x))))
+    sketch = sized.select("item", "n", "need", "salt", F.explode(F.slice(hashes, F.lit(1), F.col("shingles") - F.col("need") + 1)).alias("hash"))
+
+    salt = F.pmod("row", F.lit(SALTS)).cast("int").alias("salt")
+    worded = rows.select("row", _words("text").alias("own"))
+    parts = [worded.select("row", salt, F.lit(n).alias("n"), (F.size("own") - n + 1).alias("most"), F.explode(F.array_distinct(F.transform(_shingles("own", n), lambda x: F.xxhash64(x)))).alias("hash")) for n in sorted(r["n"] for r in alike.select("n").distinct().collect())]
+    if not parts:
+        return rows.sparkSession.createDataFrame([], f"row long, id {items.schema['id'].dataType.simpleString()}, shared int, shingles int")
+    met = reduce(DataFrame.union, parts).join(sketch.hint("merge"), ["hash", "n", "salt"]).where("most >= need")
+    candidates = materialise(met.select("row", "salt", "item").distinct(), "containment-candidates")
+
+    texts = worded.join(candidates.select("row").distinct().hint("merge"), "row", "left_semi")
+    asked = candidates.join(sized.select("item", "salt", "n", "parts", "shingles", "need"), ["item", "salt"])
+    shared = F.size(F.array_intersect("parts", of_size("doc_words"))).alias("shared")
+    pairs = texts.withColumnRenamed("own", "doc_words").join(asked, "row").select("row", "item", "shingles", "need", shared).where("shared >= need")
+    return pairs.join(alike.select("item", "words"), "item").join(named, "words").select("row", "id", "shared", "shingles")
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """Pairs ``doc_id, item_id, shared, shingles, containment`` of documents and the test items inside them.
 
-    One row for each input row and item; see :func:`contained_items` for what
-    counts. Empty tables give no pairs; other columns are ignored.
+    An item is held if at least ``threshold`` of its distinct shingles of
+    ``shingle`` words (of all its words, if it has fewer) occur in the whole
+    text. Words are runs of non-blanks, A-Z lower-cased. Items of up to
+    ``BROADCAST_WORDS`` words in all are broadcast; more are joined by
+    shuffles, with the same result.
+
+    One row for each input row and item. Items without words are never held,
+    texts without words hold none; a null id is a name like any other;
+    repeated rows and items are found each. Empty tables give no pairs; other
+    columns are ignored.
     """
-    text_col = options.get("text_col", "text")
+    items = items.select(F.col(item_id_col).alias("id"), F.col(item_text_col).alias("text"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = rows.select("doc_id", F.explode(contained_items(rows, items, **(options | {"text_col": "text"}))).alias("f"))
-    return found.select("doc_id", "f.item_id", "f.shared", "f.shingles", (F.col("f.shared") / F.col("f.shingles")).alias("containment"))
+    containment = (F.col("shared") / F.col("shingles")).alias("containment")
+    if _small(items):
+        found = rows.select("doc_id", F.explode(_held(items, shingle, threshold)("text")).alias("f")).select("doc_id", "f.*")
+        return found.select("doc_id", "item_id", "shared", "shingles", containment)
+    rows = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "searched-texts")
+    pairs = _shuffled_pairs(rows.select("row", "text"), items, shingle, threshold)
+    return rows.select("row", "doc_id").join(pairs, "row").select("doc_id", F.col("id").alias("item_id"), "shared", "shingles", containment)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no test item."""
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no test item (see :func:`find_contamination`)."""
+    items = items.select(F.col(item_id_col).alias("id"), F.col(item_text_col).alias("text"))
     mark = "_held_" + "_".join(sorted(docs.columns))[:40]
-    return docs.withColumn(mark, contained_items(docs, items, **options)).where(F.size(mark) == 0).drop(mark)
+    if _small(items):
+        return docs.withColumn(mark, _held(items, shingle, threshold)(F.col(text_col))).where(F.size(mark) == 0).drop(mark)
+    marked = materialise(docs.withColumn(mark, F.monotonically_increasing_id()), "searched-documents")
+    pairs = _shuffled_pairs(marked.select(F.col(mark).alias("row"), F.col(text_col).alias("text")), items, shingle, threshold)
+    return marked.join(pairs.select(F.col("row").alias(mark)).distinct().hint("merge"), mark, "left_anti").drop(mark)
