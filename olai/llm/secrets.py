@@ -12,6 +12,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 BASE = ("assign", "access", "hex")
+#: Matches of one text whose offsets are summed at once.
+BLOCK = 256
 #: Weak candidates by the part they can play.
 WEAK = {
     "weak_id": r"""(?i)(?<![A-Za-z0-9_])(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""",
@@ -28,21 +30,29 @@ def _spans(text: Column, pattern: str, kind: str) -> Column:
     """Leftmost non-overlapping matches as ``(start, end, match)`` in code points.
 
     The text between matches comes from ``split``, so both lists give the
-    offsets by running sums of their lengths.
+    offsets by running sums of their lengths: over blocks of ``BLOCK`` matches
+    first, then within each block, so that no list of all matches is copied
+    once a match.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string,match:string>>").alias("spans"))
+    none = F.array().cast("array<struct<start:int,end:int,kind:string,match:string>>")
+    pairs = F.transform(F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("match")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), x["match"].alias("match")))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+        start = acc["at"] + x["gap"]
         end = start + F.length(x["match"])
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["match"].alias("match"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("match"))
-    spans = F.aggregate(pairs, empty, step)["spans"]
-    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(empty["spans"])
+    def block(acc: Column, x: Column) -> Column:
+        size = F.aggregate(x, F.lit(0), lambda n, y: n + y["gap"] + F.length(y["match"]))
+        return F.struct((acc["at"] + size).alias("at"), F.concat(acc["blocks"], F.array(F.struct(acc["at"].alias("at"), x.alias("pairs")))).alias("blocks"))
+
+    cut = F.aggregate(F.array(pairs), F.array().cast("array<array<struct<gap:int,match:string>>>"), lambda _, p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda i: F.slice(p, i * BLOCK + 1, F.lit(BLOCK))))
+    placed = F.aggregate(cut, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,pairs:array<struct<gap:int,match:string>>>>").alias("blocks")), block)["blocks"]
+    spans = F.flatten(F.transform(placed, lambda b: F.aggregate(b["pairs"], F.struct(b["at"].alias("at"), none.alias("spans")), step)["spans"]))
+    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(none)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
