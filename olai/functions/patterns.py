@@ -189,41 +189,125 @@ def _sandhi() -> dict[str, set[str]]:
 SANDHI = _sandhi()
 
 
-def tamil(word: str, expand: bool = True) -> Pattern:
-    """Tamil letters, with the spellings at joints of words and common colloquial vowels on the wide side."""
-    if not expand:
+_KCP = codes("K", "Ch", "P")
+#: Letters that stand for each other between vowels, and those of them that do so at the start as well.
+GRANTHA_SWAP = {"J": "Ch", "Ch": "J", "Sh": "RetroT", "RetroT": "Sh", "H": "K", "K": "H"}
+GRANTHA_INITIAL = ("J", "Ch")
+#: What an initial letter becomes after the letters of a word before it.
+INITIAL = {"T": (("RetroT RetroN", "RetroT"), ("AlveolarR AlveolarN", "AlveolarR")), "N": (("RetroN", "RetroN"), ("AlveolarN", "AlveolarN"))}
+#: What a final letter becomes before the letters of a word after it.
+FINAL = {"RetroL": (("K Ch P RetroT", "RetroT"), ("K Ch P RetroN M", "RetroN")), "AlveolarL": (("K Ch P AlveolarR", "AlveolarR"), ("K Ch P AlveolarN M", "AlveolarN")), "AlveolarN": (("K Ch P", "AlveolarR"),)}
+_NAMES = dict(zip(L.CODES, L.NAMES))
+_RETROFLEX = codes("RetroT", "RetroN", "RetroL", "Zh")
+_V = L.VOWEL_CODES
+#: Endings that may be missing: -aaga and -aana, -endru and -endra, after a glide or a letter that ends a word; -thal.
+_AAGA, _ENDRU = f"1[{codes('K', 'AlveolarN')}]0", f"6{CODE['AlveolarN']}{CODE['AlveolarR']}[04]"
+_Y_AFTER, _V_AFTER = codes("I", "LongI", "E", "LongE", "Ai"), codes("A", "LongA", "U", "LongU", "O", "LongO", "Au")
+ENDING = re.compile(
+    f"(?<=...)(?:{_AAGA})$|(?<=.[{L.TAMIL_FINAL}])(?:{_ENDRU})$|(?<=.[{_Y_AFTER}]){CODE['Y']}(?:{_AAGA}|{_ENDRU})$|(?<=.[{_V_AFTER}]){CODE['V']}(?:{_AAGA}|{_ENDRU})$|(?<=..[{L.TAMIL_FINAL}])4?{CODE['T']}{{1,2}}0{CODE['AlveolarL']}$"
+)
+
+
+def _variants(word: str, at: int, full: bool) -> list[str]:
+    """Ways to write the letter ``at`` of a word, other than itself, given its neighbours."""
+    ch, last = word[at], at == len(word) - 1
+    name = _NAMES.get(ch, "")
+    left, right = word[at - 1] if at else "", word[at + 1] if not last else ""
+    vowel_next = bool(right) and right in _V
+    out = []
+    if name in GRANTHA_SWAP and vowel_next and (left in _V if left else name in GRANTHA_INITIAL):
+        out.append(CODE[GRANTHA_SWAP[name]])
+    if not at and vowel_next:
+        out += [f"(?<=[{codes(*own.split())}]){CODE[to]}" for own, to in INITIAL.get(name, ())]
+    if last and left and left in _V:
+        out += [f"{CODE[to]}(?=[{codes(*own.split())}])" for own, to in FINAL.get(name, ())]
+        out += [f"{CODE[to]}$" for own, to in (("AlveolarN", "R"), ("R", "AlveolarN")) if name == own and left == CODE["A"]]
+    if name in ("N", "AlveolarN"):
+        out.append(f"{CODE['AlveolarN' if name == 'N' else 'N']}(?=[{_V}])")
+    if name == "Ai":
+        out.append(CODE["A"] + CODE["Y"])
+    if name == "Au":
+        out.append(CODE["A"] + CODE["V"] + CODE["U"])
+    if not full:
+        return out
+    opens = bool(right) and right in L.CONSONANT_CODES and word[at + 2 : at + 3] != "" and word[at + 2] in codes("A", "E", "Ai")
+    labial = lambda x: f"(?<=[{codes('P', 'M')}]){CODE[x]}(?=[{_RETROFLEX}])"
+    between = lambda x: f"(?<=[{_V}]){x}(?=[{_V}])"
+    spoken = {
+        "A": [CODE["Ai"]], "LongA": [CODE["Y"] + CODE["LongA"]], "U": [] if opens else [labial("I")], "E": [CODE["Ai"]] + ([CODE["I"]] if opens else []), "O": [CODE["U"], labial("I")] if opens else [labial("E")],
+        "R": [between(CODE["AlveolarR"])], "V": [between(CODE["P"])], "RetroN": [f"(?<=[{L.NEDIL}]){CODE['AlveolarN']}{CODE['AlveolarR']}(?=[{_V}])"], "RetroL": [CODE["Zh"]],
+    }
+    before_final = at == len(word) - 2 and right in codes("M", "RetroL", "AlveolarL", "AlveolarN", "R")
+    return out + ([] if before_final else spoken.get(name, []))
+
+
+def tamil(word: str, expand: bool = True, level: str = "full") -> Pattern:
+    """Tamil letters, with other spellings on the wide side.
+
+    ``minor`` takes spellings that are a matter of writing: joints of words,
+    grantha letters, initial and final letters, diphthongs, the two kinds of
+    n. ``full`` takes colloquial sounds and missing endings besides, and
+    ``exact`` (or ``expand=False``) only the word as written.
+    """
+    if level not in ("exact", "minor", "full"):
+        raise ValueError(f"level must be exact, minor or full, not {level!r}")
+    if not expand or level == "exact":
         return letters(word)
+    full = level == "full"
+    ending = ENDING.search(word) if full else None
+    if ending:
+        # A match without the ending goes no further.
+        return Pattern(word, f"{tamil(word[: ending.start()]).wide}(?:{re.escape(ending.group())})?")
     wide, at = "", 0
     while at < len(word):
         pair = word[at : at + 2]
         ways = SANDHI.get(pair)
+        ch, last = word[at], at == len(word) - 1
         if ways:
             wide += f"(?:{'|'.join(sorted({pair, *ways}))})"
             at += 2
             continue
-        ch, last = word[at], at == len(word) - 1
-        if ch == CODE["A"] and at:
-            wide += char_class(codes("A", "Ai"))
-        elif ch == CODE["Au"]:
-            wide += f"(?:{CODE['Au']}|{CODE['A']}{CODE['V']}{CODE['U']})"
-        elif ch == CODE["Ai"]:
-            wide += f"(?:{CODE['Ai']}|{CODE['A']}{CODE['Y']})"
-        elif ch in (CODE["O"], CODE["U"]) and at < 2:
-            wide += char_class(codes("O", "U"))
-        elif ch in (CODE["E"], CODE["I"]) and at < 2:
-            wide += char_class(codes("E", "I"))
-        elif ch in (CODE["RetroL"], CODE["Zh"]):
-            wide += char_class(codes("RetroL", "Zh"))
-        elif ch == CODE["M"] and last and len(word) > 2:
-            wide += char_class(codes("M", "Ng", "Ny", "N")) + "?"
-        elif ch == CODE["U"] and last and at > 3:
-            wide += f"{ch}?"
+        if at and pair == codes_in_order("A M") and at == len(word) - 2:
+            # A final m turns into the nasal of the next word; it falls before a word, and -am before a vowel.
+            m = f"0(?:[{codes('M', 'Ng', 'Ny', 'N')}]" + (f"|(?=[{L.TAMIL_INITIAL}]))" if len(word) > 2 else ")")
+            wide += f"(?:{m}|(?=[{_V}]))" if len(word) > 4 else m
+            at += 2
+            continue
+        if ch == CODE["M"] and last and at and word[at - 1] in _V:
+            wide += char_class(codes("M", "Ng", "Ny", "N"))
+        elif pair == codes_in_order("A Y") or word[at : at + 3] in (codes_in_order("A V U"), codes_in_order("A V V")):
+            three = word[at + 1] == CODE["V"] and word[at + 2] == CODE["U"]
+            rest = word[at + 1 : at + 3] if three else word[at + 1]
+            own = f"[{codes('A', 'Ai')}]{rest}" if full else f"0{rest}"
+            wide += f"(?:{own}|{CODE['Ai'] if word[at + 1] == CODE['Y'] else CODE['Au']})"
+            at += 1 + len(rest)
+            continue
+        elif ch == CODE["U"] and last and at > 2:
+            # A final u falls before a vowel, and at the end after a letter that may end a word.
+            wide += f"(?:{ch}|(?=[{_V.replace(ch, '')}])|(?<=[{L.TAMIL_FINAL}])$)"
         else:
-            wide += ch
+            more = _variants(word, at, full)
+            wide += f"(?:{'|'.join([ch, *more])})" if more else ch
         at += 1
     return Pattern(word, wide)
 
 
+def implicit_transliteration(word: str) -> bool:
+    """Whether a word has Latin letters, that a search would take for Tamil ones."""
+    return any(c.lower() in L.LATIN for c in word)
+
+
+def transliterated_set(group: Iterable[str], negate: bool = False) -> Pattern:
+    """One letter of a set in which Latin letters stand for the Tamil letters that they may be; others stand for themselves."""
+    own: set[str] = set()
+    for c in group:
+        if c.isascii() and c in L.LATIN_CODES:
+            _, likely, unlikely, _ = TRANSLITERATION[L.LATIN[L.LATIN_CODES.index(c)]]
+            own |= set(codes(*likely.split(), *unlikely.split()))
+        own.add(c)
+    return one_of(sorted(own), negate)
+
+
 def consuming(regex: str) -> str:
     """The expression without its empty matches: what is left of the word must have become shorter."""
     if re.fullmatch(f"(?:{regex})", "") or re.search(f"(?:{regex})$", "x") and re.search(f"(?:{regex})$", "x").group() == "":

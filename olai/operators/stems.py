@@ -15,15 +15,47 @@ from olai.sources.lexicon import headwords, kind_bits
 
 STEM = "array<struct<stem:string,states:string,likelihood:string>>"
 PRONOUNS = ("sp", "spa")
-# Words that are stemmed by themselves: codes by letter names, kinds (any of), likelihood, and stems with states.
+# Words that are stemmed by themselves: codes by letter names, kinds (any of; - for all), likelihood, and stems
+# with states (none: the word has no stem).
 SPECIAL = """
-A | spa pa | Prefix | A: VowelAdjective
-I | spa pa | Prefix | I: VowelAdjective
-E | spa pa | Prefix | E: VowelAdjective
-LongA AlveolarN A | pa | Suffix | LongA AlveolarN A: Adjective
-Ai | i | Prefix | Ai: Done
-I AlveolarN | i | Unlikely | I AlveolarN: Done
+Y LongA AlveolarN | sp | Prefix | Y LongA AlveolarN: Emphasis
+N LongA AlveolarN | sp | Prefix | N LongA AlveolarN: Emphasis
+Y LongA M | sp | Prefix | Y LongA M: Emphasis
+N LongA M | sp | Prefix | N LongA M: Emphasis
+N LongA Ng K A RetroL | sp | Prefix | N LongA Ng K A RetroL: Emphasis
+N LongI | sp | Prefix | N LongI: Emphasis
+N LongI R | sp | Prefix | N LongI R: Emphasis
+N LongI Ng K A RetroL | sp | Prefix | N LongI Ng K A RetroL: Emphasis
+T LongA AlveolarN | sp | Prefix | T LongA AlveolarN: Emphasis
+T LongA M | sp | Prefix | T LongA M: Emphasis
+T LongA Ng K A RetroL | sp | Prefix | T LongA Ng K A RetroL: Emphasis
+E Ng K A RetroL | p | Prefix | E Ng K A RetroL: Oblique
+U Ng K A RetroL | p | Prefix | U Ng K A RetroL: Oblique
+T A Ng K A RetroL | p | Prefix | T A Ng K A RetroL: Oblique
+E AlveolarN | p | Prefix | E AlveolarN: CaseNoKu, E AlveolarN A K K U: Emphasis AagaOrAayOrAana
+E M | p | Prefix | E M: CaseNoKu, E M A K K U: Emphasis AagaOrAayOrAana
+N A M | p | Prefix | N A M: CaseNoKu, N A M A K K U: Emphasis AagaOrAayOrAana
+U AlveolarN | p | Prefix | U AlveolarN: CaseNoKu, U AlveolarN A K K U: Emphasis AagaOrAayOrAana
+U M | p | Prefix | U M: CaseNoKu, U M A K K U: Emphasis AagaOrAayOrAana
+T A AlveolarN | p | Prefix | T A AlveolarN: CaseNoKu, T A AlveolarN A K K U: Emphasis AagaOrAayOrAana
+T A M | p | Prefix | T A M: CaseNoKu, T A M A K K U: Emphasis AagaOrAayOrAana
+A V Ai | sp vp | Prefix | A: AdjectiveStemAvai
+I V Ai | sp vp | Prefix | I: AdjectiveStemAvai
+E V Ai | sp vp | Prefix | E: AdjectiveStemAvai
+Y LongA V Ai | sp vp | Prefix | Y LongA: AdjectiveStemAvai
+A | sp vp | Prefix | A: VowelAdjective
+I | sp vp | Prefix | I: VowelAdjective
+E | sp vp | Prefix | E: VowelAdjective
+LongA AlveolarN A | i | Suffix | LongA AlveolarN A: Adjective
+U RetroL RetroL A | - | Regular | U RetroL RetroL U: TenseStem SpecialA SpecialB
+E AlveolarL AlveolarL LongA M | p | Regular | E AlveolarL AlveolarL LongA M: Emphasis, E AlveolarL AlveolarL LongA: Adjective
+Y LongA V U M | p | Regular | Y LongA V U M: Emphasis, Y LongA: Adjective
+M U Zh U | pa | Regular | M U Zh U: AdjectiveStem Emphasis
+M LongA RetroT RetroT U | tv | Regular | M LongA RetroT RetroT U: GeneralStem SpecialA, M LongA RetroT RetroT LongA: Negative
+Ai | pa | Prefix | Ai: Done
+I AlveolarN | pa | Unlikely | I AlveolarN: Done
 O AlveolarN P A T U | p | Regular | O AlveolarN P A T U: Plural
+K O RetroN RetroT I R U | v | Regular |
 """
 
 
@@ -176,8 +208,11 @@ def build_stems(entries: DataFrame, verbs: DataFrame) -> DataFrame:
     special = [tuple(x.strip() for x in line.split("|")) for line in SPECIAL.strip().split("\n")]
     fixed = F.lit(None).cast(STEM)
     for name, kinds, likelihood, stems in special:
-        own = [_stem(None, F.lit(_c(s.split(":")[0])), s.split(":")[1].strip(), likelihood) for s in stems.split(",")]
-        fixed = F.when((w == _c(name)) & has(*kinds.split()), F.array(*own)).otherwise(fixed)
+        own = [_stem(None, F.lit(_c(s.split(":")[0])), s.split(":")[1].strip(), likelihood) for s in stems.split(",") if s]
+        fits = (w == _c(name)) & ~F.contains("word", F.lit(" "))
+        if kinds != "-":
+            fits &= has(*kinds.split())
+        fixed = F.when(fits, F.array(*own) if own else F.array().cast(STEM)).otherwise(fixed)
     pair = has("va") & (F.col("_n") == 2) & (F.col("_at") == 0)
     plain = (
         F.when(has("pa") & pair, adverb_stems(w))
@@ -189,11 +224,13 @@ def build_stems(entries: DataFrame, verbs: DataFrame) -> DataFrame:
         .otherwise(_all(_stem(None, w, "Emphasis")))
     )
     plain = F.when(has("i") & ~has("pa", "va", "v", "p", "sp"), particle_stems(w)).otherwise(plain)
-    usual = words.select("index", "word", "kind_set", F.coalesce(fixed, plain).alias("stems"))
+    # The words that stand by themselves come before all rules, verbs included.
+    words = words.withColumn("_fixed", fixed)
+    usual = words.select("index", "word", "kind_set", F.coalesce("_fixed", plain).alias("stems"))
 
     forms = resolve_forms(verbs).groupBy("word", "sub").agg(F.collect_set("form").alias("forms"))
     is_verb = has("v") & ~has("pa", "va", "i")
-    spoken = words.where(is_verb).alias("e").join(forms.alias("f"), (F.col("e.word") == F.col("f.word")) & F.col("e.sub").eqNullSafe(F.col("f.sub")))
+    spoken = words.where(is_verb & F.col("_fixed").isNull()).alias("e").join(forms.alias("f"), (F.col("e.word") == F.col("f.word")) & F.col("e.sub").eqNullSafe(F.col("f.sub")))
     verbal = spoken.select("index", "e.word", "kind_set", verb_stems(F.col("w"), F.col("forms")).alias("stems"))
 
     found = usual.union(verbal).select("index", "word", "kind_set", F.explode("stems").alias("s"))

@@ -98,3 +98,20 @@ def test_stream_counts_words(spark, tmp_path):
     got = {(r.start.hour, r.word): r["count"] for r in spark.table("stream_counts").collect()}
     red, sea = codes(spark, "red", "sea")
     assert got == {(1, red): 2, (1, sea): 1, (2, red): 1}
+
+
+def test_words_that_stem_by_themselves(spark):
+    texts = ["நான்", "என்", "உள்ள", "எல்லாம்", "மாட்டு", "கொண்டிரு", "அவை"]
+    kinds = [["sp"], ["p"], ["v"], ["p"], ["tv"], ["v"], ["sp"]]
+    entries = spark.createDataFrame([(i, w, None, k) for i, (w, k) in enumerate(zip(texts, kinds))], "index int, word string, sub smallint, kinds array<string>")
+    entries = entries.withColumn("kind_set", lexicon.kind_set(F.col("kinds")))
+    verbs = lexicon.read_verbs(spark, None)
+    got = {}
+    for r in stems.build_stems(entries, verbs).collect():
+        got.setdefault(texts[r.entry], set()).add((r.root, r.state, r.likelihood))
+    c = dict(zip(texts, codes(spark, *texts)))
+    # A stem goes in both normal forms, so states are compared.
+    states = {w: {s for _, s, _ in own} for w, own in got.items()}
+    assert states == {"நான்": {"Emphasis"}, "என்": {"CaseNoKu", "Emphasis", "AagaOrAayOrAana"}, "உள்ள": {"TenseStem", "SpecialA", "SpecialB"}, "எல்லாம்": {"Emphasis", "Adjective"}, "மாட்டு": {"GeneralStem", "SpecialA", "Negative"}, "அவை": {"AdjectiveStemAvai"}}
+    assert all(p == "Prefix" for w in ("நான்", "என்", "அவை") for _, _, p in got[w])
+    assert "கொண்டிரு" in c and "கொண்டிரு" not in got

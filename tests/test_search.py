@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from olai.functions import letters as L
-from olai.functions.patterns import END, MIDDLE, START, Pattern, after, before, latin, letters, one_of, tamil, transliterated
+from olai.functions.patterns import END, MIDDLE, START, Pattern, after, before, latin, implicit_transliteration, letters, one_of, tamil, transliterated, transliterated_set
 from olai.operators import counts, references, search, suggest
 from olai.plans.tamil_queries import PAIRS
 from olai.sources import lexicon
@@ -152,3 +152,33 @@ def test_dictionary_json(spark, tmp_path):
 
 def test_letters_pattern_is_literal():
     assert letters("D0").plain == "D0" and not letters("D0").expands
+
+
+def test_spelling_levels():
+    n = lambda names: "".join(L.CODE[{"L": "AlveolarL"}.get(x, x)] for x in names.split())
+    hit = lambda word, text, level: bool(re.search(tamil(n(word), level=level).wide, n(text)))
+    cases = [
+        # Grantha letters between vowels, and at the start.
+        ("A Ch A R", "A J A R", "minor"), ("J A R A", "Ch A R A", "minor"),
+        # A final l before a hard letter, a final an at the end, m before another word.
+        ("K A RetroL", "K A RetroT K A", "minor"), ("A V A AlveolarN", "A V A R", "minor"), ("M A R A M", "M A R A P", "minor"), ("M A R A M", "M A R A Ng", "minor"),
+        # Initial t after a retroflex, and both kinds of n.
+        ("T A R A", "RetroT RetroT A R A", "minor"), ("A N A L", "A AlveolarN A L", "minor"),
+        # Sounds as spoken, and endings that are missing.
+        ("K A R I", "K A AlveolarR I", "full"), ("K A V I", "K A P I", "full"), ("V E R A", "V I R A", "full"), ("N A L A LongA K A", "N A L A", "full"), ("LongU RetroL", "LongU Zh", "full"),
+    ]
+    for word, text, level in cases:
+        assert hit(word, text, level), (word, text)
+        assert not hit(word, text, "exact")
+        assert hit(word, word, level)
+        if level == "full":
+            assert not hit(word, text, "minor"), (word, text)
+    # -am falls before a vowel only.
+    assert hit("M A R A M", "M A R A P", "full") and not hit("M A R A M", "M A R", "full") and not hit("K A R I", "K AlveolarR I", "full")
+
+
+def test_sets_in_latin_letters():
+    assert implicit_transliteration("kadal") and not implicit_transliteration("கடல்")
+    k = transliterated_set(c("k"))
+    assert re.fullmatch(k.plain, L.CODE["K"]) and re.fullmatch(k.plain, c("k")) and not re.fullmatch(k.plain, L.CODE["P"])
+    assert re.fullmatch(transliterated_set(c("k"), negate=True).plain, L.CODE["P"])
