@@ -77,6 +77,34 @@ def encode(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit("[ஂ-ௗ]")), folded).otherwise(latin)
 
 
+def spelled(text: str) -> str:
+    """The codes of a short text, such as a search term, in the driver; see :func:`encode`."""
+    out = ""
+    for ch in text.lower():
+        last, rest = out[-1:], out[:-1]
+        if ch in LATIN:
+            out += LATIN_CODES[LATIN.index(ch)]
+        elif ch in VOWELS:
+            out += VOWEL_CODES[VOWELS.index(ch)]
+        elif ch == AAYDHAM:
+            out += CODES[12]
+        elif ch in CONSONANTS or ch == OLD_S:
+            out += (CODE["S"] if ch == OLD_S else CONSONANT_CODES[CONSONANTS.index(ch)]) + CODE["A"]
+        elif ch in SIGNS:
+            vowel = VOWEL_CODES[1 + SIGNS.index(ch)]
+            pair = {(CODE["E"], CODE["LongA"]): CODE["O"], (CODE["LongE"], CODE["LongA"]): CODE["LongO"]}
+            out = rest + vowel if last == CODE["A"] else rest + pair[last, vowel] if (last, vowel) in pair else out + vowel
+        elif ch == PULLI:
+            au = CODE["E"] + CODE["RetroL"] if rest else CODE["O"] + CODE["RetroL"]
+            cut = {CODE["A"]: "", CODE["LongA"]: CODE["R"], CODE["O"]: CODE["E"] + CODE["R"], CODE["LongO"]: CODE["LongE"] + CODE["R"], CODE["Au"]: au}
+            out = rest + cut[last] if last and last in cut else out
+        elif ch == LA_SIGN:
+            out = rest + CODE["Au"] if last and last in CODE["E"] + CODE["O"] else out + CODE["RetroL"] + CODE["A"]
+        elif ch == OM:
+            out += CODE["LongO"] + CODE["M"]
+    return out
+
+
 def _read(word: Column, mark: Column) -> Column:
     last, rest = F.right(word, F.lit(1)), F.left(word, F.length(word) - 1)
     vowel = F.translate(mark, _MARKS[:11], VOWEL_CODES[1:])

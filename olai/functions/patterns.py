@@ -7,8 +7,9 @@ it matches with spelling variants. Both run on the JVM by ``rlike``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,33 +20,72 @@ from olai.functions.letters import CODE, char_class, codes
 
 @dataclass(frozen=True)
 class Pattern:
+    """What is matched as written and with variants; ``live`` is that part of the variants after which more may follow.
+
+    A variant that is not live is frozen: it is a match, but what comes after
+    it in a larger pattern never follows. ``skips`` says that the pattern may
+    be left out altogether, so that a frozen match before it stands.
+    """
+
     plain: str
     wide: str
+    live: str | None = None
+    skips: bool = False
+
+    @property
+    def goes_on(self) -> str:
+        return self.wide if self.live is None else self.live
 
     def then(self, other: Pattern) -> Pattern:
-        return Pattern(self.plain + other.plain, self.wide + other.wide)
+        if not isinstance(other, Pattern):
+            return NotImplemented
+        if self.live is None and other.live is None:
+            return Pattern(self.plain + other.plain, self.wide + other.wide, None, self.skips and other.skips)
+        wide = self.goes_on + other.wide
+        if other.skips:
+            wide = f"(?:{wide}|{self.wide})"
+        return Pattern(self.plain + other.plain, wide, self.goes_on + other.goes_on, self.skips and other.skips)
 
     __add__ = then
 
     def either(self, other: Pattern) -> Pattern:
-        return Pattern(f"(?:{self.plain}|{other.plain})", f"(?:{self.wide}|{other.wide})")
+        if not isinstance(other, Pattern):
+            return NotImplemented
+        live = None if self.live is None and other.live is None else f"(?:{self.goes_on}|{other.goes_on})"
+        return Pattern(f"(?:{self.plain}|{other.plain})", f"(?:{self.wide}|{other.wide})", live, self.skips or other.skips)
 
     __or__ = either
 
     def repeat(self, least: int = 0, most: int | None = None) -> Pattern:
-        times = f"{{{least},{'' if most is None else most}}}"
-        return Pattern(f"(?:{self.plain}){times}", f"(?:{self.wide}){times}")
+        def times(low: int, high: int | None) -> str:
+            return f"{{{low},{'' if high is None else high}}}"
+
+        plain, skips = f"(?:{self.plain}){times(least, most)}", self.skips or not least
+        if self.live is None:
+            return Pattern(plain, f"(?:{self.wide}){times(least, most)}", None, skips)
+        live = f"(?:{self.live}){times(least, most)}"
+        if most == 0:
+            return Pattern(plain, live, None, True)
+        # Only the last copy may be a frozen match.
+        last = f"(?:{self.live}){times(max(least - 1, 0), None if most is None else most - 1)}(?:{self.wide})"
+        return Pattern(plain, f"(?:{last})?" if not least else last, live, skips)
 
     @property
     def expands(self) -> bool:
         return self.plain != self.wide
 
+    def freezing(self) -> Pattern:
+        """The same matches, after which nothing may follow."""
+        return Pattern(self.plain, self.wide, "(?!)", self.skips)
+
     def whole(self) -> Pattern:
         """Only as a whole word, as written."""
         return Pattern(f"^(?:{self.plain})$", f"^(?:{self.plain})$")
 
 
 START, END = Pattern("^", "^"), Pattern("$", "$")
+#: Matches without a letter.
+NOTHING = Pattern("", "", None, True)
 #: Neither at the start nor at the end of a word.
 MIDDLE = Pattern("(?<=.)(?=.)", "(?<=.)(?=.)")
 
@@ -256,9 +296,10 @@ def tamil(word: str, expand: bool = True, level: str = "full") -> Pattern:
     full = level == "full"
     ending = ENDING.search(word) if full else None
     if ending:
-        # A match without the ending goes no further.
-        return Pattern(word, f"{tamil(word[: ending.start()]).wide}(?:{re.escape(ending.group())})?")
-    wide, at = "", 0
+        # A match without the ending is frozen.
+        stem = tamil(word[: ending.start()])
+        return Pattern(word, f"(?:{stem.goes_on}{ending.group()}|{stem.wide})", f"{stem.goes_on}{ending.group()}")
+    wide, frozen, at = "", "", 0
     while at < len(word):
         pair = word[at : at + 2]
         ways = SANDHI.get(pair)
@@ -268,9 +309,10 @@ def tamil(word: str, expand: bool = True, level: str = "full") -> Pattern:
             at += 2
             continue
         if at and pair == codes_in_order("A M") and at == len(word) - 2:
-            # A final m turns into the nasal of the next word; it falls before a word, and -am before a vowel.
-            m = f"0(?:[{codes('M', 'Ng', 'Ny', 'N')}]" + (f"|(?=[{L.TAMIL_INITIAL}]))" if len(word) > 2 else ")")
-            wide += f"(?:{m}|(?=[{_V}]))" if len(word) > 4 else m
+            # A final m turns into the nasal of the next word; it falls before a word, and -am before a vowel, which ends the match.
+            fallen = ([f"0(?=[{L.TAMIL_INITIAL}])"] if len(word) > 2 else []) + ([f"(?=[{_V}])"] if len(word) > 4 else [])
+            frozen = f"{wide}(?:{'|'.join(fallen)})" if fallen else ""
+            wide += f"0[{codes('M', 'Ng', 'Ny', 'N')}]"
             at += 2
             continue
         if ch == CODE["M"] and last and at and word[at - 1] in _V:
@@ -289,7 +331,73 @@ def tamil(word: str, expand: bool = True, level: str = "full") -> Pattern:
             more = _variants(word, at, full)
             wide += f"(?:{'|'.join([ch, *more])})" if more else ch
         at += 1
-    return Pattern(word, wide)
+    return Pattern(word, f"(?:{wide}|{frozen})", wide) if frozen else Pattern(word, wide)
+
+
+class Options(NamedTuple):
+    """How a term is spelled: whether Latin letters stand for Tamil ones, and the level of variants."""
+
+    transliterate: bool
+    level: str
+
+
+EXACT, MINOR, TRANS = Options(False, "exact"), Options(False, "minor"), Options(True, "minor")
+FULL_NO_TRANS, FULL = Options(False, "full"), Options(True, "full")
+
+
+@dataclass(frozen=True)
+class Term:
+    """A pattern whose spelling is left open until its role in a query tells the options; built like a pattern."""
+
+    at: Callable[[Options], Pattern]
+
+    def __add__(self, other: Term | Pattern) -> Term:
+        return Term(lambda o: self.at(o) + as_term(other).at(o))
+
+    def __radd__(self, other: Pattern) -> Term:
+        return as_term(other) + self
+
+    def __or__(self, other: Term | Pattern) -> Term:
+        return Term(lambda o: self.at(o) | as_term(other).at(o))
+
+    __ror__ = __or__
+
+    def repeat(self, least: int = 0, most: int | None = None) -> Term:
+        return Term(lambda o: self.at(o).repeat(least, most))
+
+    def whole(self) -> Term:
+        """Only as a whole word, as written, whatever the role."""
+        return Term(lambda o: self.at(EXACT).whole())
+
+
+def as_term(own: Term | Pattern) -> Term:
+    return own if isinstance(own, Term) else Term(lambda o: own)
+
+
+def term(text: str) -> Term:
+    """The letters of a text, Tamil or Latin, spelled as the role wants it."""
+    own = L.spelled(text)
+
+    def at(options: Options) -> Pattern:
+        if options.level == "exact":
+            return letters(own)
+        out = NOTHING
+        for run in re.findall(f"[{L.LATIN_CODES}]+|[^{L.LATIN_CODES}]+", own):
+            if run[0] not in L.LATIN_CODES:
+                out = out + tamil(run, level=options.level)
+            elif options.transliterate:
+                out = out + transliterated(run.translate(str.maketrans(L.LATIN_CODES, L.LATIN)), expand=options.level == "full")
+            else:
+                out = out + letters(run)
+        return out
+
+    return Term(at)
+
+
+def set_term(group: Iterable[str], negate: bool = False) -> Term:
+    """One letter of a set of codes, in which Latin letters stand for Tamil ones besides where the role transliterates."""
+    own = list(group)
+    return Term(lambda o: transliterated_set(own, negate) if o.transliterate else one_of(own, negate))
 
 
 def implicit_transliteration(word: str) -> bool:

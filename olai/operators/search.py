@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from olai.functions.patterns import Pattern, consuming, matches
+from olai.functions.patterns import FULL, FULL_NO_TRANS, MINOR, TRANS, Pattern, Term, as_term, consuming, matches
 from olai.sources.shared import materialise
+from olai.sources.vocabulary import Vocabulary
 
 #: Classes of matches, best first.
 A, B, C, BOTTOM = range(4)
@@ -17,32 +19,115 @@ A, B, C, BOTTOM = range(4)
 SOFT, MEMBERS, HARD = 1000, 10, 5000
 
 
-def _class_of(m: Column, is_head: Column, in_paren: Column) -> Column:
+class Role(NamedTuple):
+    """A pattern of a query, whether it is looked for in headwords only, and whether it excludes."""
+
+    pattern: Pattern
+    heads_only: bool = False
+    excludes: bool = False
+
+
+def _hit(word: Column, pattern: Pattern) -> Column:
+    """How a word matches a pattern: null if it doesn't, else whether as a whole and its classes as a headword, in text and in parentheses."""
+    m = matches(word, pattern)
     head = F.when(m["plain_start"], A).when(m["plain_end"] | m["wide_start"], B).otherwise(BOTTOM)
     inside = F.when(m["wide_start"], C).otherwise(BOTTOM)
     body = F.when(m["plain_whole"], A).when(m["wide_start"], B).when(m["plain_end"], C).otherwise(BOTTOM)
-    return F.when(is_head, head).when(in_paren, inside).otherwise(body)
+    return F.when(F.rlike(word, F.lit(consuming(pattern.wide))), F.struct(m["wide_whole"].alias("whole"), head.alias("head"), body.alias("body"), inside.alias("inside")))
 
 
-def search(postings: DataFrame, pattern: Pattern) -> DataFrame:
-    """Entries with a word that matches: ``entry, exact, precedence, has_head, words``.
+def _tagged(source: DataFrame | Vocabulary, patterns: Sequence[Pattern]) -> DataFrame:
+    """Postings of words that match any pattern, with a column ``h<k>`` for each pattern.
 
-    ``exact`` says that a headword matches as a whole, even by a variant;
-    ``precedence`` is the best class among headwords, if any matches, else
-    among words of the definition; ``words`` are the numbers of those. The
-    predicate filters the postings where they are scanned; only matches are
-    shuffled, by entry.
+    Over a vocabulary, a word is judged once and its postings are joined; over
+    bare postings every token is judged.
     """
-    found = postings.where(F.rlike("word", F.lit(consuming(pattern.wide))))
-    m, is_head = matches(F.col("word"), pattern), F.col("word_idx").isNull()
-    found = found.select("entry", "word_idx", is_head.alias("head"), m.alias("m"), "in_paren")
-    found = found.select("entry", "word_idx", "head", (F.col("head") & F.col("m.wide_whole")).alias("exact"), _class_of(F.col("m"), F.col("head"), F.col("in_paren")).alias("class"))
-    return found.groupBy("entry").agg(
-        F.bool_or("exact").alias("exact"),
-        F.coalesce(F.min(F.when(F.col("head"), F.col("class"))), F.min("class")).alias("precedence"),
-        F.bool_or("head").alias("has_head"),
-        F.array_sort(F.collect_set("word_idx")).alias("words"),
-    )
+    some = reduce(Column.__or__, [F.rlike("word", F.lit(consuming(p.wide))) for p in patterns])
+    hits = [_hit(F.col("word"), p).alias(f"h{k}") for k, p in enumerate(patterns)]
+    if isinstance(source, Vocabulary):
+        return source.of_words(source.words.where(some).select("word", "shards", *hits))
+    return source.where(some).select("*", *hits)
+
+
+def search_roles(source: DataFrame | Vocabulary, queries: Sequence[Sequence[Role]]) -> list[DataFrame]:
+    """One result for each query, all from one pass over the postings and one aggregate by entry.
+
+    A query's result holds the entries that every pattern matches which
+    doesn't exclude, and none which does: ``entry, exact, precedence,
+    has_head, words``. ``exact`` says that a headword matches as a whole, even
+    by a variant. ``precedence`` is the best class among headwords; without
+    one, the worst of the patterns' best classes among words of definitions.
+    ``words`` are the numbers of those. Several results are written first, so
+    that the pass is made once.
+    """
+    roles = [(q, r) for q, own in enumerate(queries) for r in own]
+    rows = _tagged(source, [r.pattern for _, r in roles])
+    is_head = F.col("word_idx").isNull()
+    found, positive = [], {}
+    for k, (q, r) in enumerate(roles):
+        hit = F.col(f"h{k}")
+        applies = hit.isNotNull() & is_head if r.heads_only else hit.isNotNull()
+        found.append(F.bool_or(applies).alias(f"_found{k}"))
+        if r.excludes:
+            continue
+        positive.setdefault(q, []).append(k)
+        found += [
+            F.bool_or(is_head & hit["whole"]).alias(f"_exact{k}"),
+            F.min(F.when(is_head, hit["head"])).alias(f"_head{k}"),
+            F.min(F.when(~is_head & applies, F.when(F.col("in_paren"), hit["inside"]).otherwise(hit["body"]))).alias(f"_body{k}"),
+        ]
+    for q, own in positive.items():
+        some = reduce(Column.__or__, [F.col(f"h{k}").isNotNull() for k in own if not roles[k][1].heads_only], F.lit(False))
+        found.append(F.array_sort(F.collect_set(F.when(some, F.col("word_idx")))).alias(f"_words{q}"))
+    grouped = rows.groupBy("entry").agg(*found)
+    if len(queries) > 1:
+        grouped = materialise(grouped, "query-results")
+    return [_result(grouped, q, [(k, r) for k, (of, r) in enumerate(roles) if of == q]) for q in range(len(queries))]
+
+
+def _result(grouped: DataFrame, q: int, roles: Sequence[tuple[int, Role]]) -> DataFrame:
+    own = [k for k, r in roles if not r.excludes]
+    if not own:
+        raise ValueError("a query needs a pattern that doesn't exclude; see all_entries")
+    true = lambda name, k: F.coalesce(F.col(f"_{name}{k}"), F.lit(False))
+    holds = reduce(Column.__and__, [true("found", k) for k in own] + [~true("found", k) for k, r in roles if r.excludes])
+    several = lambda f, columns: f(*columns) if len(columns) > 1 else columns[0]
+    head, body = several(F.least, [F.col(f"_head{k}") for k in own]), several(F.greatest, [F.col(f"_body{k}") for k in own])
+    exact = reduce(Column.__or__, [true("exact", k) for k in own])
+    return grouped.where(holds).select("entry", exact.alias("exact"), F.coalesce(head, body).alias("precedence"), head.isNotNull().alias("has_head"), F.col(f"_words{q}").alias("words"))
+
+
+def search(source: DataFrame | Vocabulary, pattern: Pattern) -> DataFrame:
+    """Entries with a word that matches: ``entry, exact, precedence, has_head, words`` (see :func:`search_roles`)."""
+    return search_roles(source, [[Role(pattern)]])[0]
+
+
+def compose(
+    source: DataFrame | Vocabulary, entries: DataFrame, words: Sequence[Term | Pattern] = (), definitions: Sequence[Term | Pattern] = (),
+    not_words: Sequence[Term | Pattern] = (), not_definitions: Sequence[Term | Pattern] = (), kinds: int = 0, id_col: str = "index",
+) -> DataFrame:
+    """A whole query: adds ``is_fallback`` to the entries that hold all terms, none of the excluded, and one of the kinds.
+
+    Terms are spelled at the level of their role (patterns are taken as they are): words fully, in Latin
+    letters too; definitions (and headwords with them) with minor variants;
+    excluded words with minor variants, in Latin letters too; excluded
+    definitions with minor variants. Without a positive term, all entries are
+    taken. If nothing is found and no definition was asked for, the words are
+    looked for in definitions instead. All of that is one pass over the
+    postings.
+    """
+    words, definitions, not_words, not_definitions = ([as_term(t) for t in own] for own in (words, definitions, not_words, not_definitions))
+    own = [Role(t.at(FULL), heads_only=True) for t in words] + [Role(t.at(MINOR)) for t in definitions]
+    own += [Role(t.at(TRANS), heads_only=True, excludes=True) for t in not_words] + [Role(t.at(MINOR), excludes=True) for t in not_definitions]
+    if not words and not definitions:
+        # Excluded entries are those that any of the patterns finds.
+        gone = search_roles(source, [[r._replace(excludes=False)] for r in own]) if own else []
+        return all_entries(entries, gone, kinds, id_col).withColumn("is_fallback", F.lit(False))
+    if definitions or not_definitions:
+        return of_kinds(search_roles(source, [own])[0], entries, kinds, id_col).withColumn("is_fallback", F.lit(False))
+    instead = [Role(t.at(FULL_NO_TRANS)) for t in words] + [Role(t.at(MINOR), excludes=True) for t in not_words]
+    first, second = (of_kinds(r, entries, kinds, id_col) for r in search_roles(source, [own, instead]))
+    return or_else(first, second)
 
 
 def intersect(results: Sequence[DataFrame]) -> DataFrame:

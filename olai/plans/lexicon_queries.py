@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from olai.functions import letters as L
 from olai.functions import presentation
-from olai.functions.patterns import END, START, Pattern, after, before, latin, one_of
+from olai.functions.patterns import END, START, Pattern, after, before, latin, one_of, term
 from olai.operators import counts, present, references, search, suggest
 from olai.sources import lexicon
 from olai.sources.shared import spread
+from olai.sources.vocabulary import build_vocabulary, once
 
 _AZ, _CODES = L.LATIN, L.LATIN_CODES
 #: Set of Latin vowels, as codes.
@@ -29,6 +30,20 @@ def _tables(spark, sf_dir):
     return lexicon.from_tables(read("part"), spread(read("documents").select("doc_id", "text")))
 
 
+def _index(spark, sf_dir):
+    """Entries, and the vocabulary of headwords and of both headwords and definitions; indexed once for all searches."""
+
+    def build():
+        entries, heads, defs = _tables(spark, sf_dir)
+        return entries, build_vocabulary(heads), build_vocabulary(heads.union(defs))
+
+    return once(spark, f"lexicon:{sf_dir}", build)
+
+
+def _source(spark, sf_dir, corpus="both"):
+    return _index(spark, sf_dir)[1 if corpus == "head" else 2]
+
+
 def _flat(result):
     """Word numbers as their count and sum, so that results compare as plain values."""
     n = F.size("words").cast("long").alias("n_words")
@@ -90,8 +105,7 @@ _BOTH = "TRUE"
 
 def _search(pattern: Pattern, corpus: str = "head"):
     def query(spark, sf_dir):
-        _, heads, defs = _tables(spark, sf_dir)
-        return _flat(search.search(heads if corpus == "head" else heads.union(defs), pattern))
+        return _flat(search.search(_source(spark, sf_dir, corpus), pattern))
 
     return query
 
@@ -118,35 +132,42 @@ def encode_lstr(spark, sf_dir):
 
 
 def search_intersect(spark, sf_dir):
-    _, heads, defs = _tables(spark, sf_dir)
-    both = heads.union(defs)
-    return _flat(search.intersect([search.search(both, latin("th")), search.search(both, latin("er"))]))
+    return _flat(search.search_roles(_source(spark, sf_dir), [[search.Role(latin("th")), search.Role(latin("er"))]])[0])
 
 
 def search_except(spark, sf_dir):
-    _, heads, defs = _tables(spark, sf_dir)
-    both = heads.union(defs)
-    return _flat(search.exclude(search.search(both, latin("ing")), [search.search(both, START + latin("wh"))]))
+    return _flat(search.search_roles(_source(spark, sf_dir), [[search.Role(latin("ing")), search.Role(START + latin("wh"), excludes=True)]])[0])
+
+
+def composed_query(spark, sf_dir):
+    """Two words of definitions, a part of the headword, an excluded headword and an excluded definition, of five kinds: one pass over postings."""
+    entries, _, both = _index(spark, sf_dir)
+    return _flat(search.compose(both, entries, words=[latin("i") + one_of(_code("ndz"))], definitions=[term("er"), term("th") + END], not_words=[latin("red")], not_definitions=[START + term("orr")], kinds=0b011111))
+
+
+def composed_fallback(spark, sf_dir):
+    """A word in Latin letters, that stands for Tamil ones no headword has, and then is looked for as it is in definitions."""
+    entries, _, both = _index(spark, sf_dir)
+    return _flat(search.compose(both, entries, words=[term("tion")], not_words=[START + term("or")]))
 
 
 def kind_filter(spark, sf_dir):
-    entries, heads, _ = _tables(spark, sf_dir)
+    entries, heads, _ = _index(spark, sf_dir)
     return _flat(search.of_kinds(search.search(heads, latin("e")), entries, 0b000101))
 
 
 def filter_all(spark, sf_dir):
-    entries, heads, _ = _tables(spark, sf_dir)
+    entries, heads, _ = _index(spark, sf_dir)
     return _flat(search.all_entries(entries, [search.search(heads, latin("a"))], 0b111100))
 
 
 def def_fallback(spark, sf_dir):
-    _, heads, defs = _tables(spark, sf_dir)
-    return _flat(search.or_else(search.search(heads, latin("thth")), search.search(heads.union(defs), latin("thth"))))
+    alone, both = search.search_roles(_source(spark, sf_dir), [[search.Role(latin("thth"), heads_only=True)], [search.Role(latin("thth"))]])
+    return _flat(search.or_else(alone, both))
 
 
 def rank_tiers(spark, sf_dir):
-    _, heads, defs = _tables(spark, sf_dir)
-    return _flat(search.rank(search.search(heads.union(defs), latin("ring"))))
+    return _flat(search.rank(search.search(_source(spark, sf_dir), latin("ring"))))
 
 
 def suggest_topk(spark, sf_dir):
@@ -196,8 +217,7 @@ def segment_runs(spark, sf_dir):
 
 
 def shown_results(spark, sf_dir):
-    _, heads, defs = _tables(spark, sf_dir)
-    return present.shown(search.rank(search.search(heads.union(defs), latin("ring")))).select("entry", "tier", "expanded", "hidden")
+    return present.shown(search.rank(search.search(_source(spark, sf_dir), latin("ring")))).select("entry", "tier", "expanded", "hidden")
 
 
 def query_escape(spark, sf_dir):
@@ -246,6 +266,8 @@ QUERIES = {
     "search_lookbehind": _search(after(_VOWELS) + latin("n"), "both"),
     "intersect_word_def": search_intersect,
     "neg_word_except": search_except,
+    "composed_query": composed_query,
+    "composed_fallback": composed_fallback,
     "kind_filter": kind_filter,
     "filter_all": filter_all,
     "def_fallback": def_fallback,
@@ -293,6 +315,16 @@ ORACLE_SQL = {
                coalesce(list_sum(list_distinct(list_concat(coalesce(r1.words, []), coalesce(r2.words, [])))), 0)::BIGINT AS sum_words
         FROM r1 JOIN r2 USING (entry)""",
     "neg_word_except": f"{_BASE}, {_found('r', _BOTH, _code('ing'))}, {_found('n', _BOTH, '^' + _code('wh'))} SELECT {_OUT} FROM r WHERE entry NOT IN (SELECT entry FROM n)",
+    "composed_query": f"""{_BASE}, {_found('r1', 'head', _code('i') + '[' + _code('ndz') + ']')}, {_found('r2', _BOTH, _code('er'))}, {_found('r3', _BOTH, _code('th') + '$')},
+        {_found('n1', 'head', _code('red'))}, {_found('n2', _BOTH, '^' + _code('orr'))}
+        SELECT entry, r1.exact OR r2.exact OR r3.exact AS exact,
+               least(r1.precedence, CASE WHEN r2.has_head THEN r2.precedence END, CASE WHEN r3.has_head THEN r3.precedence END)::INTEGER AS precedence, TRUE AS has_head,
+               len(list_distinct(list_concat(coalesce(r2.words, []), coalesce(r3.words, [])))) AS n_words,
+               coalesce(list_sum(list_distinct(list_concat(coalesce(r2.words, []), coalesce(r3.words, [])))), 0)::BIGINT AS sum_words, FALSE AS is_fallback
+        FROM r1 JOIN r2 USING (entry) JOIN r3 USING (entry)
+        WHERE entry NOT IN (SELECT entry FROM n1) AND entry NOT IN (SELECT entry FROM n2) AND entry IN (SELECT entry FROM heads WHERE kind_set & 31 <> 0)""",
+    "composed_fallback": f"""{_BASE}, {_found('r', _BOTH, _code('tion'))}, {_found('n', _BOTH, '^' + _code('or'))}
+        SELECT {_OUT}, TRUE AS is_fallback FROM r WHERE entry NOT IN (SELECT entry FROM n)""",
     "kind_filter": f"{_BASE}, {_found('r', 'head', _code('e'))} SELECT {_OUT} FROM r WHERE entry IN (SELECT entry FROM heads WHERE kind_set & 5 <> 0)",
     "filter_all": f"""{_BASE}, {_found('n', 'head', _code('a'))}
         SELECT entry, FALSE AS exact, 0 AS precedence, TRUE AS has_head, 0::BIGINT AS n_words, 0::BIGINT AS sum_words FROM heads
