@@ -75,8 +75,8 @@ class Pattern:
         return self.plain != self.wide
 
     def freezing(self) -> Pattern:
-        """The same matches, after which nothing may follow."""
-        return Pattern(self.plain, self.wide, "(?!)", self.skips)
+        """The same matches as variants, after which nothing may follow."""
+        return Pattern("(?!)", self.wide, "(?!)", self.skips)
 
     def whole(self) -> Pattern:
         """Only as a whole word, as written."""

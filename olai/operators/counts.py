@@ -19,9 +19,9 @@ def script_runs(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "at", F.rlike("run", F.lit("^" + tamil)).alias("is_tamil"), "run")
 
 
-def top_words(words: DataFrame, n: int = 25, least: int = 2, stop: Sequence[str] = ()) -> DataFrame:
-    """The ``n`` most frequent (at most 100) of ``words(word)`` in codes with their ``count``, ties in dictionary order."""
-    n = max(0, min(n, 100))
+def top_words(words: DataFrame, n: int = 25, least: int = 2, stop: Sequence[str] = (), most: int | None = 100) -> DataFrame:
+    """The ``n`` most frequent (at most ``most``) of ``words(word)`` in codes with their ``count``, ties in dictionary order."""
+    n = max(0, n if most is None else min(n, most))
     counted = words.where(~F.col("word").isin(*stop)) if stop else words
     counted = counted.groupBy("word").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least)
     return counted.orderBy(F.desc("count"), L.sort_key(F.col("word"))).limit(n)

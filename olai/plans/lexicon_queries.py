@@ -175,6 +175,20 @@ def suggest_topk(spark, sf_dir):
     return suggest.suggest(heads, _code("s"), 20)
 
 
+#: What is typed: one of two words or a set of letters, and a variant of each.
+_TYPED = Pattern(_code("th"), f"(?:{_code('th')}|{_code('wh')})") + one_of(_VOWELS) | latin("re")
+
+
+def suggest_alternatives(spark, sf_dir):
+    """Completions of a pattern with an alternative and a set, among all words of headwords and definitions."""
+    return suggest.suggest_pattern(_source(spark, sf_dir), _TYPED, 60)
+
+
+def suggest_single(spark, sf_dir):
+    """Completions of a set of one letter after a word, which ends at one place."""
+    return suggest.suggest_pattern(_source(spark, sf_dir), latin("th") + one_of(_code("o")), 90)
+
+
 def collation_sort(spark, sf_dir):
     entries, _, _ = _tables(spark, sf_dir)
     words = entries.select(F.explode("parsed").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -275,6 +289,8 @@ QUERIES = {
     "rank_tiers": rank_tiers,
     "suggest_topk": suggest_topk,
     "suggest_json": suggest_json,
+    "suggest_alternatives": suggest_alternatives,
+    "suggest_single": suggest_single,
     "shown_results": shown_results,
     "query_escape": query_escape,
     "definition_numbers": definition_numbers,
@@ -290,6 +306,19 @@ _V, _NV = f"[{_VOWELS}]", f"[^{_VOWELS}]"
 _SUGGEST = f"""{_BASE}, words AS (SELECT word, min(entry) AS entry FROM heads WHERE starts_with(word, '{_code('s')}') GROUP BY word),
         tiers AS (SELECT w.word, w.entry, CASE WHEN EXISTS (SELECT 1 FROM words v WHERE length(v.word) > 1 AND v.word <> w.word AND starts_with(w.word, v.word)) THEN 'branch' ELSE 'leaf' END AS tier FROM words w)
         SELECT word, entry, tier FROM tiers ORDER BY tier DESC, regexp_replace(word, '(.)', '\\1/', 'g') LIMIT 20"""
+
+
+def _suggested(plain: str, wide: str, n: int) -> str:
+    return f"""{_BASE}, words AS (SELECT word, min(entry) AS entry FROM postings WHERE word <> '' GROUP BY word),
+        ends AS (SELECT word, entry, left(word, k) AS q, NOT regexp_full_match(left(word, k), '{plain}') AS ex
+                 FROM (SELECT *, unnest(range(1, length(word) + 1)) AS k FROM words) WHERE regexp_full_match(left(word, k), '{wide}')),
+        ways AS (SELECT count(DISTINCT (q, ex)) AS n FROM ends),
+        tiers AS (SELECT e.word, e.entry, min((CASE WHEN ex THEN 2 ELSE 0 END) + CASE WHEN CASE WHEN (SELECT n FROM ways) > 1 THEN e.word = q ELSE b.word IS NULL END THEN 0 ELSE 1 END) AS tier
+                  FROM ends e LEFT JOIN (SELECT DISTINCT l.word FROM (SELECT word, q, unnest(range(length(q) + 1, length(word))) AS k FROM ends) l JOIN words v ON v.word = left(l.word, k)) b ON b.word = e.word
+                  GROUP BY e.word, e.entry)
+        SELECT word, entry, ['leaf', 'branch', 'expanded leaf', 'expanded branch'][tier + 1] AS tier FROM tiers ORDER BY tiers.tier, regexp_replace(word, '(.)', '\\1/', 'g'), entry LIMIT {n}"""
+
+
 ORACLE_SQL = {
     "scan_entries": f"""{_BASE} SELECT entry AS id, row_number() OVER (ORDER BY regexp_replace(word, '(.)', '\\1/', 'g'), sub NULLS FIRST, entry) - 1 AS index,
         p_name AS word, sub, kind_set::INTEGER AS kind_set, regexp_replace(word, '(.)', '\\1/', 'g') AS sort_key FROM heads""",
@@ -335,6 +364,8 @@ ORACLE_SQL = {
     "rank_tiers": f"{_BASE}, {_found('r', _BOTH, _code('ring'))}{_RANKED}",
     "suggest_topk": _SUGGEST,
     "suggest_json": f"""SELECT '{{"word":"' || word || '","entry":' || entry || ',"tier":"' || tier || '"}}' AS json FROM ({_SUGGEST}) s""",
+    "suggest_alternatives": _suggested(_TYPED.plain, _TYPED.wide, 60),
+    "suggest_single": _suggested(_code("tho"), _code("tho"), 90),
     "shown_results": f"""SELECT entry, tier, CASE WHEN tier IN ('exact', 'best') THEN nb WHEN tier = 'related' THEN nb + nr ELSE nb + nr + no END <= 250 AS expanded, tier = 'other' AND no > 5 AS hidden
         FROM (SELECT *, count(*) FILTER (tier IN ('exact', 'best')) OVER () AS nb, count(*) FILTER (tier = 'related') OVER () AS nr, count(*) FILTER (tier = 'other') OVER () AS no
               FROM ({_BASE}, {_found('r', _BOTH, _code('ring'))}{_RANKED}) ranked)""",

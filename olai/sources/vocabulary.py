@@ -16,7 +16,7 @@ SHARD_ROWS, SHARDS = 1 << 16, 4096
 
 
 class Vocabulary(NamedTuple):
-    """``words`` has ``word, n, shards``; ``postings`` has ``word, shard, entry, word_idx, in_paren``, bucketed by word and shard."""
+    """``words`` has ``word, n, first, shards`` (how many postings, the least entry); ``postings`` has ``word, shard, entry, word_idx, in_paren``, bucketed by word and shard."""
 
     words: DataFrame
     postings: DataFrame
@@ -43,7 +43,7 @@ def build_vocabulary(postings: DataFrame, shard_rows: int = SHARD_ROWS, shards:
     spark = postings.sparkSession
     postings = materialise(postings.where("word <> ''"), "postings")
     size = max(shard_rows, -(-postings.count() // shards))
-    words = postings.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = postings.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("entry").alias("first"))
     words = materialise(words.withColumn("shards", F.ceil(F.col("n") / size).cast("int")), "vocabulary")
     frequent = words.where("shards > 1").select("word", "shards")
     dealt = postings.join(F.broadcast(frequent), "word", "left")
