@@ -49,9 +49,3 @@ def definition_starts(sizes: Column) -> Column:
     """First definition number of each section, given how many paragraphs each has, of which the first is a heading."""
     step = lambda acc, n: F.struct((acc["at"] + n - 1).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
     return F.aggregate(sizes, F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
-
-
-def highlighted(text: Column, word: str) -> Column:
-    """A segment cut at the occurrences of a word, which are bold: ``kind, text`` pieces."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?i){word}|(?:(?!{word}).)+"), F.lit(0))
-    return F.transform(pieces, lambda p: F.struct(F.when(F.lower(p) == word.lower(), "bld").otherwise("txt").alias("kind"), p.alias("text")))

@@ -111,33 +111,38 @@ def _advance(rows: DataFrame) -> DataFrame:
     return rows.where(fits).withColumn("_way", F.explode(ways)).withColumn("end", F.col("_way.end")).withColumn("implicit_u", F.col("_way.u")).drop("_way", "suffix").withColumn("is_start", F.lit(False))
 
 
-def segments(words: DataFrame, stems: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
+def segments(words: DataFrame, stems: DataFrame, exclude: Sequence[str] = (), most_letters: int = MAX_LETTERS) -> DataFrame:
     """Every stretch of normal forms that is a stem with suffixes: ``norm, start, end, letter_end, unlikely, entries``.
 
-    ``words`` has distinct ``norm, marked``. Substrings that are stems meet by
-    an equi-join; suffixes then go on state by state, each round a join with
-    the fixed table of suffixes, until nothing goes on. Rounds end because
-    every cycle takes letters.
+    ``words`` has distinct ``norm, marked`` or ``norm, marked, excluded``; in
+    the latter case the result has ``excluded`` as well. Substrings that are
+    stems meet by an equi-join; where an excluded stem begins, only longer
+    ones count. Suffixes then go on state by state, each round a join with the
+    fixed table of suffixes, until nothing goes on. Rounds end because every
+    cycle takes letters; several are run before their states are written.
     """
     spark = words.sparkSession
+    by = ["norm", "excluded"] if "excluded" in words.columns else ["norm"]
+    own = F.array(*[F.lit(x) for x in exclude]).cast("array<string>")
+    barred = F.concat(F.coalesce("excluded", F.array().cast("array<string>")), own) if "excluded" in words.columns else own
     longest = stems.agg(F.max(F.length("key"))).first()[0] or 0
     if not longest:
-        return spark.createDataFrame([], "norm string, start int, end int, letter_end int, unlikely boolean, entries array<long>")
-    usable = words.where(F.length("norm").between(1, MAX_LETTERS))
-    starts = usable.select("norm", "marked", F.explode(F.sequence(F.lit(0), F.length("norm") - 1)).alias("start"))
+        return spark.createDataFrame([], ", ".join(["norm string", *(f"{c} array<string>" for c in by[1:]), "start int, end int, letter_end int, unlikely boolean, entries array<long>"]))
+    usable = words.where(F.length("norm").between(1, most_letters)).withColumn("_barred", barred)
+    starts = usable.select(*by, "marked", "_barred", F.explode(F.sequence(F.lit(0), F.length("norm") - 1)).alias("start"))
     rest = F.expr("substring(marked, start + 1)")
     blocked = L.codes("RetroN", "Zh", "RetroL", "AlveolarR", "AlveolarN") + L.LATIN_CODES
     valid = f"^(?:[{_VOWEL}]|{codes_in_order('RetroL Ch')}|{CODE['N']}|[^{blocked}][{_VOWEL}])"
     starts = starts.where(F.rlike(rest, F.lit(valid)))
     sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("norm") - F.col("start")))
-    parts = starts.select("norm", "start", F.explode(sizes).alias("_n")).withColumn("key", F.expr("substring(norm, start + 1, _n)"))
+    # An excluded stem ends the scan from long to short, so the longest that begins here is the least that a stem must exceed.
+    begins = F.filter("_barred", lambda x: (F.substring("norm", F.col("start") + 1, F.length(x)) == x) & ~x.isin(*L.CONSONANT_CODES))
+    least = F.coalesce(F.array_max(F.transform(begins, F.length)), F.lit(0))
+    parts = starts.withColumn("_least", least).select(*by, "start", "_least", F.explode(sizes).alias("_n")).where("_n > _least").withColumn("key", F.expr("substring(norm, start + 1, _n)"))
     parts = parts.where(~F.endswith("key", F.lit(CODE["U"])) & ~((F.col("_n") == 1) & F.col("key").isin(*L.CONSONANT_CODES)))
-    for x in exclude:
-        # An excluded stem ends the scan from long to short.
-        parts = parts.where(~(F.expr(f"substring(norm, start + 1, {len(x)})") == x) | (F.col("_n") > len(x)))
     found = parts.join(stems, "key")
     unlikely = F.when(F.col("likelihood") == "Prefix", F.col("start") != 0).when(F.col("likelihood") == "Suffix", F.col("start") == 0).otherwise(F.col("likelihood") == "Unlikely")
-    rows = found.select("norm", "start", "entry", "state", unlikely.alias("unlikely"), F.col("root").alias("suffix"), F.col("start").alias("end"), F.lit(True).alias("is_start"), F.lit(False).alias("implicit_u"), F.lit(False).alias("likely_end"))
+    rows = found.select(*by, "start", "entry", "state", unlikely.alias("unlikely"), F.col("root").alias("suffix"), F.col("start").alias("end"), F.lit(True).alias("is_start"), F.lit(False).alias("implicit_u"), F.lit(False).alias("likely_end"))
     rows = materialise(_advance(rows).distinct(), "segment-states")
     # A fixed table of about a hundred rows.
     table = F.broadcast(spark.createDataFrame(suffix_rows(), "state string, suffix string, then string, condition string, _unlikely boolean, _end boolean"))
@@ -146,15 +151,15 @@ def segments(words: DataFrame, stems: DataFrame, exclude: Sequence[str] = ()) ->
     while True:
         going = rows.where(~F.col("state").isin(*TERMINAL))
         on = going.join(table, "state").where((F.col("condition") == "") | F.rlike(matched, F.col("condition")))
-        on = on.select("norm", "start", "entry", F.col("then").alias("state"), (F.col("unlikely") | F.col("_unlikely")).alias("unlikely"), "suffix", "end", "is_start", "implicit_u", (F.col("likely_end") | F.col("_end")).alias("likely_end"))
+        on = on.select(*by, "start", "entry", F.col("then").alias("state"), (F.col("unlikely") | F.col("_unlikely")).alias("unlikely"), "suffix", "end", "is_start", "implicit_u", (F.col("likely_end") | F.col("_end")).alias("likely_end"))
         rows = materialise(_advance(on).select(rows.columns).distinct(), "segment-states")
         if rows.isEmpty():
             break
         done = done.union(rows.where(F.col("state").isin(*TERMINAL)))
-    return _results(done)
+    return _results(done, by)
 
 
-def _results(done: DataFrame) -> DataFrame:
+def _results(done: DataFrame, by: Sequence[str]) -> DataFrame:
     norm, end, start = F.col("norm"), F.col("end"), F.col("start")
     left, here, after = F.length("norm") - end, _at(norm, end), _at(norm, end + 1)
     size = end - start
@@ -173,75 +178,115 @@ def _results(done: DataFrame) -> DataFrame:
         .otherwise(F.array(plus(gap | y | (split & (here == after) & (after != CODE["Y"])), 1), plus(double_v, 2)))
     )
     rows = done.withColumn("_step", F.explode(F.filter(steps, lambda x: x.isNotNull())))
-    rows = rows.select("norm", "start", (end + F.col("_step")).alias("end"), "entry", (F.col("unlikely") | ((F.col("state") == "Done") & doubtful)).alias("unlikely"))
-    best = rows.groupBy("norm", "start", "end").agg(
+    rows = rows.select(*by, "start", (end + F.col("_step")).alias("end"), "entry", (F.col("unlikely") | ((F.col("state") == "Done") & doubtful)).alias("unlikely"))
+    best = rows.groupBy(*by, "start", "end").agg(
         F.bool_and("unlikely").alias("unlikely"),
         F.array_sort(F.collect_set(F.when(~F.col("unlikely"), F.col("entry")))).alias("_likely"),
         F.array_sort(F.collect_set("entry")).alias("_all"),
     )
     shared = _at(norm, end - 1).isin(*L.CONSONANT_CODES) & here.isin(*_VOWEL)
     letter_end = (end - shared.cast("int")).alias("letter_end")
-    return best.select("norm", "start", "end", letter_end, "unlikely", F.when(F.col("unlikely"), F.col("_all")).otherwise(F.col("_likely")).alias("entries"))
+    return best.select(*by, "start", "end", letter_end, "unlikely", F.when(F.col("unlikely"), F.col("_all")).otherwise(F.col("_likely")).alias("entries"))
 
 
-def best_paths(found: DataFrame) -> DataFrame:
-    """The best cover of each normal form by segments: ``norm, path``, an array of ``(end, unlikely, entries)``.
+def best_paths(found: DataFrame, most_segments: int = MAX_SEGMENTS) -> DataFrame:
+    """The best cover of each normal form by segments: ``norm, path``, an array of ``(end, unlikely, entries)``; with ``excluded`` if ``found`` has it.
 
     Fewest segments win, then fewest unlikely ones, then longer words first;
     equal boundaries share their entries. Round k holds what k segments
     reach for the first time.
     """
     step = F.struct(F.col("letter_end").alias("end"), F.col("unlikely"), F.col("entries"))
-    edges = materialise(found.select("norm", "start", F.col("end").alias("_to"), step.alias("step"), F.length("norm").alias("_size")), "segment-edges")
-    paths = edges.where("start = 0").select("norm", F.col("_to").alias("end"), F.array("step").alias("path"), "_size")
+    by = [c for c in ("norm", "excluded") if c in found.columns]
+    edges = materialise(found.select(*by, "start", F.col("end").alias("_to"), step.alias("step"), F.length("norm").alias("_size")), "segment-edges")
+    paths = edges.where("start = 0").select(*by, F.col("_to").alias("end"), F.array("step").alias("path"), "_size")
     finished = None
     reached = None
-    for k in range(MAX_SEGMENTS):
+    for k in range(most_segments):
         if k:
-            paths = paths.join(edges.drop("_size"), (paths["norm"] == edges["norm"]) & (paths["end"] == edges["start"])).select(paths["norm"], F.col("_to").alias("end"), F.concat("path", F.array("step")).alias("path"), "_size")
+            onward = edges.drop("_size").withColumnRenamed("start", "end")
+            paths = paths.join(onward, [*by, "end"]).select(*by, F.col("_to").alias("end"), F.concat("path", F.array("step")).alias("path"), "_size")
         bounds = F.transform("path", lambda s: s["end"])
         doubts = F.aggregate("path", F.lit(0), lambda a, s: a + s["unlikely"].cast("int"))
         ranked = paths.withColumn("_order", F.struct((-doubts).alias("d"), bounds.alias("b")))
-        top = F.rank().over(Window.partitionBy("norm", "end").orderBy(F.desc("_order")))
+        top = F.rank().over(Window.partitionBy(*by, "end").orderBy(F.desc("_order")))
         ranked = ranked.withColumn("_top", top).where("_top = 1")
-        merged = ranked.groupBy("norm", "end", "_size").agg(F.collect_list("path").alias("_paths"))
+        merged = ranked.groupBy(*by, "end", "_size").agg(F.collect_list("path").alias("_paths"))
         zipped = F.aggregate(
             F.slice("_paths", F.lit(2), F.greatest(F.lit(0), F.size("_paths") - 1)),
             F.col("_paths")[0],
             lambda a, b: F.zip_with(a, b, lambda x, y: F.struct(x["end"].alias("end"), (x["unlikely"] & y["unlikely"]).alias("unlikely"), F.array_sort(F.array_union(x["entries"], y["entries"])).alias("entries"))),
         )
-        paths = merged.select("norm", "end", zipped.alias("path"), "_size")
+        paths = merged.select(*by, "end", zipped.alias("path"), "_size")
         if reached is not None:
-            paths = paths.join(reached, ["norm", "end"], "left_anti")
+            paths = paths.join(reached, [*by, "end"], "left_anti")
         paths = materialise(paths, "segment-paths")
-        own = paths.where("end = _size").select("norm", "path")
+        own = paths.where("end = _size").select(*by, "path")
         finished = own if finished is None else finished.union(own)
         if paths.isEmpty():
             break
-        now = paths.select("norm", "end")
+        now = paths.select(*by, "end")
         reached = now if reached is None else reached.union(now)
         paths = paths.where("end < _size")
     return finished
 
 
-def annotate(texts: DataFrame, stems: DataFrame, id_col: str, text_col: str, exclude: Sequence[str] = ()) -> DataFrame:
+#: A directive before a text: words whose stems are not to be found in it.
+DIRECTIVE = r"^\s*\[exclude:([^\]]*)\]"
+
+
+def excluded_stems(directives: DataFrame) -> DataFrame:
+    """``directive, excluded``: the stems that each of ``directives(directive)`` bars, as normal forms without a final u."""
+    names = directives.where("directive IS NOT NULL").distinct().select("directive", F.explode(F.split("directive", ",")).alias("_name"))
+    stems = names.withColumn("_stem", F.regexp_replace(normalised(L.encode(F.trim("_name")), True)["norm"], CODE["U"] + "$", "")).where("_stem <> ''")
+    return stems.groupBy("directive").agg(F.array_sort(F.collect_set("_stem")).alias("excluded"))
+
+
+def annotate(
+    texts: DataFrame, stems: DataFrame, id_col: str, text_col: str, exclude: Sequence[str] = (), directives: bool = False,
+    most_letters: int = MAX_LETTERS, most_segments: int = MAX_SEGMENTS,
+) -> DataFrame:
     """Running text as segments: ``id, at, part, is_tamil, text, entries``, in order of ``at, part``.
 
     Runs of other script are single segments without entries. A Tamil run is
     cut into its best cover by dictionary words; one that has none is a single
-    segment whose entries are null. Each distinct word is analysed once.
-    ``exclude`` are stems, in codes, that end the search for shorter ones.
+    segment whose entries are null, as is one of more than ``most_letters``
+    letters or ``most_segments`` segments. Each distinct word is analysed once.
+
+    ``exclude`` are stems, in codes, that end the search for shorter ones in
+    all texts. With ``directives``, blanks around a text go, and a text may
+    begin with ``[exclude:word,word]``, which goes as well and bars these
+    words in its row: a word is then analysed once for each set of barred
+    stems that occur in it.
     """
-    runs = materialise(script_runs(texts, id_col, text_col).withColumn("word", F.when(F.col("is_tamil"), L.encode(F.col("run")))), "script-runs")
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if directives:
+        said = F.regexp_extract("text", DIRECTIVE, 1)
+        some = F.rlike("text", F.lit(DIRECTIVE))
+        rows = rows.select("id", F.when(some, said).alias("directive"), F.regexp_replace(F.when(some, F.regexp_replace("text", DIRECTIVE, "")).otherwise(F.col("text")), r"^\s+|\s+$", "").alias("text"))
+    else:
+        rows = rows.select("id", F.lit(None).cast("string").alias("directive"), "text")
+    runs = script_runs(rows.select(F.struct("id", "directive").alias("key"), "text"), "key", "text").select("id.id", "id.directive", "at", "is_tamil", "run")
+    runs = materialise(runs.withColumn("word", F.when(F.col("is_tamil"), L.encode(F.col("run")))), "script-runs")
     words = runs.where("word <> ''").select("word").distinct().withColumn("n", normalised(F.col("word")))
     words = materialise(words.select("word", "n.norm", "n.marked", "n.sizes"), "normal-forms")
-    found = segments(words.select("norm", "marked").distinct(), stems, exclude)
-    cut = words.join(best_paths(found), "norm").select("word", "sizes", F.posexplode("path").alias("part", "step"), "path")
+    none = F.array().cast("array<string>")
+    if directives:
+        barred = materialise(excluded_stems(runs.select("directive")), "excluded-stems")
+        said = runs.where("word <> '' AND directive IS NOT NULL").select("word", "directive").distinct().join(barred, "directive")
+        said = said.join(words.select("word", "norm"), "word").select("word", "directive", F.filter("excluded", lambda x: F.contains(F.col("norm"), x)).alias("excluded"))
+        said = materialise(said.where(F.size("excluded") > 0), "words-with-excluded")
+        runs = runs.join(said, ["word", "directive"], "left").withColumn("excluded", F.coalesce("excluded", none))
+    else:
+        runs = runs.withColumn("excluded", none)
+    forms = words.join(runs.where("word <> ''").select("word", "excluded").distinct(), "word") if directives else words.withColumn("excluded", none)
+    found = segments(forms.select("norm", "marked", "excluded").distinct(), stems, exclude, most_letters)
+    cut = forms.join(best_paths(found, most_segments), ["norm", "excluded"]).select("word", "excluded", "sizes", F.posexplode("path").alias("part", "step"), "path")
     start = F.when(F.col("part") == 0, 0).otherwise(F.expr("path[part - 1].end"))
-    cut = cut.select("word", "part", original_offset(F.col("sizes"), start).alias("s"), original_offset(F.col("sizes"), F.col("step.end")).alias("e"), "step.entries")
-    cut = cut.select("word", "part", F.expr("substring(word, s + 1, e - s)").alias("segment"), "entries")
+    cut = cut.select("word", "excluded", "part", original_offset(F.col("sizes"), start).alias("s"), original_offset(F.col("sizes"), F.col("step.end")).alias("e"), "step.entries")
+    cut = cut.select("word", "excluded", "part", F.expr("substring(word, s + 1, e - s)").alias("segment"), "entries")
     # Other script has no word; it stays out of the join, in which it would share one key.
-    out = runs.where("word IS NOT NULL").join(cut, "word", "left").select("id", "at", "is_tamil", "run", "part", "segment", "entries")
+    out = runs.where("word IS NOT NULL").join(cut, ["word", "excluded"], "left").select("id", "at", "is_tamil", "run", "part", "segment", "entries")
     other = runs.where("word IS NULL").select("id", "at", "is_tamil", "run", F.lit(None).cast("int").alias("part"), F.lit(None).cast("string").alias("segment"), F.lit(None).cast("array<long>").alias("entries"))
     out = out.union(other)
     text = F.when(F.col("segment").isNull(), F.col("run")).otherwise(L.display(F.col("segment")))

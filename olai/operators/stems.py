@@ -191,12 +191,14 @@ def resolve_forms(verbs: DataFrame) -> DataFrame:
     return whole.select("word", "sub", F.explode(L.joined_subwords(F.col("raw"))).alias("form")).union(done)
 
 
-def build_stems(entries: DataFrame, verbs: DataFrame) -> DataFrame:
+def build_stems(entries: DataFrame, verbs: DataFrame, missing: str = "skip") -> DataFrame:
     """``key, root, entry, likelihood, state`` of all entries; ``key`` is the root without a final u.
 
     Entries need ``index, word, sub, kind_set``. Verbs without known forms
-    have no stems.
+    have no stems; with ``missing="fail"`` the job fails and names one.
     """
+    if missing not in ("skip", "fail"):
+        raise ValueError(f"missing must be skip or fail, not {missing!r}")
     bits, w = F.col("kind_set"), F.col("w")
     has = lambda *kinds: bits.bitwiseAND(F.lit(kind_bits(kinds))) != 0
     words = entries.select("index", "word", "sub", "kind_set", F.posexplode(headwords(F.col("word"))).alias("_at", "_part"), F.size(headwords(F.col("word"))).alias("_n"))
@@ -230,8 +232,11 @@ def build_stems(entries: DataFrame, verbs: DataFrame) -> DataFrame:
 
     forms = resolve_forms(verbs).groupBy("word", "sub").agg(F.collect_set("form").alias("forms"))
     is_verb = has("v") & ~has("pa", "va", "i")
-    spoken = words.where(is_verb & F.col("_fixed").isNull()).alias("e").join(forms.alias("f"), (F.col("e.word") == F.col("f.word")) & F.col("e.sub").eqNullSafe(F.col("f.sub")))
-    verbal = spoken.select("index", "e.word", "kind_set", verb_stems(F.col("w"), F.col("forms")).alias("stems"))
+    same = (F.col("e.word") == F.col("f.word")) & F.col("e.sub").eqNullSafe(F.col("f.sub"))
+    spoken = words.where(is_verb & F.col("_fixed").isNull()).alias("e").join(forms.alias("f"), same, "left" if missing == "fail" else "inner")
+    unknown = F.raise_error(F.concat(F.lit("no forms of the verb "), F.col("e.word"), F.coalesce(F.concat(F.lit(" "), F.col("e.sub").cast("string")), F.lit(""))))
+    own = F.when(F.col("forms").isNull(), unknown.cast("array<string>")).otherwise(F.col("forms")) if missing == "fail" else F.col("forms")
+    verbal = spoken.select("index", "e.word", "kind_set", verb_stems(F.col("w"), own).alias("stems"))
 
     found = usual.union(verbal).select("index", "word", "kind_set", F.explode("stems").alias("s"))
     usually = (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from olai.functions import letters as L
 from olai.functions import presentation
 from olai.functions.patterns import END, START, Pattern, after, before, latin, one_of, term
-from olai.operators import counts, present, references, search, suggest
+from olai.operators import counts, highlight, present, references, search, suggest
 from olai.sources import lexicon
 from olai.sources.shared import spread
 from olai.sources.vocabulary import build_vocabulary, once
@@ -234,6 +234,21 @@ def shown_results(spark, sf_dir):
     return present.shown(search.rank(search.search(_source(spark, sf_dir), latin("ring")))).select("entry", "tier", "expanded", "hidden")
 
 
+def _highlighted(spark, sf_dir):
+    """The lines of documents in which a search found words, cut at those; lines with an address count as references."""
+    found = search.search(_source(spark, sf_dir), latin("ring")).where(F.size("words") > 0).select("entry", "words")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("entry"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    own = found.join(docs, "entry").withColumn("segments", F.transform("lines", lambda x: F.struct(F.when(F.contains(x, F.lit("@")), "ref").otherwise("txt").alias("kind"), x.alias("text"))))
+    own = own.withColumn("starts", highlight.first_words(highlight.word_counts(F.col("segments"))))
+    return own.select("entry", highlight.highlight(F.col("segments"), F.col("words"), F.col("starts")).alias("pieces"))
+
+
+def highlight_hits(spark, sf_dir):
+    bold = F.size(F.filter("pieces", lambda p: p["kind"] == "bld"))
+    marked = F.transform("pieces", lambda p: F.concat_ws(":", p["segment"], p["kind"], p["text"]))
+    return _highlighted(spark, sf_dir).select("entry", F.size("pieces").alias("n_pieces"), bold.alias("n_bold"), F.md5(F.array_join(marked, "|")).alias("marks_md5"))
+
+
 def query_escape(spark, sf_dir):
     urls = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     url = F.col("url")
@@ -292,6 +307,7 @@ QUERIES = {
     "suggest_alternatives": suggest_alternatives,
     "suggest_single": suggest_single,
     "shown_results": shown_results,
+    "highlight_hits": highlight_hits,
     "query_escape": query_escape,
     "definition_numbers": definition_numbers,
     "ref_lookup": ref_lookup,
@@ -369,6 +385,16 @@ ORACLE_SQL = {
     "shown_results": f"""SELECT entry, tier, CASE WHEN tier IN ('exact', 'best') THEN nb WHEN tier = 'related' THEN nb + nr ELSE nb + nr + no END <= 250 AS expanded, tier = 'other' AND no > 5 AS hidden
         FROM (SELECT *, count(*) FILTER (tier IN ('exact', 'best')) OVER () AS nb, count(*) FILTER (tier = 'related') OVER () AS nr, count(*) FILTER (tier = 'other') OVER () AS no
               FROM ({_BASE}, {_found('r', _BOTH, _code('ring'))}{_RANKED}) ranked)""",
+    "highlight_hits": rf"""
+        WITH lines AS (SELECT doc_id AS entry, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS segment FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+        runs AS (SELECT entry, segment, contains(line, '@') AS ref, unnest(m) AS run, generate_subscripts(m, 1) AS pos
+                 FROM (SELECT *, regexp_extract_all(line, '[A-Za-z\x{{80}}-\x{{10FFFF}}]+|[^A-Za-z\x{{80}}-\x{{10FFFF}}]+') AS m FROM lines)),
+        found AS (SELECT *, regexp_matches({_LATIN_SQL.format('run')}, '{_code('ring')}') AS hit FROM runs),
+        cut AS (SELECT *, hit AND NOT ref AS bold, sum(CASE WHEN hit AND NOT ref THEN 1 ELSE 0 END) OVER (PARTITION BY entry, segment ORDER BY pos) AS upto FROM found),
+        pieces AS (SELECT entry, segment, ref, bold, upto, min(pos) AS pos, string_agg(run, '' ORDER BY pos) AS text FROM cut GROUP BY entry, segment, ref, bold, upto)
+        SELECT entry, count(*)::INTEGER AS n_pieces, (count(*) FILTER (bold))::INTEGER AS n_bold,
+               md5(string_agg(segment || ':' || CASE WHEN bold THEN 'bld' WHEN ref THEN 'ref' ELSE 'txt' END || ':' || text, '|' ORDER BY segment, pos)) AS marks_md5
+        FROM pieces WHERE entry IN (SELECT entry FROM found WHERE hit) GROUP BY entry""",
     "query_escape": r"""SELECT page_id, trim(regexp_replace(url, '[^A-Za-z]+', '-', 'g'), '-') AS escaped,
         regexp_matches(url, '^[td]r|[kgcspbw][lrwsy]|[td][lwsy]|s[ckmnpsty]|[fqx]|[kghcjstdpb]$|ng$|[aeiou].e$') AS english,
         replace(replace(replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;'), '/', '&#x2F;'), '`', '&#96;') AS html,

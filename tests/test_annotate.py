@@ -1,5 +1,7 @@
 import datetime
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from olai.functions import letters as L
@@ -115,3 +117,35 @@ def test_words_that_stem_by_themselves(spark):
     assert states == {"நான்": {"Emphasis"}, "என்": {"CaseNoKu", "Emphasis", "AagaOrAayOrAana"}, "உள்ள": {"TenseStem", "SpecialA", "SpecialB"}, "எல்லாம்": {"Emphasis", "Adjective"}, "மாட்டு": {"GeneralStem", "SpecialA", "Negative"}, "அவை": {"AdjectiveStemAvai"}}
     assert all(p == "Prefix" for w in ("நான்", "என்", "அவை") for _, _, p in got[w])
     assert "கொண்டிரு" in c and "கொண்டிரு" not in got
+
+
+def test_each_row_has_its_own_directive(spark):
+    _, known = T.small_lexicon(spark)
+    said = ["[exclude:கரை] கடற்கரை", "  [exclude: கடல் , வீடு ]கடற்கரை வீடு ", "கடற்கரை", "[exclude:] கடல்", "[exclude:கரை கடல்", "[exclude:மரம்]கடற்கரை"]
+    texts = spark.createDataFrame(list(enumerate(said)), "id long, t string")
+    got = {}
+    for r in sorted(annotate.annotate(texts, known, "id", "t", directives=True).collect(), key=lambda r: (r.id, r.at, r.part)):
+        got.setdefault(r.id, []).append((r.text, r.entries is not None))
+    both = [("கடற்", True), ("கரை", True)]
+    assert got[0] == [("கடற்கரை", False)]
+    assert got[1] == [("கடற்கரை", False), (" ", False), ("வீடு", False)]
+    assert got[2] == got[5] == both and got[3] == [("கடல்", True)]
+    # Without its bracket it is no directive.
+    assert got[4] == [("[exclude:", False), ("கரை", True), (" ", False), ("கடல்", True)]
+
+
+def test_limits_are_parameters(spark):
+    _, known = T.small_lexicon(spark)
+    texts = spark.createDataFrame([(1, "கடற்கரை")], "id long, t string")
+    assert len(annotate.annotate(texts, known, "id", "t").collect()) == 2
+    assert [r.entries for r in annotate.annotate(texts, known, "id", "t", most_segments=1).collect()] == [None]
+    assert [r.entries for r in annotate.annotate(texts, known, "id", "t", most_letters=3).collect()] == [None]
+
+
+def test_missing_verbs_are_named(spark):
+    entries = spark.createDataFrame([(0, "பார்", None, ["v"]), (1, "செய்", 2, ["v"])], "index int, word string, sub smallint, k array<string>").withColumn("kind_set", lexicon.kind_set(F.col("k")))
+    verbs = spark.createDataFrame([("பார்", None, ["பார்க்க", "பார்த்து"])], lexicon.VERB_SCHEMA)
+    assert {r.entry for r in stems.build_stems(entries, verbs).collect()} == {0}
+    assert {r.entry for r in stems.build_stems(entries.where("index = 0"), verbs, missing="fail").collect()} == {0}
+    with pytest.raises(Exception, match="no forms of the verb செய் 2"):
+        stems.build_stems(entries, verbs, missing="fail").collect()
