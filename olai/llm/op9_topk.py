@@ -11,12 +11,13 @@ def op9_topk(spark, sf_dir):
 
 SQL = """
 WITH sound AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::HUGEINT) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+asked AS (SELECT *, row_number() OVER () AS q FROM (SELECT DISTINCT vec_id, v FROM sound WHERE vec_id % 20 = 0)),
 scored AS (
-  SELECT q.vec_id AS query_id, r.vec_id, list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM sound q JOIN sound r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+  SELECT q, a.vec_id AS query_id, r.vec_id, coalesce(list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2])), 0) AS score
+  FROM asked a JOIN sound r ON a.vec_id <> r.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score::BIGINT AS score
 FROM scored QUALIFY rank <= 20
 """

@@ -1,5 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,15 +78,50 @@ def test_contamination(spark):
     assert kept.columns == d.columns and kept.count() == d.count() - 3
 
 
+def ranked(df, queries, k):
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in bitsliced.top_k(df, queries, k).collect())
+
+
 def test_vectors(spark):
     rows = [(0, [1.0, 0.0], 1), (20, [1.0, 0.0], 1), (1, None, 1), (2, [], 1), (3, [None, 1.0], 1), (4, [float("nan"), 1.0], 1), (5, [float("inf")], 1), (None, [1.0, 1.0], 1), (7, [0.5], 1), (8, [0.5, 0.0], 1), (8, [0.5, 0.0], 1), (40, None, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    out = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in bitsliced.top_k(df, df.where("vec_id % 20 = 0"), 20).collect())
-    assert out == [(0, 1, 20, 4096), (0, 2, 7, 2048), (0, 3, 8, 2048), (0, 4, 8, 2048), (20, 1, 0, 4096), (20, 2, 7, 2048), (20, 3, 8, 2048), (20, 4, 8, 2048)]
-    huge = spark.createDataFrame([(0, [1e10, 0.5]), (1, [-1e10, 0.5]), (2, [1e10, -0.5]), (3, [3e38, 0.0]), (4, [2.0, 1.0])], "vec_id long, embedding array<double>")
-    out = sorted((r["rank"], r.vec_id, r.score) for r in bitsliced.top_k(huge, huge.where("vec_id = 0"), 4).collect())
-    assert out == [(1, 2, (1 << 63) - 1), (2, 3, (1 << 63) - 1), (3, 4, 640_000_000_000 * 128 + 32 * 64), (4, 1, -(1 << 63))]
+    out = ranked(df, df.where("vec_id % 20 = 0"), 20)
+    # An empty vector takes part, with score 0.
+    assert out == [(q, r, v, s) for q, other in ((0, 20), (20, 0)) for r, v, s in ((1, other, 4096), (2, 7, 2048), (3, 8, 2048), (4, 8, 2048), (5, 2, 0))]
     assert bitsliced.top_k(df.limit(0), df).collect() == [] and bitsliced.top_k(df, df.limit(0)).collect() == []
+    empty_only = spark.createDataFrame([(0, []), (1, [])], "vec_id long, embedding array<double>")
+    assert ranked(empty_only, empty_only, 3) == [(0, 1, 1, 0), (1, 1, 0, 0)]
+
+
+def test_huge_components_are_exact(spark):
+    kind = "vec_id long, embedding array<double>"
+    huge = spark.createDataFrame([(0, [1e10, 0.5]), (1, [-1e10, 0.5]), (2, [1e10, -0.5]), (3, [3e38, 0.0]), (4, [2.0, 1.0]), (5, [-3e38, 0.0]), (6, [1e308 * 10, 0.0])], kind)
+    # Ranked by the exact score, given as the limits of a long where it holds no more.
+    assert ranked(huge, huge.where("vec_id = 0"), 5) == [(0, 1, 3, (1 << 63) - 1), (0, 2, 2, (1 << 63) - 1), (0, 3, 4, 640_000_000_000 * 128 + 32 * 64), (0, 4, 1, -(1 << 63)), (0, 5, 5, -(1 << 63))]
+    # A component beyond 2**61 whose score a long holds.
+    odd = spark.createDataFrame([(0, [1 / 64, 0.0]), (1, [1e17, 0.0]), (2, [-1e17, 3.0]), (3, [1e17 - 16, 0.0])], kind)
+    assert ranked(odd, odd.where("vec_id = 0"), 3) == [(0, 1, 1, 6_400_000_000_000_000_000), (0, 2, 3, 64 * (10**17 - 16)), (0, 3, 2, -6_400_000_000_000_000_000)]
+
+
+def test_each_query_row_is_ranked(spark):
+    df = spark.createDataFrame([(0, [1.0]), (0, [-1.0]), (0, [1.0]), (1, [2.0]), (2, [1.0]), (2, [-2.0])], "vec_id long, embedding array<double>")
+    up, down = [(1, 1, 8192), (2, 2, 4096), (3, 2, -8192)], [(1, 2, 8192), (2, 2, -4096), (3, 1, -8192)]
+    assert ranked(df, df.where("vec_id = 0"), 20) == sorted((0, r, v, s) for r, v, s in up + down)
+
+
+def test_blocks_of_vectors(spark, monkeypatch):
+    """Many blocks in few tasks, against plain products."""
+    monkeypatch.setattr(bitsliced, "INDEX_BLOCK", 16)
+    monkeypatch.setattr(bitsliced, "TASKS_A_CORE", 1)
+    pick = random.Random(5)
+    rows = [(i, [pick.randint(-3, 3) / pick.choice((1, 7)) for _ in range(3)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 300, 20):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:7]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    assert ranked(df, df.where("vec_id % 20 = 0"), 7) == sorted(want)
 
 
 @pytest.fixture(scope="module")
