@@ -92,7 +92,7 @@ MIDDLE = Pattern("(?<=.)(?=.)", "(?<=.)(?=.)")
 
 def letters(word: str) -> Pattern:
     """Exactly these codes."""
-    return Pattern(word, word)
+    return Pattern(word, word, None, not word)
 
 
 def latin(word: str) -> Pattern:
@@ -227,6 +227,27 @@ def _sandhi() -> dict[str, set[str]]:
 
 
 SANDHI = _sandhi()
+# Pairs that are written as each other at the minor level; at the full level, what a pair may be written as, in
+# one direction, some only after certain letters.
+SANDHI_MINOR = (("K Sh", "RetroT Ch"), ("N N", "AlveolarN AlveolarN"))
+_PALATAL = "I LongI Ai Y"
+SANDHI_FULL = (
+    ("AlveolarN AlveolarN", "AlveolarN AlveolarR", ""), ("RetroN RetroN", "AlveolarN AlveolarR", ""), ("T T", "AlveolarR AlveolarR", ""),
+    ("Ny Ch", "Y T", ""), ("Ny Ch", "N T", _PALATAL), ("Ch Ch", "T T", _PALATAL), ("Ch Ch", "AlveolarR AlveolarR", _PALATAL),
+    *((f"{nasal} {hard}", f"{other} {hard}", "") for nasal, hard in (("Ng", "K"), ("M", "P"), ("N", "T")) for other in ("AlveolarN", "RetroN")),
+    *((f"{hard} {hard}", f"{other} {hard}", "") for hard in ("K", "Ch", "P") for other in ("AlveolarR", "AlveolarL", "RetroT", "RetroL")),
+)
+
+
+def _joints(pair: str, full: bool) -> list[str]:
+    """How two letters at a joint may be written besides, as expressions; those that need a letter before them look behind."""
+    out = sorted(SANDHI.get(pair, ()))
+    for a, b in SANDHI_MINOR:
+        a, b = codes_in_order(a), codes_in_order(b)
+        out += [y for x, y in ((a, b), (b, a)) if x == pair]
+    if full:
+        out += [(f"(?<=[{codes(*context.split())}])" if context else "") + codes_in_order(b) for a, b, context in SANDHI_FULL if codes_in_order(a) == pair]
+    return out
 
 
 _KCP = codes("K", "Ch", "P")
@@ -274,20 +295,42 @@ def _variants(word: str, at: int, full: bool) -> list[str]:
     labial = lambda x: f"(?<=[{codes('P', 'M')}]){CODE[x]}(?=[{_RETROFLEX}])"
     between = lambda x: f"(?<=[{_V}]){x}(?=[{_V}])"
     spoken = {
-        "A": [CODE["Ai"]], "LongA": [CODE["Y"] + CODE["LongA"]], "U": [] if opens else [labial("I")], "E": [CODE["Ai"]] + ([CODE["I"]] if opens else []), "O": [CODE["U"], labial("I")] if opens else [labial("E")],
+        "A": [CODE["Ai"]], "LongA": [CODE["LongA"] + CODE["Y"]], "U": [] if opens else [labial("I")], "E": [CODE["Ai"]] + ([CODE["I"]] if opens else []), "O": [CODE["U"], labial("I")] if opens else [labial("E")],
         "R": [between(CODE["AlveolarR"])], "V": [between(CODE["P"])], "RetroN": [f"(?<=[{L.NEDIL}]){CODE['AlveolarN']}{CODE['AlveolarR']}(?=[{_V}])"], "RetroL": [CODE["Zh"]],
     }
     before_final = at == len(word) - 2 and right in codes("M", "RetroL", "AlveolarL", "AlveolarN", "R")
     return out + ([] if before_final else spoken.get(name, []))
 
 
+#: Endings -padu, -paadu and -paduthu, with the letter before them.
+PADU = re.compile(f"(?<=.).{CODE['P']}(?:[{codes('A', 'LongA')}]{CODE['RetroT']}{CODE['U']}|{CODE['A']}{CODE['RetroT']}{CODE['U']}{CODE['T']}{CODE['T']}{CODE['U']})$")
+#: A doubled letter that may end a word, before a final u.
+DOUBLED = re.compile(f"(?<=.)(?P<one>[{L.TAMIL_FINAL}])(?P=one){CODE['U']}$")
+
+
+def _without_padu(word: str, at: int) -> tuple[int, str] | None:
+    """Where the letter before -padu begins to vary, and what it may be; the ending itself begins after it."""
+    prev, letter = word[at - 1], word[at]
+    hard = f"(?=[{_KCP}])"
+    if letter == CODE["P"]:
+        # The p of the ending is doubled after a vowel, or for the m of -am.
+        if at < 3:
+            return None
+        return (at + 1, f"(?:{letter}{hard}|{CODE['M']})") if prev == CODE["A"] else (at, "")
+    for lateral, stop in (("RetroL", "RetroT"), ("AlveolarL", "AlveolarR")):
+        if letter in (CODE[lateral], CODE[stop]):
+            return at + 1, f"(?:{CODE[stop]}{hard}|{CODE[lateral]})"
+    return (at + 1, letter) if at > 1 and letter in L.TAMIL_FINAL else None
+
+
 def tamil(word: str, expand: bool = True, level: str = "full") -> Pattern:
     """Tamil letters, with other spellings on the wide side.
 
     ``minor`` takes spellings that are a matter of writing: joints of words,
     grantha letters, initial and final letters, diphthongs, the two kinds of
-    n. ``full`` takes colloquial sounds and missing endings besides, and
-    ``exact`` (or ``expand=False``) only the word as written.
+    n. ``full`` takes colloquial sounds, joints as spoken and missing endings
+    besides, and ``exact`` (or ``expand=False``) only the word as written. A
+    match without its ending is frozen: nothing follows it.
     """
     if level not in ("exact", "minor", "full"):
         raise ValueError(f"level must be exact, minor or full, not {level!r}")
@@ -296,16 +339,32 @@ def tamil(word: str, expand: bool = True, level: str = "full") -> Pattern:
     full = level == "full"
     ending = ENDING.search(word) if full else None
     if ending:
-        # A match without the ending is frozen.
-        stem = tamil(word[: ending.start()])
-        return Pattern(word, f"(?:{stem.goes_on}{ending.group()}|{stem.wide})", f"{stem.goes_on}{ending.group()}")
+        stem = _spelled(word, full, ending.start())[0]
+        return Pattern(word, f"{stem}(?:{ending.group()})?", f"{stem}{ending.group()}")
+    found = PADU.search(word) if full else None
+    cut = _without_padu(word, found.start()) if found else None
+    if cut:
+        stem = _spelled(word, full, found.start())[0] + cut[1]
+        return Pattern(word, f"{stem}(?:{word[cut[0] :]})?", f"{stem}{word[cut[0] :]}")
+    double = DOUBLED.search(word) if full else None
+    if double:
+        # Before a vowel the u falls, and at the end of a word the doubling as well.
+        stem, single = _spelled(word, full, double.start())[0], double.group(1)
+        pair = f"(?:{'|'.join([single * 2, *_joints(single * 2, True)])})"
+        return Pattern(word, f"{stem}(?:{pair}{CODE['U']}|{pair}(?=[{_V.replace(CODE['U'], '')}])|{single}$)")
+    wide, frozen = _spelled(word, full, len(word))
+    return Pattern(word, f"(?:{wide}|{frozen})", wide) if frozen else Pattern(word, wide)
+
+
+def _spelled(word: str, full: bool, stop: int) -> tuple[str, str]:
+    """The first ``stop`` letters of a word with their variants, and, of a whole word, those variants that are frozen."""
     wide, frozen, at = "", "", 0
-    while at < len(word):
-        pair = word[at : at + 2]
-        ways = SANDHI.get(pair)
+    while at < stop:
+        pair = word[at : at + 2] if at + 1 < stop else ""
+        ways = _joints(pair, full) if pair else []
         ch, last = word[at], at == len(word) - 1
         if ways:
-            wide += f"(?:{'|'.join(sorted({pair, *ways}))})"
+            wide += f"(?:{'|'.join([pair, *ways])})"
             at += 2
             continue
         if at and pair == codes_in_order("A M") and at == len(word) - 2:
@@ -317,7 +376,7 @@ def tamil(word: str, expand: bool = True, level: str = "full") -> Pattern:
             continue
         if ch == CODE["M"] and last and at and word[at - 1] in _V:
             wide += char_class(codes("M", "Ng", "Ny", "N"))
-        elif pair == codes_in_order("A Y") or word[at : at + 3] in (codes_in_order("A V U"), codes_in_order("A V V")):
+        elif pair == codes_in_order("A Y") or (at + 2 < stop and word[at : at + 3] in (codes_in_order("A V U"), codes_in_order("A V V"))):
             three = word[at + 1] == CODE["V"] and word[at + 2] == CODE["U"]
             rest = word[at + 1 : at + 3] if three else word[at + 1]
             own = f"[{codes('A', 'Ai')}]{rest}" if full else f"0{rest}"
@@ -331,7 +390,7 @@ def tamil(word: str, expand: bool = True, level: str = "full") -> Pattern:
             more = _variants(word, at, full)
             wide += f"(?:{'|'.join([ch, *more])})" if more else ch
         at += 1
-    return Pattern(word, f"(?:{wide}|{frozen})", wide) if frozen else Pattern(word, wide)
+    return wide, frozen
 
 
 class Options(NamedTuple):

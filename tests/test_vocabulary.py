@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from olai.functions import letters as L
-from olai.functions.patterns import END, EXACT, FULL, FULL_NO_TRANS, MINOR, NOTHING, START, TRANS, after, latin, letters, one_of, tamil, term
+from olai.functions.patterns import END, EXACT, FULL, FULL_NO_TRANS, MINOR, NOTHING, SANDHI, SANDHI_FULL, SANDHI_MINOR, START, TRANS, after, latin, letters, one_of, tamil, term
 from olai.operators import search
 from olai.sources.vocabulary import build_vocabulary, once
 from tests.test_search import POSTINGS, c, found, postings
@@ -127,3 +127,42 @@ def test_nothing_follows_a_frozen_match(spark):
     assert hit(frozen, c("abx")) and not hit(frozen + latin("x"), c("abx"))
     df = postings(spark, [("ab", 1, None, False), ("abx", 2, None, False)])
     assert sorted(found(search.search(df, frozen))) == [1, 2]
+
+
+def names(text):
+    return "".join(L.CODE[x] for x in text.split())
+
+
+def test_each_joint_as_spoken():
+    """Every row of the full level on one word of its own, after letters that allow it and after one that doesn't."""
+    for own, other, context in SANDHI_FULL:
+        for before in (context.split() if context else ["A", "I", "U"]):
+            word, text = names(f"K {before} {own} A"), names(f"K {before} {other} A")
+            full = tamil(word)
+            assert re.fullmatch(full.wide, text) and re.fullmatch(full.wide, word) and not re.fullmatch(full.plain, text), (own, other, before)
+            assert not re.fullmatch(tamil(word, level="minor").wide, text) or names(other) in SANDHI.get(names(own), ()), (own, other)
+            # One way only, unless the table of both directions says otherwise.
+            back = tamil(text)
+            assert not re.fullmatch(back.wide, word) or names(own) in SANDHI.get(names(other), ()) or any(a == other and b == own for a, b, _ in SANDHI_FULL), (own, other)
+        if context:
+            assert not re.fullmatch(tamil(names(f"K A {own} A")).wide, names(f"K A {other} A")), (own, other)
+    for own, other in SANDHI_MINOR:
+        for x, y in ((own, other), (other, own)):
+            word, text = names(f"K A {x} A"), names(f"K A {y} A")
+            assert re.fullmatch(tamil(word, level="minor").wide, text) and re.fullmatch(tamil(word).wide, text) and tamil(word, level="exact").wide == word
+
+
+def test_endings_that_may_be_missing():
+    hit = lambda word, text, more="": bool(re.fullmatch((tamil(names(word)) + letters(names(more))).wide, names(text)))
+    padu = "P A RetroT U"
+    # -padu after a letter that may end a word; after l it may be written as the hard letter, before a hard letter.
+    for word, stem in ((f"K A V A AlveolarN {padu}", "K A V A AlveolarN"), (f"M U RetroL {padu}", "M U RetroL"), (f"M U RetroT {padu}", "M U RetroL"), (f"P A AlveolarR {padu}", "P A AlveolarL"), (f"K U AlveolarR A P {padu}", "K U AlveolarR A M"), (f"N A AlveolarR I P {padu}", "N A AlveolarR I")):
+        assert hit(word, stem) and hit(word, word) and not hit(word, f"{stem} I", "I") and hit(word, f"{word} I", "I"), word
+        assert not re.fullmatch(tamil(names(word), level="minor").wide, names(stem)), word
+    assert hit(f"M U RetroT {padu}", f"M U RetroL {padu}") and hit(f"K A V A AlveolarN P A RetroT U T T U", "K A V A AlveolarN") and hit("K A V A AlveolarN P LongA RetroT U", "K A V A AlveolarN")
+    assert not hit(f"K A P {padu}", "K A") and not hit(f"A AlveolarN {padu}"[2:], "")
+    # A doubled letter and u: u falls before another vowel, both at the end; more may follow before a vowel.
+    assert hit("K A AlveolarL AlveolarL U", "K A AlveolarL") and hit("K A AlveolarL AlveolarL U", "K A AlveolarL AlveolarL I", "I")
+    assert not hit("K A AlveolarL AlveolarL U", "K A AlveolarL I", "I") and not hit("K A AlveolarL AlveolarL U", "K A AlveolarL AlveolarL") and not hit("K A T T U", "K A T")
+    # A colloquial long a may stand for that with y after it.
+    assert hit("P LongA T A", "P LongA Y T A") and not hit("P LongA T A", "P Y LongA T A")
