@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from olai.functions import letters as L
@@ -15,6 +16,8 @@ from olai.operators.counts import script_runs
 from olai.sources.shared import materialise
 
 MAX_LETTERS, MAX_SEGMENTS = 100, 10
+#: How many suffixes are matched before the states are written.
+ROUNDS = 5
 # Which suffixes go on from which state, and to which states. "-" is no suffix. A condition in brackets is on
 # what is matched so far; ! makes the segment unlikely; "end" makes it likely only at the end of a word from there on,
 # and "rare" unlikely from there on.
@@ -90,8 +93,12 @@ def _at(text: Column, k: Column) -> Column:
     return F.substring(text, k + 1, F.lit(1))
 
 
-def _advance(rows: DataFrame) -> DataFrame:
-    """Match ``suffix`` at ``end`` of ``norm``; keeps each way it can go on: as it is, with u, with a glide, doubled."""
+@cache
+def _ways() -> tuple[Column, Column]:
+    """Whether ``suffix`` fits at ``end`` of ``norm``, and the ways in which it can go on: as it is, with u, with a glide, doubled.
+
+    The columns name what they are of, so they are made once and serve every round.
+    """
     norm, end, suffix, is_start = F.col("norm"), F.col("end"), F.col("suffix"), F.col("is_start")
     has_u = F.endswith(suffix, F.lit(CODE["U"]))
     body = F.when(has_u, F.left(suffix, F.length(suffix) - 1)).otherwise(suffix)
@@ -107,8 +114,15 @@ def _advance(rows: DataFrame) -> DataFrame:
     joined = further & F.when(prev.isin(*_VOWEL), here == glide).otherwise(double)
     ways = F.array(F.when(~has_u | vowel(e1), way(e1, has_u)), F.when(spoken_u, way(e1 + 1, F.lit(False))), F.when(joined, way(e2 + 1, F.lit(False))))
     ways = F.when(suffix == "", F.array(way(end, F.col("implicit_u")))).otherwise(F.filter(ways, lambda x: x.isNotNull()))
-    fits = F.substring(norm, end + 1, F.length(body)) == body
-    return rows.where(fits).withColumn("_way", F.explode(ways)).withColumn("end", F.col("_way.end")).withColumn("implicit_u", F.col("_way.u")).drop("_way", "suffix").withColumn("is_start", F.lit(False))
+    return F.substring(norm, end + 1, F.length(body)) == body, ways
+
+
+def _advance(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Match ``suffix`` at ``end`` of ``norm``; keeps each way it can go on."""
+    fits, ways = _ways()
+    on = rows.where(fits).select(*[c for c in keep if c not in ("end", "implicit_u", "is_start")], F.explode(ways).alias("_way"))
+    moved = {"end": F.col("_way.end"), "implicit_u": F.col("_way.u").alias("implicit_u"), "is_start": F.lit(False).alias("is_start")}
+    return on.select(*[moved.get(c, c) for c in keep])
 
 
 def segments(words: DataFrame, stems: DataFrame, exclude: Sequence[str] = (), most_letters: int = MAX_LETTERS) -> DataFrame:
@@ -143,19 +157,21 @@ def segments(words: DataFrame, stems: DataFrame, exclude: Sequence[str] = (), mo
     found = parts.join(stems, "key")
     unlikely = F.when(F.col("likelihood") == "Prefix", F.col("start") != 0).when(F.col("likelihood") == "Suffix", F.col("start") == 0).otherwise(F.col("likelihood") == "Unlikely")
     rows = found.select(*by, "start", "entry", "state", unlikely.alias("unlikely"), F.col("root").alias("suffix"), F.col("start").alias("end"), F.lit(True).alias("is_start"), F.lit(False).alias("implicit_u"), F.lit(False).alias("likely_end"))
-    rows = materialise(_advance(rows).distinct(), "segment-states")
-    # A fixed table of about a hundred rows.
-    table = F.broadcast(spark.createDataFrame(suffix_rows(), "state string, suffix string, then string, condition string, _unlikely boolean, _end boolean"))
-    done = rows.where(F.col("state").isin(*TERMINAL))
+    keep = [*by, "start", "entry", "state", "unlikely", "end", "is_start", "implicit_u", "likely_end"]
+    rows = materialise(_advance(rows, keep).distinct(), "segment-states")
+    # A fixed table of about a hundred rows; a finished row stays as it is.
+    stay = [(t, "", t, "", False, False) for t in TERMINAL]
+    table = F.broadcast(spark.createDataFrame([*suffix_rows(), *stay], "state string, suffix string, then string, condition string, _unlikely boolean, _end boolean"))
     matched = F.concat(F.expr("substring(norm, start + 1, end - start)"), F.when(F.col("implicit_u"), CODE["U"]).otherwise(""))
-    while True:
-        going = rows.where(~F.col("state").isin(*TERMINAL))
-        on = going.join(table, "state").where((F.col("condition") == "") | F.rlike(matched, F.col("condition")))
-        on = on.select(*by, "start", "entry", F.col("then").alias("state"), (F.col("unlikely") | F.col("_unlikely")).alias("unlikely"), "suffix", "end", "is_start", "implicit_u", (F.col("likely_end") | F.col("_end")).alias("likely_end"))
-        rows = materialise(_advance(on).select(rows.columns).distinct(), "segment-states")
-        if rows.isEmpty():
-            break
-        done = done.union(rows.where(F.col("state").isin(*TERMINAL)))
+    allowed = (F.col("condition") == "") | F.rlike(matched, F.col("condition"))
+    going = ~F.col("state").isin(*TERMINAL)
+    moved = {"state": F.col("then").alias("state"), "unlikely": (F.col("unlikely") | F.col("_unlikely")).alias("unlikely"), "likely_end": (F.col("likely_end") | F.col("_end")).alias("likely_end")}
+    onward = [moved.get(c, c) for c in keep] + ["suffix"]
+    while not rows.where(going).isEmpty():
+        for _ in range(ROUNDS):
+            rows = _advance(rows.join(table, "state").where(allowed).select(*onward), keep)
+        rows = materialise(rows.distinct(), "segment-states")
+    done = rows
     return _results(done, by)
 
 
@@ -189,46 +205,46 @@ def _results(done: DataFrame, by: Sequence[str]) -> DataFrame:
     return best.select(*by, "start", "end", letter_end, "unlikely", F.when(F.col("unlikely"), F.col("_all")).otherwise(F.col("_likely")).alias("entries"))
 
 
+STEP = "struct<end:int,unlikely:boolean,entries:array<bigint>>"
+WAY = f"struct<n:int,doubts:int,bounds:array<int>,path:array<{STEP}>>"
+
+
+def _better(a: Column, b: Column) -> Column:
+    """The better of two ways to one place; ways with equal boundaries share their entries."""
+    both = F.zip_with(a["path"], b["path"], lambda x, y: F.struct(x["end"].alias("end"), (x["unlikely"] & y["unlikely"]).alias("unlikely"), F.array_sort(F.array_union(x["entries"], y["entries"])).alias("entries")))
+    merged = F.struct(a["n"].alias("n"), a["doubts"].alias("doubts"), a["bounds"].alias("bounds"), both.alias("path"))
+    return (
+        F.when(a.isNull() | (b["n"] < a["n"]), b)
+        .when(b["n"] > a["n"], a)
+        .when(b["doubts"] != a["doubts"], F.when(b["doubts"] < a["doubts"], b).otherwise(a))
+        .when(b["bounds"] != a["bounds"], F.when(b["bounds"] > a["bounds"], b).otherwise(a))
+        .otherwise(merged)
+    )
+
+
 def best_paths(found: DataFrame, most_segments: int = MAX_SEGMENTS) -> DataFrame:
     """The best cover of each normal form by segments: ``norm, path``, an array of ``(end, unlikely, entries)``; with ``excluded`` if ``found`` has it.
 
     Fewest segments win, then fewest unlikely ones, then longer words first;
-    equal boundaries share their entries. Round k holds what k segments
-    reach for the first time.
+    equal boundaries share their entries. The segments of one word, which are
+    bounded by its letters, are taken in order of where they start: by then
+    the best way to that place is known. One aggregate, no rounds.
     """
-    step = F.struct(F.col("letter_end").alias("end"), F.col("unlikely"), F.col("entries"))
     by = [c for c in ("norm", "excluded") if c in found.columns]
-    edges = materialise(found.select(*by, "start", F.col("end").alias("_to"), step.alias("step"), F.length("norm").alias("_size")), "segment-edges")
-    paths = edges.where("start = 0").select(*by, F.col("_to").alias("end"), F.array("step").alias("path"), "_size")
-    finished = None
-    reached = None
-    for k in range(most_segments):
-        if k:
-            onward = edges.drop("_size").withColumnRenamed("start", "end")
-            paths = paths.join(onward, [*by, "end"]).select(*by, F.col("_to").alias("end"), F.concat("path", F.array("step")).alias("path"), "_size")
-        bounds = F.transform("path", lambda s: s["end"])
-        doubts = F.aggregate("path", F.lit(0), lambda a, s: a + s["unlikely"].cast("int"))
-        ranked = paths.withColumn("_order", F.struct((-doubts).alias("d"), bounds.alias("b")))
-        top = F.rank().over(Window.partitionBy(*by, "end").orderBy(F.desc("_order")))
-        ranked = ranked.withColumn("_top", top).where("_top = 1")
-        merged = ranked.groupBy(*by, "end", "_size").agg(F.collect_list("path").alias("_paths"))
-        zipped = F.aggregate(
-            F.slice("_paths", F.lit(2), F.greatest(F.lit(0), F.size("_paths") - 1)),
-            F.col("_paths")[0],
-            lambda a, b: F.zip_with(a, b, lambda x, y: F.struct(x["end"].alias("end"), (x["unlikely"] & y["unlikely"]).alias("unlikely"), F.array_sort(F.array_union(x["entries"], y["entries"])).alias("entries"))),
-        )
-        paths = merged.select(*by, "end", zipped.alias("path"), "_size")
-        if reached is not None:
-            paths = paths.join(reached, [*by, "end"], "left_anti")
-        paths = materialise(paths, "segment-paths")
-        own = paths.where("end = _size").select(*by, "path")
-        finished = own if finished is None else finished.union(own)
-        if paths.isEmpty():
-            break
-        now = paths.select(*by, "end")
-        reached = now if reached is None else reached.union(now)
-        paths = paths.where("end < _size")
-    return finished
+    step = F.struct(F.col("letter_end").alias("end"), F.col("unlikely"), F.col("entries").cast("array<bigint>").alias("entries"))
+    words = found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("start"), F.col("end").alias("to"), step.alias("step")))).alias("_edges"))
+    none = F.lit(None).cast(WAY)
+    here = F.struct(F.lit(0).alias("n"), F.lit(0).alias("doubts"), F.array().cast("array<int>").alias("bounds"), F.array().cast(f"array<{STEP}>").alias("path"))
+    start = F.transform(F.sequence(F.lit(0), F.length("norm")), lambda i: F.when(i == 0, here.cast(WAY)).otherwise(none))
+
+    def go_on(ways: Column, edge: Column) -> Column:
+        before, own = F.get(ways, edge["start"]), edge["step"]
+        way = F.struct((before["n"] + 1).alias("n"), (before["doubts"] + own["unlikely"].cast("int")).alias("doubts"), F.concat(before["bounds"], F.array(own["end"])).alias("bounds"), F.concat(before["path"], F.array(own)).alias("path")).cast(WAY)
+        put = F.transform(ways, lambda x, i: F.when(i == edge["to"], _better(x, way)).otherwise(x))
+        return F.when(before.isNotNull() & (before["n"] < most_segments), put).otherwise(ways)
+
+    best = words.withColumn("_best", F.get(F.aggregate("_edges", start, go_on), F.length("norm")))
+    return best.where("_best IS NOT NULL").select(*by, F.col("_best.path").alias("path"))
 
 
 #: A directive before a text: words whose stems are not to be found in it.

@@ -10,6 +10,7 @@ from olai.functions.patterns import transliterated
 from olai.operators import annotate, counts, stems
 from olai.sources import lexicon
 from olai.sources.shared import materialise
+from olai.sources.vocabulary import once
 from olai.streaming import words
 
 # Queries in Latin letters, the words that they must find, and their codes.
@@ -67,7 +68,11 @@ SEGMENTS = (
 
 
 def small_lexicon(spark):
-    """Entries and stems of the words above."""
+    """Entries and stems of the words above; a lexicon serves all texts, so it is built once."""
+    return once(spark, "small-lexicon", lambda: _small_lexicon(spark))
+
+
+def _small_lexicon(spark):
     rows = [(i, w, None, None, None, [k], []) for i, (w, k) in enumerate(WORDS)]
     raw = spark.createDataFrame(rows, "position long, word string, sub smallint, formal boolean, hint string, kind array<string>, secs array<array<array<array<string>>>>")
     entries = materialise(lexicon.build_entries(raw), "small-entries")
