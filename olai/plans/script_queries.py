@@ -84,9 +84,9 @@ def normalize_script(spark, sf_dir):
 
 
 def pronounce_script(spark, sf_dir):
-    """How each word is spoken as a noun, in Tamil script."""
+    """How each word is spoken as a noun, in codes."""
     codes = L.encode(in_script(F.col("latin")))
-    return _words(spark, sf_dir).select("latin", L.display(linguistics.pronunciation(codes, F.array(F.lit("p")))).alias("spoken"))
+    return _words(spark, sf_dir).select("latin", linguistics.pronunciation(codes, F.array(F.lit("p"))).alias("spoken"))
 
 
 def search_spelling(spark, sf_dir):
@@ -143,6 +143,37 @@ def _spelled_sql(some: str, start: str, whole: str, plain_start: str, plain_end:
     SELECT {_OUT} FROM r"""
 
 
+def _speech_sql() -> str:
+    """How nouns of short vowels are spoken: what applies once at the start, then a walk over the letters."""
+    n = lambda text: "".join(L.CODE.get(x, x) for x in text.split())
+    any_of = lambda text: "[" + n(text) + "]"
+    firm = "[" + "".join(sorted(set(L.CONSONANT_CODES) - set(L.GLIDE))) + "]"
+    others = lambda name: "[" + L.CONSONANT_CODES.replace(L.CODE[name], "") + "]"
+    retroflex, front, low = any_of("RetroT RetroN RetroL Zh"), any_of("A I E"), L.CODE["A"]
+    first, second = "substr(r, 1, 1)", "substr(r, 2, 1)"
+    head = [
+        (n("I R A RetroN RetroT"), f"'{n('R E')}'", 3), (n("P A AlveolarN AlveolarN I R A RetroN RetroT"), f"'{n('P A AlveolarN AlveolarN E')}'", 7), (n("E RetroN P A T U") + "$", f"'{n('E M P A T U')}'", 6),
+        (front + n("AlveolarN AlveolarR U"), f"{first} || '{n('AlveolarN AlveolarN Ai K K U')}'", 4), (n("I") + any_of("R AlveolarL") + low, "''", 0), (any_of("K RetroT T P") + n("I R A"), "''", 0),
+        (n("P I") + retroflex + low, f"'{n('P O')}'", 2), (n("I") + firm + low, f"'{n('E')}'", 1), (n("U") + firm + low, f"'{n('O')}'", 1),
+        (others("V") + n("I") + firm + low, f"{first} || '{n('E')}'", 2), (others("Y") + n("U") + firm + low, f"{first} || '{n('O')}'", 2),
+    ]
+    walk = [
+        (n("P I") + retroflex, "", f"'{n('P U')}'", 2), (n("P E") + retroflex, "", f"'{n('P O')}'", 2), (front + n("T A AlveolarR K"), "", f"{first} || '{n('T U K')}'", 4),
+        (front + n("V V A RetroL A V U"), "", f"{first} || '{n('V RetroL LongO')}'", 8), (n("V A R K A RetroL"), "", f"'{n('V A Ng')}'", 3), (any_of("AlveolarR RetroT") + any_of("K Ch P"), "", second, 1),
+        (n("AlveolarR AlveolarR"), "", f"'{n('T T')}'", 2), (n("AlveolarN AlveolarR"), f" AND out <> '{n('N A')}'", f"'{n('AlveolarN AlveolarN')}'", 2), (n("K O RetroL") + "$", " AND out <> ''", f"'{n('K LongO')}'", 3),
+        (n("U P A T U") + "$", "", f"'{n('U V A T U')}'", 5), (n("O AlveolarN P A T U") + "$", "", f"'{n('O M P A T U')}'", 6), (n("K O RetroT U") + "$", "", f"'{n('K U RetroT U')}'", 4),
+    ]
+    starts = " ".join(f"WHEN regexp_matches(r, '^{p}') THEN {{'put': {put}, 'on': {on}}}" for p, put, on in head)
+    steps = " ".join(f"WHEN regexp_matches(r, '^{p}'){when} THEN {{'put': {put}, 'on': {on}}}" for p, when, put, on in walk)
+    return f"""{_BASE.replace('WITH heads', 'WITH RECURSIVE heads')}, words AS (SELECT DISTINCT translate(word, '{L.LATIN_CODES}', '{L.LATIN}') AS latin FROM postings WHERE word <> ''),
+    begun AS (SELECT latin, r, CASE {starts} ELSE {{'put': '', 'on': 0}} END AS s FROM (SELECT latin, {_TO_CODES.format('latin')} AS r FROM words)),
+    walked AS (
+      SELECT latin, substr(r, s.on + 1) AS r, s.put AS out FROM begun
+      UNION ALL
+      SELECT latin, substr(r, s.on + 1), out || s.put FROM (SELECT latin, r, out, CASE {steps} ELSE {{'put': {first}, 'on': 1}} END AS s FROM walked WHERE r <> ''))
+    SELECT latin, out AS spoken FROM walked WHERE r = ''"""
+
+
 _V, _Y = L.CODE["V"], L.CODE["Y"]
 _HARD = "".join(c for c in L.LATIN if L.CODE[STANDS_FOR[c]] in L.VALLINAM)
 ORACLE_SQL = {
@@ -159,6 +190,7 @@ ORACLE_SQL = {
           ELSE [ta || tb] END) AS variant FROM ends""",
     "normalize_script": f"""{_WORDS} SELECT latin, translate(replace(replace(replace(regexp_replace(regexp_replace(replace(replace(regexp_replace({_TO_CODES.format('latin')},
         '^0NN', '8N'), 'ED', 'MD'), 'KJ', 'MJ'), 'H([DFL])', 'S\\1', 'g'), 'T([DFL])', 'P\\1', 'g'), 'II', 'IK'), 'UU', 'UK'), 'V', 'F'), 'K', 'U') AS norm FROM words""",
+    "pronounce_script": _speech_sql(),
     "search_spelling": _spelled_sql("(J|[HI]H|[TU]T)[682][OT][68]", "^J[682][OT][68]", "^J[682][OT][68]$", "^J6O6", "J6O6$", "^J6O6$"),
     "search_joint": _spelled_sql("(UT|PJ|UJ)$", "^(UT|PJ|UJ)$", "^(UT|PJ|UJ)$", "^UT$", "UT$", "^UT$"),
     "search_transliterated": _spelled_sql("^(OO?|TT?)[23N]", "^(OO?|TT?)[23N]", "^(OO?|TT?)[23N]$", "^[OT]2", "^[OT]2$", "^[OT]2$"),
