@@ -13,6 +13,7 @@ from olai.functions import presentation
 from olai.functions.patterns import END, START, Pattern, after, before, latin, one_of, term
 from olai.operators import counts, highlight, present, references, search, suggest
 from olai.sources import lexicon
+from olai.sources.numbering import number_in_order
 from olai.sources.shared import spread
 from olai.sources.vocabulary import build_vocabulary, once
 
@@ -116,8 +117,7 @@ def _search_sql(regex: str, corpus: str = "head") -> str:
 
 def scan_entries(spark, sf_dir):
     entries, _, _ = _tables(spark, sf_dir)
-    first = F.substring("sort_key", 1, 4)
-    numbered = lexicon.number_rows(entries.withColumnRenamed("index", "id"), [F.col("sort_key"), F.col("sub").asc_nulls_first(), F.col("id")], first)
+    numbered = number_in_order(entries.withColumnRenamed("index", "id"), [F.col("sort_key").asc(), F.col("sub").asc_nulls_first(), F.col("id").asc()], name="index")
     return numbered.select("id", "index", "word", "sub", "kind_set", "sort_key")
 
 

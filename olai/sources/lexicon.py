@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from olai.functions import letters as L
+from olai.sources.numbering import number_in_order
 
 ENTRY_SCHEMA = "word string, sub smallint, formal boolean, hint string, kind array<string>, secs array<array<array<array<string>>>>"
 VERB_SCHEMA = "word string, sub smallint, ve array<string>"
@@ -38,20 +39,6 @@ def headwords(raw: Column) -> Column:
     return F.filter(F.transform(F.split(raw, "[,;]"), F.trim), lambda w: w != "")
 
 
-def number_rows(df: DataFrame, order: Sequence[Column], bucket: Column, name: str = "index") -> DataFrame:
-    """Number rows from 0 in a global order without one sort in one task.
-
-    ``bucket`` must not decrease along the order: rows are numbered within
-    buckets, and buckets start where the counts before them end.
-    """
-    rows = df.withColumn("_bucket", bucket)
-    starts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    return rows.withColumn("_at", within).join(starts, "_bucket").withColumn(name, F.col("_start") + F.col("_at")).drop("_bucket", "_start", "_at")
-
-
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a JSON array of records, in dictionary order by ``index``; malformed input fails."""
     raw = spark.read.schema(ENTRY_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -84,9 +71,8 @@ def build_entries(raw: DataFrame) -> DataFrame:
         F.coalesce(segments, F.array().cast("array<struct<kind:string,text:string>>")).alias("segments"),
     )
     entries = entries.withColumn("text", F.array_join(F.transform("segments", lambda s: F.concat(s["text"], F.lit("\0"))), ""))
-    first = F.coalesce(F.substring(F.get("sort_keys", F.lit(0)), 1, 4), F.lit(""))
-    order = [F.col("sort_keys"), F.col("sub").asc_nulls_first(), F.col("position")]
-    return number_rows(entries, order, first).drop("position")
+    order = [F.col("sort_keys").asc(), F.col("sub").asc_nulls_first(), F.col("position").asc()]
+    return number_in_order(entries, order, name="index").drop("index_of", "position")
 
 
 def headword_postings(entries: DataFrame, id_col: str = "index") -> DataFrame:
