@@ -10,7 +10,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from olai.llm import exact_dedup, merkle, numbering, resampling
+from olai.llm import exact_dedup, merkle, resampling
+from olai.sources import numbering
 from tests.llm.helpers import awkward, docs, empty
 
 TEXTS = ["Alpha beta gamma", "alpha, BETA; gamma!", "été 42 x", "漢字 and words", "", None, "one", "a b c d e f g h i j k l m n o p q r s t u v w"]
