@@ -339,35 +339,47 @@ def tamil(word: str, expand: bool = True, level: str = "full") -> Pattern:
     full = level == "full"
     ending = ENDING.search(word) if full else None
     if ending:
-        stem = _spelled(word, full, ending.start())[0]
-        return Pattern(word, f"{stem}(?:{ending.group()})?", f"{stem}{ending.group()}")
+        plain, stem, _ = _spelled(word, full, ending.start())
+        return Pattern(plain + ending.group(), f"{stem}(?:{ending.group()})?", f"{stem}{ending.group()}")
     found = PADU.search(word) if full else None
     cut = _without_padu(word, found.start()) if found else None
     if cut:
-        stem = _spelled(word, full, found.start())[0] + cut[1]
-        return Pattern(word, f"{stem}(?:{word[cut[0] :]})?", f"{stem}{word[cut[0] :]}")
+        plain, stem, _ = _spelled(word, full, found.start())
+        ending = word[cut[0] :]
+        return Pattern(plain + cut[1] + ending, f"{stem}{cut[1]}(?:{ending})?", f"{stem}{cut[1]}{ending}")
     double = DOUBLED.search(word) if full else None
     if double:
         # Before a vowel the u falls, and at the end of a word the doubling as well.
-        stem, single = _spelled(word, full, double.start())[0], double.group(1)
-        pair = f"(?:{'|'.join([single * 2, *_joints(single * 2, True)])})"
-        return Pattern(word, f"{stem}(?:{pair}{CODE['U']}|{pair}(?=[{_V.replace(CODE['U'], '')}])|{single}$)")
-    wide, frozen = _spelled(word, full, len(word))
-    return Pattern(word, f"(?:{wide}|{frozen})", wide) if frozen else Pattern(word, wide)
+        plain, stem, _ = _spelled(word, full, double.start())
+        single = double.group(1)
+        own = _one_of([single * 2, *sorted(SANDHI.get(single * 2, ()))])
+        pair = _one_of([single * 2, *_joints(single * 2, True)])
+        return Pattern(f"{plain}{own}{CODE['U']}", f"{stem}(?:{pair}{CODE['U']}|{pair}(?=[{_V.replace(CODE['U'], '')}])|{single}$)")
+    plain, wide, frozen = _spelled(word, full, len(word))
+    return Pattern(plain, f"(?:{wide}|{frozen})", wide) if frozen else Pattern(plain, wide)
 
 
-def _spelled(word: str, full: bool, stop: int) -> tuple[str, str]:
-    """The first ``stop`` letters of a word with their variants, and, of a whole word, those variants that are frozen."""
-    wide, frozen, at = "", "", 0
+def _one_of(ways: list[str]) -> str:
+    return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+
+def _spelled(word: str, full: bool, stop: int) -> tuple[str, str, str]:
+    """The first ``stop`` letters of a word as written, with their variants, and, of a whole word, those variants that are frozen.
+
+    Joints of the exact level are ways of writing the same, and no variants.
+    """
+    plain, wide, frozen, at = "", "", "", 0
     while at < stop:
         pair = word[at : at + 2] if at + 1 < stop else ""
         ways = _joints(pair, full) if pair else []
         ch, last = word[at], at == len(word) - 1
         if ways:
-            wide += f"(?:{'|'.join([pair, *ways])})"
+            plain += _one_of([pair, *sorted(SANDHI.get(pair, ()))])
+            wide += _one_of([pair, *ways])
             at += 2
             continue
         if at and pair == codes_in_order("A M") and at == len(word) - 2:
+            plain += pair
             # A final m turns into the nasal of the next word; it falls before a word, and -am before a vowel, which ends the match.
             fallen = ([f"0(?=[{L.TAMIL_INITIAL}])"] if len(word) > 2 else []) + ([f"(?=[{_V}])"] if len(word) > 4 else [])
             frozen = f"{wide}(?:{'|'.join(fallen)})" if fallen else ""
@@ -375,22 +387,25 @@ def _spelled(word: str, full: bool, stop: int) -> tuple[str, str]:
             at += 2
             continue
         if ch == CODE["M"] and last and at and word[at - 1] in _V:
+            plain += ch
             wide += char_class(codes("M", "Ng", "Ny", "N"))
         elif pair == codes_in_order("A Y") or (at + 2 < stop and word[at : at + 3] in (codes_in_order("A V U"), codes_in_order("A V V"))):
             three = word[at + 1] == CODE["V"] and word[at + 2] == CODE["U"]
             rest = word[at + 1 : at + 3] if three else word[at + 1]
             own = f"[{codes('A', 'Ai')}]{rest}" if full else f"0{rest}"
+            plain += ch + rest
             wide += f"(?:{own}|{CODE['Ai'] if word[at + 1] == CODE['Y'] else CODE['Au']})"
             at += 1 + len(rest)
             continue
         elif ch == CODE["U"] and last and at > 2:
             # A final u falls before a vowel, and at the end after a letter that may end a word.
+            plain += ch
             wide += f"(?:{ch}|(?=[{_V.replace(ch, '')}])|(?<=[{L.TAMIL_FINAL}])$)"
         else:
-            more = _variants(word, at, full)
-            wide += f"(?:{'|'.join([ch, *more])})" if more else ch
+            plain += ch
+            wide += _one_of([ch, *_variants(word, at, full)])
         at += 1
-    return wide, frozen
+    return plain, wide, frozen
 
 
 class Options(NamedTuple):

@@ -45,7 +45,7 @@ def _tagged(source: DataFrame | Vocabulary, patterns: Sequence[Pattern]) -> Data
     some = reduce(Column.__or__, [F.rlike("word", F.lit(consuming(p.wide))) for p in patterns])
     hits = [_hit(F.col("word"), p).alias(f"h{k}") for k, p in enumerate(patterns)]
     if isinstance(source, Vocabulary):
-        return source.of_words(source.words.where(some).select("word", "shards", *hits))
+        return source.of_words(source.words.where(some).select("key", "shards", *hits))
     return source.where(some).select("*", *hits)
 
 

@@ -95,7 +95,7 @@ def search_spelling(spark, sf_dir):
 
 
 def search_joint(spark, sf_dir):
-    """Two letters at a joint of words, written as a minor variant at the end of words."""
+    """Two letters at a joint of words, in all ways in which they are written, at the end of words."""
     return _flat(search.search(_postings(spark, sf_dir), tamil(L.CODE["AlveolarN"] + L.CODE["AlveolarR"], level="minor") + END))
 
 
@@ -192,6 +192,6 @@ ORACLE_SQL = {
         '^0NN', '8N'), 'ED', 'MD'), 'KJ', 'MJ'), 'H([DFL])', 'S\\1', 'g'), 'T([DFL])', 'P\\1', 'g'), 'II', 'IK'), 'UU', 'UK'), 'V', 'F'), 'K', 'U') AS norm FROM words""",
     "pronounce_script": _speech_sql(),
     "search_spelling": _spelled_sql("(J|[HI]H|[TU]T)[682][OT][68]", "^J[682][OT][68]", "^J[682][OT][68]$", "^J6O6", "J6O6$", "^J6O6$"),
-    "search_joint": _spelled_sql("(UT|PJ|UJ)$", "^(UT|PJ|UJ)$", "^(UT|PJ|UJ)$", "^UT$", "UT$", "^UT$"),
+    "search_joint": _spelled_sql("(UT|PJ|UJ)$", "^(UT|PJ|UJ)$", "^(UT|PJ|UJ)$", "^(UT|PJ|UJ)$", "(UT|PJ|UJ)$", "^(UT|PJ|UJ)$"),
     "search_transliterated": _spelled_sql("^(OO?|TT?)[23N]", "^(OO?|TT?)[23N]", "^(OO?|TT?)[23N]$", "^[OT]2", "^[OT]2$", "^[OT]2$"),
 }
