@@ -18,8 +18,10 @@ def _is_word(run: Column) -> Column:
 
 
 def word_counts(segments: Column) -> Column:
-    """How many numbered words each segment has."""
-    return F.transform(segments, lambda s: F.size(F.filter(F.regexp_extract_all(s["text"], F.lit(RUN), F.lit(0)), _is_word)))
+    """How many numbered words each segment has; of text without Tamil script these are the runs that hold a Latin letter."""
+    latin = lambda text: F.regexp_count(text, F.lit(r"[\u0080-\x{10FFFF}]*+[A-Za-z][A-Za-z\u0080-\x{10FFFF}]*+"))
+    tamil = lambda text: F.size(F.filter(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), _is_word))
+    return F.transform(segments, lambda s: F.when(F.rlike(s["text"], F.lit("[ஂ-ௗ]")), tamil(s["text"])).otherwise(latin(s["text"])))
 
 
 def first_words(counts: Column) -> Column:
