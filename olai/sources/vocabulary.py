@@ -78,12 +78,12 @@ def _bucketed(df: DataFrame, by: list[str], sort: list[str]) -> DataFrame:
     return spark.table(name)
 
 
-_BUILT: dict[tuple[str, str], object] = {}
+_BUILT: dict[tuple[str, str, str], object] = {}
 
 
 def once(spark: SparkSession, key: str, build: Callable[[], object]) -> object:
     """What ``build`` makes, made once a Spark application for each key: an index serves all searches over unchanged tables."""
-    own = (spark.sparkContext.applicationId, key)
+    own = (spark.sparkContext.applicationId, shared_dir(spark), key)
     if own not in _BUILT:
         _BUILT[own] = build()
     return _BUILT[own]
