@@ -83,19 +83,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInPandas(run, f"doc_id {kind}, fp array<bigint>" + ("" if repeats else ", shingles bigint"))
 
 
-def _rotations(value: Column, bits: int, fixed: int, blocks: int) -> list[Column]:
-    """Left-aligned values of ``bits`` bits whose bits past ``fixed`` are rotated so that each of ``blocks`` blocks leads."""
-    low = (1 << (bits - fixed)) - 1
-    out = []
-    for b in range(blocks):
-        right = F.shiftrightunsigned(value, 64 - bits)
-        rest = right.bitwiseAND(F.lit(low - (1 << 64) if low >= 1 << 63 else low))
-        size = bits - fixed
-        turn = b * size // blocks
-        turned = rest if not turn else F.shiftleft(rest, turn).bitwiseOR(F.shiftrightunsigned(rest, size - turn)).bitwiseAND(F.lit(low - (1 << 64) if low >= 1 << 63 else low))
-        head = right.bitwiseXOR(rest)
-        out.append(F.shiftleft(head.bitwiseOR(turned), 64 - bits))
-    return out
+def _rotated(value: Column, bits: int, fixed: int, block: Column, blocks: int) -> Column:
+    """Left-aligned values of ``bits`` bits whose bits past ``fixed`` are rotated so that the given one of ``blocks`` blocks leads."""
+    size = bits - fixed
+    low = (1 << size) - 1
+    mask = F.lit(low - (1 << 64) if low >= 1 << 63 else low)
+    turn = F.floor(block * size / blocks).cast("int")
+    right = F.shiftrightunsigned(value, 64 - bits)
+    rest = right.bitwiseAND(mask)
+    # The first block turns by nothing: its right shift by all bits leaves no bit, or, at 64, the value itself.
+    turned = F.call_function("shiftleft", rest, turn).bitwiseOR(F.call_function("shiftrightunsigned", rest, size - turn)).bitwiseAND(mask)
+    return F.shiftleft(right.bitwiseXOR(rest).bitwiseOR(turned), 64 - bits)
 
 
 class _Forest:
@@ -204,15 +202,16 @@ def trie_links(nodes: DataFrame, tables: Sequence[tuple[int, int, int]], budget:
     all pairs of a group.
     """
     blocks = budget + 1
-    rows = []
-    for t, (word, first, bits) in enumerate(tables):
-        value = F.shiftleft(F.col("fp")[word], first).bitwiseAND(F.lit(-1 if bits == 64 else -(1 << (64 - bits))))
-        rows += [F.struct(F.lit(str(t * blocks + b)).alias("trie"), v.alias("value")) for b, v in enumerate(_rotations(value, bits, 0, blocks))]
-    carried = ["fp"] if max_bits is not None else []
     bits = tables[0][2]
+    carried = ["fp"] if max_bits is not None else []
     fixed = bits // blocks
     whole = [F.slice("fp", 1, gate).alias("fp") if gate else F.col("fp")] if carried else []
-    level = nodes.select("node", *whole, F.explode(F.array(*rows)).alias("r")).select("node", *carried, "r.trie", "r.value")
+    # One row for each slice and turn, told apart by arithmetic: an expression for each would be too long to compile.
+    slot, block = F.floor(F.col("k") / blocks).cast("int"), F.col("k") % blocks
+    word, first = (F.array(*[F.lit(t[i]) for t in tables])[slot] for i in (0, 1))
+    value = F.call_function("shiftleft", F.col("fp")[word], first).bitwiseAND(F.lit(-1 if bits == 64 else -(1 << (64 - bits))))
+    level = nodes.select("node", "fp", *[c.alias("_whole") for c in whole], F.explode(F.sequence(F.lit(0), F.lit(len(tables) * blocks - 1))).alias("k"))
+    level = level.select("node", *[F.col("_whole").alias("fp") for _ in carried], F.col("k").cast("string").alias("trie"), _rotated(value, bits, 0, block, blocks).alias("value"))
     links = None
     while True:
         level = level.withColumn("head", F.shiftrightunsigned("value", 64 - fixed))
@@ -228,8 +227,9 @@ def trie_links(nodes: DataFrame, tables: Sequence[tuple[int, int, int]], budget:
         if hot is None:
             return links
         split = level.join(hot, ["trie", "head"], "left_semi")
-        turned = [F.struct(F.concat("trie", F.lit(f".{b}")).alias("trie"), v.alias("value")) for b, v in enumerate(_rotations(F.col("value"), bits, fixed, blocks))]
-        level = split.select("node", *carried, F.explode(F.array(*turned)).alias("r")).select("node", *carried, "r.trie", "r.value")
+        split = split.select("node", *carried, "trie", "value", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"))
+        turned = _rotated(F.col("value"), bits, fixed, F.col("k"), blocks)
+        level = split.select("node", *carried, F.concat("trie", F.lit("."), F.col("k").cast("string")).alias("trie"), turned.alias("value"))
         fixed += more // blocks
 
 
@@ -328,26 +328,27 @@ def verified_links(members: DataFrame, similarity: float) -> DataFrame:
     """
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     large = materialise(sizes.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "large-groups")
-    small = members.join(F.broadcast(large.select("root")), "root", "left_anti")
+    # Large groups are counted before anything of theirs is broadcast; pivots are PIVOTS rows of each.
+    few = F.broadcast if large.count() * PIVOTS <= BROADCAST_NODES else (lambda df: df)
+    small = members.join(few(large.select("root")), "root", "left_anti")
     links = _grouped_links(small.withColumn("is_left", F.lit(True)), ["root"], similarity)
     if large.isEmpty():
         return links
-    # The number of groups of over BLOCK texts is a small part of that of texts.
-    big = members.join(F.broadcast(large), "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    big = members.join(few(large), "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     big = materialise(big, "large-members")
     # Pivots: the rows of least hash, which combine before the shuffle.
     ranked = big.select("root", F.pmod(F.xxhash64("node", F.lit(9)), F.lit(PIVOTS)).cast("int").alias("slot"), F.struct(F.xxhash64("node", F.lit(11)).alias("x"), "node").alias("r"))
     pivots = materialise(ranked.groupBy("root", "slot").agg(F.min("r.node").alias("node")), "pivots").select("root", "node")
-    held = big.join(F.broadcast(pivots.withColumn("is_left", F.lit(True))), ["root", "node"], "left").withColumn("is_left", F.coalesce("is_left", F.lit(False)))
+    held = big.join(few(pivots.withColumn("is_left", F.lit(True))), ["root", "node"], "left").withColumn("is_left", F.coalesce("is_left", F.lit(False)))
     spread_pivots = held.where("is_left").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     columns = ["root", "block", "node", "h", "is_left"]
     first = materialise(_grouped_links(held.where("NOT is_left").select(columns).union(spread_pivots.select(columns)), ["root", "block"], similarity), "pivot-links")
     part = connected_components(first)
     rooted = materialise(big.select("root", "node").join(part.withColumnRenamed("root", "part"), "node", "left"), "pivot-parts")
     best = rooted.where("part IS NOT NULL").groupBy("root", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("part", "n").alias("best"))
-    loose = rooted.join(F.broadcast(best), "root", "left").where(~F.coalesce(F.col("part") == F.col("best"), F.lit(False))).select("root", "node")
+    loose = rooted.join(few(best), "root", "left").where(~F.coalesce(F.col("part") == F.col("best"), F.lit(False))).select("root", "node")
     counts = loose.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("lefts"))
-    rest = big.join(loose.withColumn("loose", F.lit(True)), ["root", "node"], "left").join(F.broadcast(counts), "root")
+    rest = big.join(loose.withColumn("loose", F.lit(True)), ["root", "node"], "left").join(few(counts), "root")
     lefts = rest.where("loose").withColumn("lb", F.pmod(F.xxhash64("node", F.lit(13)), F.col("lefts")).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("is_left", F.lit(True))
     rights = rest.withColumn("rb", F.col("block")).withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("is_left", F.lit(False))
     columns = ["root", "lb", "rb", "node", "h", "is_left"]
