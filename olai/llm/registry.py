@@ -21,6 +21,8 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_mixing": op2_mixing.SQL,
+    "op6_suffix_dedup": op6_suffix_dedup.SQL,
+    "op7_secrets": op7_secrets.SQL,
     "op8_line_dedup": op8_line_dedup.SQL,
     "op9_topk": op9_topk.SQL,
     "op10_decontamination": op10_decontamination.SQL,
