@@ -203,8 +203,8 @@ def build_stems(entries: DataFrame, verbs: DataFrame, missing: str = "skip") ->
     has = lambda *kinds: bits.bitwiseAND(F.lit(kind_bits(kinds))) != 0
     words = entries.select("index", "word", "sub", "kind_set", F.posexplode(headwords(F.col("word"))).alias("_at", "_part"), F.size(headwords(F.col("word"))).alias("_n"))
     words = words.withColumn("w", F.explode(L.joined_subwords(F.col("_part"))))
-    # An au before v is also written av.
-    au = F.replace(w, F.lit(_c("Au V")), F.lit(_c("A V")))
+    # An au before v is also written av with v doubled, unless the only such v is the last letter.
+    au = F.when(F.rlike(w, F.lit(_c("Au V") + ".")), F.replace(w, F.lit(_c("Au V")), F.lit(_c("A V V")))).otherwise(w)
     words = words.withColumn("w", F.explode(F.array_distinct(F.array(w, au)))).where("w <> ''")
 
     special = [tuple(x.strip() for x in line.split("|")) for line in SPECIAL.strip().split("\n")]

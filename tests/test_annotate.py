@@ -149,3 +149,15 @@ def test_missing_verbs_are_named(spark):
     assert {r.entry for r in stems.build_stems(entries.where("index = 0"), verbs, missing="fail").collect()} == {0}
     with pytest.raises(Exception, match="no forms of the verb செய் 2"):
         stems.build_stems(entries, verbs, missing="fail").collect()
+
+
+def test_au_before_v(spark):
+    """Au before v also stems as av with v doubled, but not in a word in which that v only comes last."""
+    entries = spark.createDataFrame([(0, "வௌவால்", None, ["p"]), (1, "மௌவ்", None, ["p"])], "index int, word string, sub smallint, k array<string>").withColumn("kind_set", lexicon.kind_set(F.col("k")))
+    got = {}
+    for r in stems.build_stems(entries, lexicon.read_verbs(spark, None)).collect():
+        got.setdefault(r.entry, set()).add(r.root)
+    written = spark.createDataFrame([(w,) for w in ("வௌவால்", "வவ்வால்", "மௌவ்", "மவ்வ்")], "w string").select("w", linguistics.normalised(L.encode(F.col("w")))["norm"].alias("n"))
+    norm = {r.w: r.n for r in written.collect()}
+    assert {norm["வௌவால்"], norm["வவ்வால்"]} <= got[0]
+    assert norm["மௌவ்"] in got[1] and norm["மவ்வ்"] not in got[1]
