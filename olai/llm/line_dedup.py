@@ -17,16 +17,18 @@ PLACES = "array<struct<h1:bigint,h2:bigint,first:boolean,at:int,end:int,body:str
 
 
 def cuts(lines: list[str]) -> list[int]:
-    """Where chunks begin and end: the bounds of the text, and after every line of which a rolling hash says so.
+    """Where chunks begin and end: the bounds of the text, and both sides of every two lines of which a rolling hash says so.
 
-    The hash rolls over the hashes of two lines, of which half the values cut,
-    as do two equal lines. So a cut depends on nothing but the two lines above
-    it, and a passage is cut alike wherever it stands.
+    The hash rolls over the hashes of two lines, of which half the values cut
+    above and below them; two equal lines cut below. So a cut depends on
+    nothing but the two lines beside it, a passage is cut alike wherever it
+    stands, and two lines that the hash chooses are a chunk by themselves.
     """
     h = np.array([int.from_bytes(hashlib.md5(x.encode("utf-8", "surrogatepass")).digest()[:4]) for x in lines], np.int64)
     rolled = (h[:-1] * 31 + h[1:]) % (1 << 32)
-    after = np.flatnonzero(((rolled >> 16) % 2 == 0) | (h[:-1] == h[1:])) + 2
-    return [0, *(p for p in after.tolist() if p < len(lines)), len(lines)]
+    chosen, equal = (rolled >> 16) % 2 == 0, h[:-1] == h[1:]
+    at = np.union1d(np.flatnonzero(chosen | equal) + 2, np.flatnonzero(chosen & ~equal))
+    return [0, *(p for p in at.tolist() if 0 < p < len(lines)), len(lines)]
 
 
 def chunk_bounds(lines: list[str]) -> list[tuple[int, int]]:

@@ -15,7 +15,8 @@ SQL = r"""
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 hashed AS (SELECT doc_id, l, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM docs WHERE contains(text, chr(10))),
 cut AS (
-  SELECT doc_id, l, [0] || list_filter(range(2, len(l)), lambda p: h[p - 1] = h[p] OR ((h[p - 1] * 31 + h[p]) % 4294967296 // 65536) % 2 = 0) || [len(l)] AS c
+  SELECT doc_id, l, [0] || list_filter(range(1, len(l)), lambda p: h[p - 1] = h[p] OR ((h[p - 1] * 31 + h[p]) % 4294967296 // 65536) % 2 = 0
+                OR h[p + 1] <> h[p + 2] AND ((h[p + 1] * 31 + h[p + 2]) % 4294967296 // 65536) % 2 = 0) || [len(l)] AS c
   FROM hashed),
 starts AS (SELECT doc_id, l, c, unnest(range(1, len(c) + 1)) AS k FROM cut),
 chunks AS (SELECT *, c[k] AS a, list_filter(c, lambda q: q >= c[k] + 2)[1] AS b FROM starts),
