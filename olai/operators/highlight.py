@@ -38,7 +38,7 @@ def _cut(segment: Column, at: Column, first: Column, hits: Column) -> Column:
 
     def step(acc: Column, run: Column) -> Column:
         word = _is_word(run)
-        bold = word & F.array_contains(hits, acc["at"])
+        bold = F.array_contains(hits, acc["at"]) & word
         out = F.when(bold, F.concat(acc["out"], pending(acc["open"]), F.array(piece(F.lit("bld"), run)))).otherwise(acc["out"])
         return F.struct((acc["at"] + word.cast("int")).alias("at"), F.when(bold, "").otherwise(F.concat(acc["open"], run)).alias("open"), out.alias("out"))
 
@@ -59,9 +59,12 @@ def highlight(segments: Column, words: Column, starts: Column) -> Column:
     ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.lit(2147483647)))
     own = F.zip_with(F.transform(segments, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), F.arrays_zip(starts.alias("first"), ends.alias("end")), lambda a, b: F.struct(a["s"].alias("s"), a["i"].alias("i"), b["first"].alias("first"), b["end"].alias("end")))
 
+    # A field of each segment, so that its hits are looked for once, and not again for each of its runs.
+    within = lambda x: F.filter(F.coalesce(words, F.array().cast("array<int>")), lambda w: (w >= x["first"]) & (w < x["end"]))
+    own = F.transform(own, lambda x: F.struct(x["s"].alias("s"), x["i"].alias("i"), x["first"].alias("first"), within(x).alias("hits")))
+
     def cut(x: Column) -> Column:
-        hits = F.filter(F.coalesce(words, F.array().cast("array<int>")), lambda w: (w >= x["first"]) & (w < x["end"]))
         whole = F.filter(F.array(F.struct(x["i"].cast("int").alias("segment"), x["s"]["kind"].alias("kind"), x["s"]["text"].alias("text"))), lambda p: p["text"] != "")
-        return F.when((x["s"]["kind"] == "ref") | (F.size(hits) == 0), whole).otherwise(_cut(x["s"], x["i"], x["first"], hits))
+        return F.when((x["s"]["kind"] == "ref") | (F.size(x["hits"]) == 0), whole).otherwise(_cut(x["s"], x["i"], x["first"], x["hits"]))
 
     return F.flatten(F.transform(own, cut))

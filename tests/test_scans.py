@@ -32,6 +32,15 @@ def test_search_writes_no_index(spark, monkeypatch, name):
     scan(spark, monkeypatch, name)
 
 
+@tables
+def test_highlights_look_for_the_hits_of_a_segment_once(spark, monkeypatch):
+    monkeypatch.setattr(vocabulary, "_BUILT", {})
+    kept = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    df = registry.QUERIES["highlight_hits"](spark, SF)
+    assert df.collect() and set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) == kept
+    assert "array_contains(filter" not in df._jdf.queryExecution().analyzed().toString()
+
+
 def test_tokens_of_odd_texts(spark):
     every = "".join(chr(k) for k in range(1, 128))
     texts = ["", " ", "a", "..a  B\tc\x00d\x7fe'f", every, every * 2, "né é x y Ünï’s", "12 3", None]
