@@ -27,7 +27,7 @@ def scan(spark, monkeypatch, name):
 
 
 @tables
-@pytest.mark.parametrize("name", ["search_repeat", "search_transliterated", "search_spelling", "classify_precedence", "search_alternative"])
+@pytest.mark.parametrize("name", ["search_repeat", "search_transliterated", "search_spelling", "classify_precedence", "search_alternative", "search_joint"])
 def test_search_writes_no_index(spark, monkeypatch, name):
     scan(spark, monkeypatch, name)
 
