@@ -189,23 +189,28 @@ def joined_subwords(raw: Column) -> Column:
 BRACKETS = "()[]{}"
 
 
-def tokens(text: Column, brackets: bool = False) -> Column:
+_TAMIL_SCRIPT = "[ஂ-ௗ]"
+
+
+def tokens(text: Column) -> Column:
     """Words of a text as letters, in order: runs without ASCII characters other than letters; those without a letter are skipped.
 
-    With ``brackets``, these are kept in their places. A text without Tamil
-    script is translated as a whole, what isn't a letter to a blank, before it
-    is cut at those: a cut at one character needs no regular expression. Only
-    other texts are encoded word by word.
+    A text without Tamil script is translated as a whole, what isn't a letter
+    to a blank, before it is cut at those: a cut at one character needs no
+    regular expression. Only other texts are encoded word by word.
     """
     some = lambda words: F.array_remove(words, "")
     ascii = F.regexp_replace(text, r"[^\x00-\x7F]+", "")
-    if brackets:
-        flat = F.translate(ascii, LATIN + LATIN.upper(), LATIN_CODES * 2)
-        latin = F.regexp_extract_all(flat, F.lit(r"[A-Za-z]+|[(){}\[\]]"), F.lit(0))
-        parts = F.regexp_extract_all(text, F.lit(r"[A-Za-z\u0080-\x{10FFFF}]+|[(){}\[\]]"), F.lit(0))
-        tamil = some(F.transform(parts, lambda w: F.when(w.isin(*BRACKETS), w).otherwise(encode(w))))
-    else:
-        others = "".join(c for c in map(chr, range(128)) if not c.isalpha())
-        latin = some(F.split(F.translate(ascii, LATIN + LATIN.upper() + others, LATIN_CODES * 2 + " " * len(others)), " "))
-        tamil = some(F.transform(F.split(text, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), encode))
-    return F.when(F.rlike(text, F.lit("[ஂ-ௗ]")), tamil).otherwise(latin)
+    others = "".join(c for c in map(chr, range(128)) if not c.isalpha())
+    latin = some(F.split(F.translate(ascii, LATIN + LATIN.upper() + others, LATIN_CODES * 2 + " " * len(others)), " "))
+    tamil = some(F.transform(F.split(text, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), encode))
+    return F.when(F.rlike(text, F.lit(_TAMIL_SCRIPT)), tamil).otherwise(latin)
+
+
+def outline(text: Column) -> Column:
+    """A text as its brackets, each as it is, and one w for each of its :func:`tokens`, in order."""
+    ascii = F.regexp_replace(text, r"[^\x00-\x7F]+", "")
+    latin = F.regexp_replace(F.regexp_replace(ascii, "[A-Za-z]+", "w"), r"[^w(){}\[\]]+", "")
+    parts = F.regexp_extract_all(text, F.lit(r"[A-Za-z\u0080-\x{10FFFF}]+|[(){}\[\]]"), F.lit(0))
+    tamil = F.array_join(F.transform(parts, lambda w: F.when(w.isin(*BRACKETS), w).when(encode(w) != "", "w").otherwise("")), "")
+    return F.when(F.rlike(text, F.lit(_TAMIL_SCRIPT)), tamil).otherwise(latin)

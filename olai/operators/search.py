@@ -27,26 +27,44 @@ class Role(NamedTuple):
     excludes: bool = False
 
 
-def _hit(word: Column, pattern: Pattern) -> Column:
-    """How a word matches a pattern: null if it doesn't, else whether as a whole and its classes as a headword, in text and in parentheses."""
-    m = matches(word, pattern)
+def _classes(m: Column) -> tuple[Column, Column, Column]:
+    """The classes of a match (see :func:`matches`) as a headword, in parentheses and in text."""
     head = F.when(m["plain_start"], A).when(m["plain_end"] | m["wide_start"], B).otherwise(BOTTOM)
     inside = F.when(m["wide_start"], C).otherwise(BOTTOM)
     body = F.when(m["plain_whole"], A).when(m["wide_start"], B).when(m["plain_end"], C).otherwise(BOTTOM)
-    return F.when(F.rlike(word, F.lit(consuming(pattern.wide))), F.struct(m["wide_whole"].alias("whole"), head.alias("head"), body.alias("body"), inside.alias("inside")))
+    return head, inside, body
+
+
+def _placed(head: Column, inside: Column, body: Column) -> Column:
+    """The class that the place of a posting asks for; the others are not worked out."""
+    return F.when(F.col("word_idx").isNull(), head).when(F.col("in_paren"), inside).otherwise(body)
 
 
 def _tagged(source: DataFrame | Vocabulary, patterns: Sequence[Pattern]) -> DataFrame:
-    """Postings of words that match any pattern, with a column ``h<k>`` for each pattern.
+    """Postings of words that match any pattern, with two columns for each: ``class<k>``, null without a match, and ``whole<k>``.
 
-    Over a vocabulary, a word is judged once and its postings are joined; over
-    bare postings every token is judged.
+    Over a vocabulary, a word is judged once for all places and its postings
+    are joined; over bare postings every token is judged where it stands.
     """
-    some = reduce(Column.__or__, [F.rlike("word", F.lit(consuming(p.wide))) for p in patterns])
-    hits = [_hit(F.col("word"), p).alias(f"h{k}") for k, p in enumerate(patterns)]
+    found = [F.rlike("word", F.lit(consuming(p.wide))) for p in patterns]
+    some = reduce(Column.__or__, found)
     if isinstance(source, Vocabulary):
-        return source.of_words(source.words.where(some).select("key", "shards", *hits))
-    return source.where(some).select("*", *hits)
+        hits = []
+        for k, p in enumerate(patterns):
+            m = matches(F.col("word"), p)
+            head, inside, body = _classes(m)
+            hits.append(F.when(found[k], F.struct(m["wide_whole"].alias("whole"), head.alias("head"), inside.alias("inside"), body.alias("body"))).alias(f"h{k}"))
+        rows = source.of_words(source.words.where(some).select("key", "shards", *hits))
+        judged = [(_placed(F.col(h)["head"], F.col(h)["inside"], F.col(h)["body"]), F.col(h)["whole"]) for h in (f"h{k}" for k in range(len(patterns)))]
+    else:
+        rows = source.where(some)
+        judged = []
+        for k, p in enumerate(patterns):
+            m = matches(F.col("word"), p)
+            own = _placed(*_classes(m))
+            # Only headwords are asked for whole matches; of one pattern, all rows that are left match.
+            judged.append((own if len(patterns) == 1 else F.when(found[k], own), F.col("word_idx").isNull() & m["wide_whole"]))
+    return rows.select("entry", "word_idx", *[c.alias(f"{name}{k}") for k, both in enumerate(judged) for name, c in zip(("class", "whole"), both)])
 
 
 def search_roles(source: DataFrame | Vocabulary, queries: Sequence[Sequence[Role]]) -> list[DataFrame]:
@@ -65,19 +83,19 @@ def search_roles(source: DataFrame | Vocabulary, queries: Sequence[Sequence[Role
     is_head = F.col("word_idx").isNull()
     found, positive = [], {}
     for k, (q, r) in enumerate(roles):
-        hit = F.col(f"h{k}")
+        hit = F.col(f"class{k}")
         applies = hit.isNotNull() & is_head if r.heads_only else hit.isNotNull()
         found.append(F.bool_or(applies).alias(f"_found{k}"))
         if r.excludes:
             continue
         positive.setdefault(q, []).append(k)
         found += [
-            F.bool_or(is_head & hit["whole"]).alias(f"_exact{k}"),
-            F.min(F.when(is_head, hit["head"])).alias(f"_head{k}"),
-            F.min(F.when(~is_head & applies, F.when(F.col("in_paren"), hit["inside"]).otherwise(hit["body"]))).alias(f"_body{k}"),
+            F.bool_or(is_head & F.col(f"whole{k}")).alias(f"_exact{k}"),
+            F.min(F.when(is_head, hit)).alias(f"_head{k}"),
+            F.min(F.when(~is_head & applies, hit)).alias(f"_body{k}"),
         ]
     for q, own in positive.items():
-        some = reduce(Column.__or__, [F.col(f"h{k}").isNotNull() for k in own if not roles[k][1].heads_only], F.lit(False))
+        some = reduce(Column.__or__, [F.col(f"class{k}").isNotNull() for k in own if not roles[k][1].heads_only], F.lit(False))
         found.append(F.array_sort(F.collect_set(F.when(some, F.col("word_idx")))).alias(f"_words{q}"))
     grouped = rows.groupBy("entry").agg(*found)
     if len(queries) > 1:

@@ -96,31 +96,35 @@ def definition_postings(entries: DataFrame, id_col: str = "index", text_col: str
     plain = rows.where(~bracketed).select(F.posexplode(L.tokens(F.col("text"))).alias("word_idx", "word"), "entry")
     plain = plain.select("word", "entry", "word_idx", F.lit(False).alias("in_paren"))
 
-    words = rows.where(bracketed).select("entry", _bracket_depths(L.tokens(F.col("text"), brackets=True)).alias("d"))
-    words = words.select("entry", F.posexplode(F.arrays_zip(F.col("d.word").alias("word"), F.col("d.in_paren").alias("in_paren"))).alias("word_idx", "w"))
+    words = F.arrays_zip(L.tokens(F.col("text")).alias("word"), _in_parentheses(L.outline(F.col("text"))).alias("in_paren"))
+    words = rows.where(bracketed).select("entry", F.posexplode(words).alias("word_idx", "w"))
     return plain.union(words.select("w.word", "entry", "word_idx", "w.in_paren"))
 
 
-def _bracket_depths(parts: Column) -> Column:
-    """The words among words and brackets, and whether each is in parentheses."""
+#: What a character of an outline adds to the depth.
+_STEP = np.zeros(256, np.int64)
+_STEP[[ord(c) for c in OPENERS]], _STEP[[ord(c) for c in CLOSERS]] = 1, -1
 
-    sign = dict.fromkeys(OPENERS, 1) | dict.fromkeys(CLOSERS, -1)
 
-    def run(texts: pd.Series) -> pd.DataFrame:
+def _in_parentheses(outlines: Column) -> Column:
+    """Whether each word of an outline (:func:`letters.outline`) is in parentheses; words themselves stay where they are."""
+
+    def run(texts: pd.Series) -> pd.Series:
         out = []
         for own in texts:
-            step = np.array([sign.get(x, 0) for x in own], np.int64)
+            marks = np.frombuffer(own.encode(), np.uint8)
+            step = _STEP[marks]
             total = np.cumsum(step)
             depth = total - np.minimum(0, np.minimum.accumulate(total)) if len(own) else total
             word = step == 0
             outside = np.logical_or.accumulate(word & (depth == 0))
             # The bracket that opened the outermost level.
             opened = np.maximum.accumulate(np.where((step > 0) & (depth == 1), np.arange(len(own)), -1)) if len(own) else total
-            leading = ~outside & (depth == 1) & np.array([k >= 0 and own[k] == "(" for k in opened], bool)
-            out.append((own[word], ((depth > 0) & ~leading)[word]))
-        return pd.DataFrame(out, columns=["word", "in_paren"])
+            leading = ~outside & (depth == 1) & (opened >= 0) & (marks[opened] == ord("("))
+            out.append(((depth > 0) & ~leading)[word])
+        return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(run, "word array<string>, in_paren array<boolean>")(parts)
+    return F.pandas_udf(run, "array<boolean>")(outlines)
 
 
 def entries_by_id(entries: DataFrame, ids: str, id_col: str = "index") -> DataFrame:
