@@ -192,18 +192,21 @@ BRACKETS = "()[]{}"
 _TAMIL_SCRIPT = "[ஂ-ௗ]"
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, latin_as: str = LATIN_CODES) -> Column:
     """Words of a text as letters, in order: runs without ASCII characters other than letters; those without a letter are skipped.
 
-    A text without Tamil script is translated as a whole, what isn't a letter
-    to a blank, before it is cut at those: a cut at one character needs no
-    regular expression. Only other texts are encoded word by word.
+    ``latin_as`` are the codes that the Latin letters are given, so that words
+    which stand for others need no second translation. A text without Tamil
+    script is translated as a whole, what isn't a letter to a blank, before it
+    is cut at those: a cut at one character needs no regular expression. Only
+    other texts are encoded word by word.
     """
     some = lambda words: F.array_remove(words, "")
     ascii = F.regexp_replace(text, r"[^\x00-\x7F]+", "")
     others = "".join(c for c in map(chr, range(128)) if not c.isalpha())
-    latin = some(F.split(F.translate(ascii, LATIN + LATIN.upper() + others, LATIN_CODES * 2 + " " * len(others)), " "))
-    tamil = some(F.transform(F.split(text, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), encode))
+    latin = some(F.split(F.translate(ascii, LATIN + LATIN.upper() + others, latin_as * 2 + " " * len(others)), " "))
+    own = encode if latin_as == LATIN_CODES else lambda w: F.translate(encode(w), LATIN_CODES, latin_as)
+    tamil = some(F.transform(F.split(text, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), own))
     return F.when(F.rlike(text, F.lit(_TAMIL_SCRIPT)), tamil).otherwise(latin)
 
 

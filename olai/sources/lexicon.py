@@ -81,9 +81,11 @@ def headword_postings(entries: DataFrame, id_col: str = "index") -> DataFrame:
     return rows.select("word", "entry", F.lit(None).cast("int").alias("word_idx"), F.lit(False).alias("in_paren"))
 
 
-def definition_postings(entries: DataFrame, id_col: str = "index", text_col: str = "text") -> DataFrame:
+def definition_postings(entries: DataFrame, id_col: str = "index", text_col: str = "text", latin_as: str = L.LATIN_CODES) -> DataFrame:
     """``word, entry, word_idx, in_paren`` of the words of definitions, numbered from 0.
 
+    ``latin_as`` are the codes of the Latin letters (see :func:`letters.tokens`).
+
     A word is in parentheses if a bracket is open before it, but not in a
     leading round group. A closer closes whatever is open, if anything is.
     Texts without brackets are only split; in others the depth is the running
@@ -93,10 +95,10 @@ def definition_postings(entries: DataFrame, id_col: str = "index", text_col: str
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = entries.select(F.col(id_col).alias("entry"), text.alias("text"))
     bracketed = F.rlike("text", F.lit(r"[(\[{]"))
-    plain = rows.where(~bracketed).select(F.posexplode(L.tokens(F.col("text"))).alias("word_idx", "word"), "entry")
+    plain = rows.where(~bracketed).select(F.posexplode(L.tokens(F.col("text"), latin_as)).alias("word_idx", "word"), "entry")
     plain = plain.select("word", "entry", "word_idx", F.lit(False).alias("in_paren"))
 
-    words = F.arrays_zip(L.tokens(F.col("text")).alias("word"), _in_parentheses(L.outline(F.col("text"))).alias("in_paren"))
+    words = F.arrays_zip(L.tokens(F.col("text"), latin_as).alias("word"), _in_parentheses(L.outline(F.col("text"))).alias("in_paren"))
     words = rows.where(bracketed).select("entry", F.posexplode(words).alias("word_idx", "w"))
     return plain.union(words.select("w.word", "entry", "word_idx", "w.in_paren"))
 

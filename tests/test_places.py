@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from olai.functions import letters as L
-from olai.plans import registry
+from olai.plans import registry, script_queries
 from olai.sources import lexicon
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +50,18 @@ def test_hits_are_judged_for_their_place_and_words_stay_in_the_jvm(spark):
     # One filter a branch, and no class of another place: before, each branch had ten expressions and a struct of all classes.
     assert judged and all(line.count("RLIKE(word") <= 8 and "struct(whole" not in line for line in judged)
     assert "ArrowEvalPython" in plan and "regexp_extract_all(translate(" not in plan
+
+
+def test_texts_are_cut_into_other_letters_as_into_words_translated_after(spark):
+    texts = ["", "ab (c) w", "né [xyz", "கடல் ab ) (Ab", "(கa zz", "12 q"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "index int, text string")
+    read = lambda df: sorted(map(tuple, df.collect()))
+    after = lexicon.definition_postings(rows).withColumn("word", script_queries.in_codes(F.col("word")))
+    assert read(lexicon.definition_postings(rows, latin_as=script_queries.TAMIL_CODES)) == read(after)
+
+
+@tables
+def test_words_of_texts_are_translated_once(spark):
+    plan = registry.QUERIES["search_joint"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # Those of headwords only: before, the words of both kinds of texts too.
+    assert len([line for line in plan.splitlines() if re.search(r"translate\(w(ord)?#", line)]) == 2
